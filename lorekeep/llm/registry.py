@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import repeats
+from . import decontaminate, near, repeats
 
 QUERIES = {
     "op7_repeats": repeats.op7_repeats,
+    "op9_near": near.op9_near,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
