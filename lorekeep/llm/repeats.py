@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import bounded_batches, written
@@ -312,13 +312,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     long_enough = texts.where(F.octet_length("text") >= length)
-    found = written(long_enough.mapInArrow(_segment_rows(length, anchor), _SEGMENT), "segments").repartition("anchor")
-    distinct = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "start")).getField("start").alias("start"), F.max("windows").alias("windows"), F.max("twice").alias("twice"))
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("copies").alias("most"), F.max("twice").alias("any_twice"))
-    kinds = kinds.where((F.col("kinds") > 1) | (F.col("most") > 1) | F.col("any_twice"))
-    judged = written(distinct.join(kinds, "anchor").drop("most", "any_twice"), "distinct")
-
-    copied = judged.where("copies > 1").select("anchor", "content")
+    # one shuffle of all segments; only those whose anchor comes again stay
+    under = Window.partitionBy("anchor")
+    found = long_enough.mapInArrow(_segment_rows(length, anchor), _SEGMENT).withColumns({"rows": F.count("*").over(under), "any_twice": F.max("twice").over(under)})
+    found = written(found.where("rows > 1 OR any_twice").drop("rows", "any_twice"), "segments")
+    distinct = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("at"), F.max("windows").alias("windows"), F.max("twice").alias("twice"))
+    distinct = written(distinct.select("anchor", "content", "copies", "at.*", "windows", "twice"), "distinct")
+    judged = distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
+
+    copied = distinct.where("copies > 1").select("anchor", "content")
     whole = found.join(copied, ["anchor", "content"], "left_semi").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("windows") + length - 1).alias("last"))
 
     needed = judged.where((F.col("kinds") > 1) | (F.col("twice") & (F.col("copies") == 1)))
