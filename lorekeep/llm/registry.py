@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near, repeats
+from . import decontaminate, fingerprints, html, huffman, language, near, packing, repeats, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_huffman": huffman.op3_huffman,
+    "op4_html": html.op4_html,
+    "op5_packing": packing.op5_packing,
+    "op6_language": language.op6_language,
     "op7_repeats": repeats.op7_repeats,
+    "op8_secrets": secrets.op8_secrets,
     "op9_near": near.op9_near,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
