@@ -8,7 +8,7 @@
    in either class. Expectation-maximisation estimates these rates from the votes
    alone, starting from the labelled sample. Correlations of voters beyond what
    the class explains are estimated from the residuals in each round, and a voter's
-   evidence is divided by how many it agrees with for that reason.
+   evidence is divided by the root of how many it agrees with for that reason.
 3. Classifier. A linear model over hashed words and word beginnings is trained
    on the posterior labels of the sample. It scores every whole text.
 
@@ -38,6 +38,8 @@ _U = np.uint64
 
 SAMPLE_ROWS = 12_000
 MOST_VOTERS = 160
+#: Likelihood-ratio gain of a voter's term; with millions of terms tried, chance alone doesn't reach it.
+SURE = 40.0
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -80,8 +82,28 @@ def _term_counts(wanted: set[str] | None):
     return rows
 
 
+def pick_terms(counted: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int, least_rows: int = 4) -> list[tuple[str, float]]:
+    """(term, log odds) of the terms that mark toxic rows best, from (term, toxic rows, clean rows)."""
+    scored = []
+    for term, toxic, clean in counted:
+        odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+        share, all_share = toxic / max(toxic + clean, 1), n_toxic / (n_toxic + n_clean)
+        gain = 2 * (toxic * np.log(max(share, 1e-9) / all_share) + clean * np.log(max(1 - share, 1e-9) / (1 - all_share)))
+        if odds > 1.0 and gain > SURE and toxic >= least_rows:
+            scored.append((float(odds * np.log1p(toxic)), term, float(odds), toxic, clean))
+    scored.sort(key=lambda x: (-x[0], x[1]))
+    out: list[tuple[str, float]] = []
+    kept: set[tuple[str, int, int]] = set()
+    for _, term, odds, toxic, clean in scored:
+        key = (term[2:6], toxic, clean)  # words with a common beginning and the same counts are one voter
+        if key not in kept:
+            kept.add(key)
+            out.append((term, odds))
+    return out[:most]
+
+
 def choose_terms(sample: DataFrame, n_toxic: int, n_clean: int, most: int, least_rows: int = 4) -> list[tuple[str, float]]:
-    """(term, log odds) of the terms that mark toxic rows best; a beginning is left out beside one with the same rows."""
+    """The lexicon of a labelled sample."""
     schema = "term string, toxic long, clean long"
     rows = sample.select("text", "toxic")
     seen = rows.where("toxic = 1").mapInArrow(_term_counts(None), schema).groupBy("term").agg(F.sum("toxic").alias("n")).where(F.col("n") >= least_rows)
@@ -90,20 +112,7 @@ def choose_terms(sample: DataFrame, n_toxic: int, n_clean: int, most: int, least
     if not wanted:
         return []
     counted = rows.mapInArrow(_term_counts(wanted), schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
-    scored = []
-    for r in counted:
-        odds = np.log((r.toxic + 0.5) / (n_toxic + 1)) - np.log((r.clean + 0.5) / (n_clean + 1))
-        if odds > 1.5 and r.toxic >= least_rows:
-            scored.append((float(odds * np.log1p(r.toxic)), r.term, float(odds), r.toxic, r.clean))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    out: list[tuple[str, float]] = []
-    kept: dict[tuple[str, int, int], bool] = {}
-    for _, term, odds, toxic, clean in scored:
-        key = (term[2:6], toxic, clean)  # words with a common beginning and the same counts are one voter
-        if key not in kept:
-            kept[key] = True
-            out.append((term, odds))
-    return out[:most]
+    return pick_terms([(r.term, r.toxic, r.clean) for r in counted], n_toxic, n_clean, most, least_rows)
 
 
 def vote_matrix(texts: list[str | None], terms: list[str]) -> np.ndarray:
@@ -126,14 +135,15 @@ class LabelModel:
     share: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        log_odds = np.where(votes == 1, np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0])))
-        total = (log_odds * self.weights).sum(axis=1) + np.log(self.share / (1 - self.share))
+        """Probability of the toxic class; a voter that does not vote abstains and says nothing."""
+        total = votes @ (np.log(self.rates[1] / self.rates[0]) * self.weights) + np.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15, correlated: float = 0.15) -> LabelModel:
-    """EM over all rows' votes from starting posteriors (labels where known)."""
+    """EM over all rows' votes from starting posteriors (labels where known); the class share is the start's."""
     posterior = np.clip(start.astype(float), 0.05, 0.95)
+    share = float(np.clip(start.mean(), 1e-3, 1 - 1e-3))
     v = votes.astype(np.float64)
     model = None
     for _ in range(rounds):
@@ -143,10 +153,10 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15, corr
         expected = weight.T @ rates
         left = v - expected
         scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
-        corr = np.abs(left.T @ left) / np.outer(scale, scale)
+        corr = (left.T @ left) / np.outer(scale, scale)  # positive: they agree more than the class explains
         np.fill_diagonal(corr, 0)
-        weights = 1 / (1 + np.where(corr > correlated, corr, 0).sum(axis=1))
-        model = LabelModel(np.clip(rates, 1e-4, 1 - 1e-4), weights, float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3)))
+        weights = 1 / np.sqrt(1 + np.where(corr > correlated, corr, 0).sum(axis=1))
+        model = LabelModel(np.clip(rates, 1e-4, 1 - 1e-4), weights, share)
         posterior = model.posterior(votes)
     return model
 
@@ -165,26 +175,34 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return key & ((1 << bits) - 1), np.searchsorted(key, np.arange(len(offsets)) << bits)
 
 
-def train(rows: np.ndarray, feature: np.ndarray, target: np.ndarray, bits: int, rounds: int = 120, l2: float = 2e-3, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model of soft targets; full-batch AdaGrad over binary features."""
-    size = 1 << bits
-    n_rows = len(target)
-    rarity = 1 / np.sqrt(1 + np.bincount(feature, minlength=size))
-    scale = 0.3 + 0.7 * rarity  # common features move less
-    weights, bias = np.zeros(size), float(np.log(target.mean() / (1 - target.mean())))
-    state, bias_state = np.full(size, 1e-2), 1e-2
-    per_row = np.maximum(np.bincount(rows, minlength=n_rows), 1)
-    norm = 1 / np.sqrt(per_row)
+def telling(feature: np.ndarray, rows: np.ndarray, target: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Which features say something of the target: their likelihood-ratio gain is at least ``least``."""
+    n = np.bincount(feature, minlength=size).astype(float)
+    toxic = np.bincount(feature, weights=target[rows], minlength=size)
+    mean = target.mean()
+    share = np.clip(toxic / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    return 2 * (toxic * np.log(share / mean) + (n - toxic) * np.log((1 - share) / (1 - mean))) >= least
+
+
+def train(rows: np.ndarray, feature: np.ndarray, target: np.ndarray, bits: int, rounds: int = 300, l2: float = 1.0, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model of soft targets over the telling features; full-batch AdaGrad."""
+    size, n_rows = 1 << bits, len(target)
+    keep = telling(feature, rows, target, size, SURE / 2)[feature]
+    rows, (used, feature) = rows[keep], np.unique(feature[keep], return_inverse=True)
+    weights, bias = np.zeros(len(used)), float(np.log(target.mean() / (1 - target.mean())))
+    state, bias_state = np.full(len(used), 1e-2), 1e-2
     for _ in range(rounds):
-        z = np.bincount(rows, weights=(weights * scale)[feature], minlength=n_rows) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * (0.5 + 0.5 * norm / norm.mean())
-        gradient = np.bincount(feature, weights=error[rows], minlength=size) * scale + l2 * n_rows * weights * 0.05
+        z = np.bincount(rows, weights=weights[feature], minlength=n_rows) + bias
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        gradient = np.bincount(feature, weights=error[rows], minlength=len(used)) + l2 * weights
         state += gradient**2
         weights -= rate * gradient / np.sqrt(state)
         g = error.sum()
         bias_state += g * g
         bias -= rate * g / np.sqrt(bias_state)
-    return weights * scale, bias
+    out = np.zeros(size)
+    out[used] = weights
+    return out, bias
 
 
 def _feature_rows(bits: int):
