@@ -195,6 +195,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return texts.mapInArrow(_identify_rows(model, rounds, penalty, most), "doc_id long, lang_pred string, score double, languages array<string>, log_likelihood double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a log likelihood per letter of ``least`` or more; one pass, no join."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    judge = _identify_rows(model, ROUNDS, PENALTY, MOST_LANGUAGES)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at)], names=["doc_id", "text"])
+            keep = [lang != UNDETERMINED and fitness >= least for part in judge([pairs]) for lang, fitness in zip(part.column(1).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out("doc_id", 3, 1)))
