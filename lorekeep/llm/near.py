@@ -10,12 +10,20 @@ full sets of 64-bit shingle hashes.
 
 Equal sets are first collapsed to one representative (a 128-bit digest of the
 set, and its size), so a group of copies costs one row however large it is.
-Inside a band's bucket pairs are not enumerated: all members are compared with
-the smallest one, links are contracted to components, and only members of
-buckets that still hold several components go on, a bounded number of pivots in
-each round, those of the smallest components first. A bucket is done when all
-its members outside its largest component have been pivots, so every candidate
-pair of different components has been looked at.
+Pairs inside a bucket are not enumerated. All members are compared with the
+smallest one; what shares a bucket, directly or through others, is a family, and
+families whose members are all linked are done. In the others the consensus is
+taken, the shingles that more than half of the members have, and every member is
+compared with the one nearest to it. What is then still apart is compared only
+where a link is possible: two members have at most as many shingles in common as
+the consensus shingles of the one that has fewer of them, and the shingles outside
+the consensus that both have. So a pair either shares a shingle outside the
+consensus, and meets in that shingle's bucket, or both sizes and counts must allow a
+link without one. How many shingles outside the consensus a link needs at least is known
+for each member, so it may leave out that many, less one, of its most frequent ones.
+Buckets of the others are gone through with a bounded number of pairs in each round,
+until no bucket has members of different components that have not been compared. So every candidate pair of different components has been
+compared or cannot be linked.
 
 Null texts and texts without words have no shingles and are linked with
 nothing; texts of fewer words than a shingle are one shingle, their whole
@@ -41,7 +49,7 @@ _U = np.uint64
 WORD_BYTES = ~byte_class((0x09, 0x0D), (0x20, 0x20))
 
 BANDS, PERMUTATIONS_PER_BAND = 32, 2
-#: Pairs of one round of pivots.
+#: Pairs of one round.
 ROUND_PAIRS = 200_000
 
 _draw = np.random.default_rng(977)
@@ -151,42 +159,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = named.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("a")).repartition("bucket")
     heads = buckets.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").drop("last")
-    members = written(buckets.join(heads, "bucket"), "buckets")
-    needed = members.select(F.col("a").alias("doc_id")).distinct()
+    stars = written(buckets.join(heads, "bucket").where("a <> b").select("a", "b").distinct(), "stars")
+    needed = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(texts.join(needed, "doc_id").mapInArrow(_set_rows(width), "doc_id long, members array<long>"), "sets")
-    links = written(_confirmed(members.where("a <> b").select("a", "b").distinct(), sets, percent), "confirmed")
-    groups = written(components(links), "components")
+    links = _confirmed(stars, sets, percent)
+    groups = components(links)
+    families = components(stars).withColumnRenamed("component", "family")
+
+    apart = _families_apart(families, groups)
+    if apart.limit(1).count():
+        members = written(_against_consensus(apart, sets), "families")
+        nearest = members.groupBy("family").agg(F.max_by("a", F.struct(F.col("core") / (F.col("size") + F.col("consensus") - F.col("core")), -F.col("a"))).alias("b"))
+        central = members.join(nearest, "family").where("a <> b").select("a", "b")
+        groups = _contracted(groups, _confirmed(central, sets, percent))
+        groups = _remaining(members, nearest, groups, sets, percent, round_pairs)
 
-    pivoted = 0
-    open_ = members.drop("b")
+    grouped = groups.select(F.col("node").alias("copy_of"), "component")
+    return named.join(grouped, "copy_of", "left").select("doc_id", "n_shingles", F.coalesce("component", "copy_of").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _contracted(groups: DataFrame, more: DataFrame) -> DataFrame:
+    return components(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def _families_apart(families: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, family) of the families that have more than one component."""
+    named = families.join(groups, "node", "left").select("family", F.col("node").alias("a"), F.coalesce("component", "node").alias("component"))
+    several = named.groupBy("family").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("family")
+    return named.join(several, "family").select("a", "family")
+
+
+def _against_consensus(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, a, size, consensus, core, others): how many shingles a member, the consensus, and both have, and the member's other ones."""
+    rows = apart.join(sets, F.col("a") == F.col("doc_id")).select("family", "a", "members")
+    counts = rows.groupBy("family").agg(F.count("*").alias("n"))
+    each = rows.select("family", F.explode("members").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("have"))
+    shared = each.join(counts, "family").where("2 * have > n").groupBy("family").agg(F.collect_list("shingle").alias("common"))
+    both = rows.join(shared, "family", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    both = both.withColumn("others", F.array_except("members", "common"))
+    size = F.size("members").cast("long")
+    return both.select("family", "a", size.alias("size"), F.size("common").cast("long").alias("consensus"), (size - F.size("others")).alias("core"), "others")
+
+
+def _remaining(members: DataFrame, nearest: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, round_pairs: int) -> DataFrame:
+    """The components after all pairs of families that are still apart and that may be linked."""
+    named = members.join(groups, F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", "a")).drop("node")
+    central = nearest.join(groups, F.col("b") == F.col("node"), "left").select("family", F.coalesce("component", "b").alias("main"))
+    named = written(named.join(central, "family"), "named")
+
+    # pairs without a common shingle outside the consensus: the far member bounds the other one's size
+    slim = named.select("family", "a", "size", "core", "component", "main")
+    most = F.floor(((100 + percent) * F.col("core") - percent * F.col("size")) / percent)
+    far = slim.where("component <> main").select("family", F.col("a").alias("b"), F.col("size").alias("b_size"), F.col("core").alias("b_core"), F.col("component").alias("b_component"), most.alias("most"))
+    sizes = slim.select("family", "size").distinct()
+    fitting = far.join(sizes, "family").where("size <= most AND 100 * size >= %d * b_size" % percent)
+    allowed = F.least("core", "b_core") * (100 + percent) >= percent * (F.col("size") + F.col("b_size"))
+    pairs = fitting.join(slim, ["family", "size"]).where((F.col("component") != F.col("b_component")) & allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(_confirmed(pairs, sets, percent), "confirmed")
+    if more.limit(1).count():
+        groups = _contracted(groups, more)
+
+    # pairs with one: a link needs so many of them in common that each member may leave out its most frequent ones
+    shingle = named.select("family", "a", "size", "core", F.explode("others").alias("shingle"))
+    often = shingle.groupBy("family", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    spare = F.ceil(percent * F.col("size") / 100) - F.col("core") - 1
+    ordered = shingle.join(often, ["family", "shingle"]).withColumn("at", F.row_number().over(Window.partitionBy("family", "a").orderBy(F.desc("n"), F.desc("shingle"))))
+    met = written(ordered.where(F.col("at") > spare).select("family", F.xxhash64("family", "shingle").alias("bucket"), "a"), "met")
+    # of buckets with the same members one is enough
+    sets_of = met.groupBy("family", "bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    chosen = sets_of.groupBy("family", "n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    open_, pivoted = met.join(chosen, "bucket", "left_semi").select("bucket", "a"), 0
     while True:
-        # buckets that hold several components, their members from the smallest components on
-        here = open_.join(groups, F.col("a") == F.col("node"), "left").select("bucket", "a", F.coalesce("component", "a").alias("component"), *(["rank"] if pivoted else []))
-        several = here.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("bucket")
+        here = open_.join(groups, F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", "a")).drop("node")
+        # those that have been pivots are compared with all behind them
+        left = here.where(F.col("rank") > pivoted) if pivoted else here
+        several = left.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("bucket")
         open_ = here.join(several, "bucket")
         if not pivoted:
-            sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-            order = Window.partitionBy("bucket").orderBy("size", "component", "a")
-            open_ = open_.join(sizes, ["bucket", "component"]).withColumn("rank", F.row_number().over(order)).drop("size")
-        else:
-            left = open_.where(F.col("rank") > pivoted).groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("n"))
-            open_ = open_.join(left.where("one <> other").select("bucket"), "bucket")
+            counts = open_.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+            order = Window.partitionBy("bucket").orderBy("n", "component", "a")
+            open_ = open_.join(counts, ["bucket", "component"]).withColumn("rank", F.row_number().over(order)).drop("n")
         open_ = written(open_, "open")
         rows = open_.count()
         if not rows:
-            break
+            return groups
         pivots = max(1, round_pairs // rows)
         chosen = open_.where((F.col("rank") > pivoted) & (F.col("rank") <= pivoted + pivots)).select("bucket", F.col("a").alias("pivot"), F.col("component").alias("its"), F.col("rank").alias("at"))
         pairs = open_.join(chosen, "bucket").where("component <> its AND rank > at").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")).distinct()
         more = written(_confirmed(pairs, sets, percent), "confirmed")
         if more.limit(1).count():
-            links = written(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "confirmed")
-            groups = written(components(links), "components")
+            groups = _contracted(groups, more)
         open_, pivoted = open_.drop("component"), pivoted + pivots
 
-    grouped = groups.select(F.col("node").alias("copy_of"), "component")
-    return named.join(grouped, "copy_of", "left").select("doc_id", "n_shingles", F.coalesce("component", "copy_of").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
 
 def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
