@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Date formats of the conversation benchmarks.
-DIALOGUE_FORMATS = ("h:mm a 'on' d MMMM, yyyy", "h:mm a 'on' d MMM, yyyy", "HH:mm 'on' d MMMM, yyyy", "d MMMM, yyyy", "d MMMM yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+DIALOGUE_FORMATS = ("h:mm a 'on' d MMMM, yyyy", "h:mm a 'on' d MMMM yyyy", "h:mm a 'on' MMMM d, yyyy", "H:mm 'on' d MMMM, yyyy", "d MMMM, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
 HISTORY_FORMATS = ("yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 
 
@@ -25,7 +25,7 @@ def iso_instant(text: Column) -> Column:
 
 
 def dialogue_time(text: Column) -> Column:
-    return first_format(F.trim(text), DIALOGUE_FORMATS)
+    return first_format(F.trim(F.regexp_replace(text, r"\s+", " ")), DIALOGUE_FORMATS)
 
 
 def history_time(text: Column) -> Column:

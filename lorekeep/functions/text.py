@@ -33,7 +33,7 @@ def haystack(content: Column, summary: Column) -> Column:
 
 def normalize_label(label: Column) -> Column:
     """Small letters, runs of blanks, underscores and hyphens as one hyphen, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), "[ _-]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(stripped(label)), "[ _-]+", "-"), "^-+|-+$", "")
 
 
 def query_labels(query: Column) -> Column:
@@ -95,8 +95,13 @@ def splice_date(prompt: Column, date: Column, before: str) -> Column:
     return F.when(date.isNotNull() & (at > 0), spliced).otherwise(prompt)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), stripped), lambda p: p != "")
 
 
 def word_windows(text: Column, size: int = 200, most: int = 200) -> Column:
@@ -105,7 +110,8 @@ def word_windows(text: Column, size: int = 200, most: int = 200) -> Column:
     def windows(paragraph: Column) -> Column:
         words = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
         count = F.ceil(F.size(words) / size).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.array_join(F.slice(words, i * size + 1, F.lit(size)), " "))
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.array_join(F.slice(words, i * size + 1, F.lit(size)), " "))
+        return F.when(count <= 1, F.array(paragraph)).otherwise(cut)
 
     return F.slice(F.flatten(F.transform(paragraphs(text), windows)), 1, most)
 

@@ -1,0 +1,10 @@
+"""All queries of the engine and their SQL."""
+
+from __future__ import annotations
+
+from . import evaluation, lifecycle, recall, sources, streams
+
+_MODULES = (recall, lifecycle, evaluation, streams, sources)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
