@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from .ingest import NAMESPACE
 
-_NEWEST = [F.desc_nulls_last("valid_from"), F.desc("created_at"), F.desc("id")]
-
-
 def superseded(records: DataFrame, groups: DataFrame, now: Column) -> DataFrame:
     """Conflict groups (group_id, id): the newest wins, the others end now and point to it; all stay active."""
     rows = records.join(groups, "id")
-    newest = Window.partitionBy("group_id").orderBy(*_NEWEST)
+    newest = Window.partitionBy("group_id").orderBy(F.desc_nulls_last("valid_from"), F.desc("created_at"), F.desc("id"))
     ranked = rows.withColumn("winner", F.first("id").over(newest)).withColumn("_n", F.row_number().over(newest))
     return ranked.where("_n > 1").select("group_id", "id", F.col("winner").alias("superseded_by_id"), now.alias("valid_to"), F.col("is_active"))
 

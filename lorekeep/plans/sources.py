@@ -31,7 +31,7 @@ def _add(name: str, sql: str | None = None):
     return put
 
 
-@_add("source_histories", "SELECT 'history_q' || conv_id AS conversation_id, 's' || conv_id || ':' || (turn) AS turn_id, role AS speaker, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE trim(text) <> ''")
+@_add("source_histories", "SELECT 'history_q' || conv_id AS conversation_id, 's' || conv_id || ':' || (turn) AS turn_id, role AS speaker, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') <> ''")
 def source_histories(spark, d):
     """The conversations written as chat histories and read by their reader."""
     said = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
@@ -42,7 +42,7 @@ def source_histories(spark, d):
     )
     path = _shared(spark)
     rows.write.json(path)
-    turns, _ = dialogues.histories(spark, path)
+    turns, _ = dialogues.histories(spark, path, lines=True)
     return turns.select("conversation_id", "turn_id", "speaker", "text")
 
 

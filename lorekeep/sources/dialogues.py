@@ -84,9 +84,9 @@ _HISTORY = (
 )
 
 
-def histories(spark: SparkSession, path: str, question_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """One question for each chat history; ``question_ids`` keeps some of them, by a semi join."""
-    rows = spark.read.schema(_HISTORY).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def histories(spark: SparkSession, path: str, question_ids: list[str] | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One question for each chat history, from JSON arrays or (``lines``) JSON lines; ``question_ids`` keeps some of them, by a semi join."""
+    rows = spark.read.schema(_HISTORY).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     if question_ids is not None:
         rows = rows.join(spark.createDataFrame([(q,) for q in question_ids], "question_id string"), "question_id", "left_semi")
     rows = rows.withColumn("conversation_id", F.concat(F.lit("history_"), "question_id"))
