@@ -121,7 +121,7 @@ def split_tags(text: Column) -> Column:
 
 
 def evidence_ids(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[;,]"), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[;,]"), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def decimal_tokens(text: Column) -> Column:

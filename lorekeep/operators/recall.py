@@ -30,13 +30,18 @@ def _small(questions: DataFrame, config: Config) -> DataFrame:
 
 
 def _top(pairs: DataFrame, limit: int, *order: Column) -> DataFrame:
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order, F.col("id"))) - 1)
-    return ranked.where(F.col("rank") < limit)
+    # the bound on the bare row number lets each task drop what it need not send
+    ranked = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(*order, F.col("id"))))
+    return ranked.where(F.col("_n") <= limit).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def recent_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
-    pairs = records.select("id", "created_at", "occurred_at").join(questions.select("qid", "as_of"), as_of())
-    return _top(pairs, config.candidate_limit, F.desc("created_at")).select("qid", "id", "rank")
+    """The newest records, ranked once for each distinct bound and handed to its questions."""
+    bounds = _small(questions.select("as_of").distinct(), config)
+    pairs = records.select("id", "created_at", "occurred_at").join(bounds, as_of())
+    order = Window.partitionBy("as_of").orderBy(F.desc("created_at"), "id")
+    newest = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= config.candidate_limit).select(F.col("as_of").alias("bound"), "id", (F.col("_n") - 1).alias("rank"))
+    return questions.select("qid", "as_of").join(newest, F.col("as_of").eqNullSafe(F.col("bound"))).select("qid", "id", "rank")
 
 
 def term_hits(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
