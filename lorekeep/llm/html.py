@@ -112,7 +112,8 @@ def parse(source: str) -> Page:
         if not name:
             continue
         name = name.lower()
-        page.tokens.append(f"<{close}{name}")
+        if not outside and name not in _RAW and (close or not _excluded(name, attributes, inside > 0)):  # tags of excluded elements are left out like their texts
+            page.tokens.append(f"<{close}{name}")
         if name not in _INLINE:
             block += 1
         elif name == "br":
