@@ -1,0 +1,54 @@
+import subprocess
+import sys
+
+import corpus_pipeline
+import test_decontaminate
+import test_near
+from pyspark.sql import functions as F
+
+from lorekeep.llm.registry import QUERIES
+
+
+def test_stages_against_brute_force(spark, data):
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    planted = spark.createDataFrame([(9000, None, None, None, 0), (9001, "123 456 !!!", "en", "s", 11), (9002, "", None, "s", 0)], documents.schema)
+    docs = documents.unionByName(planted)
+    kept, tables = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, kept, data)
+        if name != "packing":
+            assert made.columns == documents.columns
+        tables[name] = (kept, made)
+        kept = made
+    ids = lambda frame: {r.doc_id for r in frame.select("doc_id").collect()}
+    before, after = tables["language"]
+    assert ids(before) - ids(after) == {9000, 9001, 9002}
+    before, after = tables["near_duplicates"]
+    assert ids(after) == {d for d, (_, _, keep) in test_near.brute([(r.doc_id, r.text) for r in before.collect()], 5).items() if keep}
+    before, after = tables["decontamination"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    assert ids(after) == {d for d, (_, hit, _) in test_decontaminate.brute([(r.doc_id, r.text) for r in before.collect()], items).items() if not hit}
+    before, after = tables["secrets"]
+    assert ids(after) == ids(before) and after.where(F.length("text") != F.col("n_chars")).count() == 0
+    before, after = tables["packing"]
+    assert ids(after) == ids(before)
+    assert after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").count() == 0
+    assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_run(spark, data):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
+    assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_empty_table(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, data)
+    assert docs.count() == 0
+
+
+def test_names_and_independence():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    code = "import sys\nfrom lorekeep import plans\nimport lorekeep.operators.service, lorekeep.sources.dialogues, lorekeep.streaming.events\nassert not [m for m in sys.modules if m.startswith('lorekeep.llm')]"
+    subprocess.run([sys.executable, "-c", code], check=True)
