@@ -193,7 +193,7 @@ def _against_consensus(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """(family, a, size, consensus, core, others): how many shingles a member, the consensus, and both have, and the member's other ones."""
     rows = apart.join(sets, F.col("a") == F.col("doc_id")).select("family", "a", "members")
     counts = rows.groupBy("family").agg(F.count("*").alias("n"))
-    each = rows.select("family", F.explode("members").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("have"))
+    each = rows.select("family", F.explode("members").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("have")).where("have > 1")
     shared = each.join(counts, "family").where("2 * have > n").groupBy("family").agg(F.collect_list("shingle").alias("common"))
     both = rows.join(shared, "family", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
     both = both.withColumn("others", F.array_except("members", "common"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html, huffman, language, near, packing, repeats, secrets, toxicity
+from . import decontaminate, fingerprints, html, huffman, language, near, oracle, packing, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,4 +17,8 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_repeats": oracle.OP7,
+    "op9_near": oracle.OP9,
+    "op10_decontaminate": oracle.OP10,
+}
