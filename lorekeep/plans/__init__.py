@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, lifecycle, recall, sources, streams
+from . import evaluation, lifecycle, recall, scalars, sources, streams
 
-_MODULES = (recall, lifecycle, evaluation, streams, sources)
+_MODULES = (recall, lifecycle, evaluation, scalars, streams, sources)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
