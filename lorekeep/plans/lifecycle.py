@@ -288,11 +288,10 @@ def coverage_check(spark, d):
 @_add("snapshot_read", "SELECT item_id, text FROM benchmark")
 def snapshot_read(spark, d):
     """The benchmark table published to a store of versions and read back."""
-    import tempfile
-
     from ..sources.snapshots import Snapshots
+    from .sources import shared_folder
 
-    store = Snapshots(spark, f"file://{tempfile.mkdtemp(prefix='lorekeep-versions-')}", "item_id", 4)
+    store = Snapshots(spark, shared_folder(spark), "item_id", 4)
     store.publish(T.table(spark, d, "benchmark"), None)
     return store.read()
 

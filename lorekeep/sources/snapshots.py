@@ -3,8 +3,9 @@
 Parts are Parquet files written by Spark, one folder for each content digest; a
 version that changes few partitions writes only those. The pointer is renamed
 over by one writer at a time: whoever finds another version than expected
-merges and tries again. Pointer and manifests are small files on a file system
-that the driver sees.
+merges and tries again. On a local file system the pointer is one file under a
+lock; on others (anything Spark reaches) each version is a numbered file, and
+whoever renames to a number first has published it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import fcntl
 import hashlib
 import json
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,19 +68,68 @@ class FileStore:
         return hashlib.sha256(data).hexdigest()
 
 
-def open_store(uri: str) -> FileStore:
-    """``file:///folder``; other schemes need a client that is not part of this library."""
+class HadoopStore:
+    """Small objects on any file system of Spark, each version a numbered file; rename onto an existing name must fail there."""
+
+    def __init__(self, spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> None:
+        self.jvm, self.folder, self.most_bytes = spark._jvm, folder.rstrip("/"), most_bytes
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def get(self, name: str) -> tuple[bytes, str] | None:
+        """The latest version's content, and its number."""
+        where = self._path(f"{name}.versions")
+        found = [x.getPath().getName() for x in self.fs.listStatus(where)] if self.fs.exists(where) else []
+        numbers = sorted(n for n in found if n.isdigit())
+        if not numbers:
+            return None
+        path = self._path(f"{name}.versions/{numbers[-1]}")
+        if self.fs.getFileStatus(path).getLen() > self.most_bytes:
+            raise ValueError(f"{name} is larger than {self.most_bytes} bytes")
+        stream = self.fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()), numbers[-1]
+        finally:
+            stream.close()
+
+    def put(self, name: str, data: bytes, expected: str | None) -> str:
+        now = self.get(name)
+        if (now and now[1]) != expected:
+            raise PublicationConflict(name)
+        number = f"{int(expected or 0) + 1:020d}"
+        part = self._path(f"{name}.versions/.{uuid.uuid4().hex}")
+        stream = self.fs.create(part, False)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        target = self._path(f"{name}.versions/{number}")
+        if self.fs.exists(target) or not self.fs.rename(part, target):
+            self.fs.delete(part, False)
+            raise PublicationConflict(name)
+        return number
+
+
+def open_store(uri: str, spark: SparkSession | None = None) -> FileStore | HadoopStore:
+    """``file:///folder`` on this machine, or a folder of any other scheme that ``spark`` reaches."""
     scheme, _, rest = uri.partition("://")
-    if scheme != "file" or not rest.startswith("/") or "?" in rest or "#" in rest:
-        raise ValueError(f"not a file URI: {uri}")
-    return FileStore(rest)
+    if "?" in rest or "#" in rest or scheme == "file" and not rest.startswith("/") or not rest:
+        raise ValueError(f"not the URI of a folder: {uri}")
+    if scheme == "file":
+        return FileStore(rest)
+    if spark is None:
+        raise ValueError(f"a session is needed for {uri}")
+    return HadoopStore(spark, uri)
 
 
 class Snapshots:
     """The versions of one table."""
 
     def __init__(self, spark: SparkSession, uri: str, key: str, partitions: int = 16) -> None:
-        self.spark, self.store, self.key, self.partitions = spark, open_store(uri), key, partitions
+        self.spark, self.store, self.key, self.partitions = spark, open_store(uri, spark), key, partitions
+        self.parts = f"{uri.rstrip('/')}/parts"
 
     def manifest(self) -> tuple[dict, str | None]:
         found = self.store.get("latest.json")
@@ -89,7 +140,7 @@ class Snapshots:
         manifest = manifest or self.manifest()[0]
         if not manifest["parts"]:
             return None
-        folders = [str(self.store.folder / "parts" / d) for d in sorted(set(manifest["parts"].values()))]
+        folders = [f"{self.parts}/{d}" for d in sorted(set(manifest["parts"].values()))]
         return self.spark.read.parquet(*folders)
 
     def _digests(self, parted: DataFrame) -> dict[str, str]:
@@ -99,14 +150,18 @@ class Snapshots:
         sums = parted.groupBy("_part").agg(F.sum(row.cast("decimal(38,0)")).alias("a"), F.sum(other.cast("decimal(38,0)")).alias("b"), F.count("*").alias("n"))
         return {str(r._part): hashlib.sha256(f"{r.a}|{r.b}|{r.n}|{parted.schema.json()}".encode()).hexdigest() for r in sums.collect()}
 
+    def _written(self, folder: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def publish(self, rows: DataFrame, expected: str | None) -> dict:
         """Write the changed partitions and move the pointer; a PublicationConflict if the latest version is not the expected one."""
         parted = rows.withColumn("_part", F.pmod(F.xxhash64(self.key), F.lit(self.partitions)))
         digests = self._digests(parted)
         for part, digest in digests.items():
-            folder = self.store.folder / "parts" / digest
-            if not (folder / "_SUCCESS").exists():
-                parted.where(F.col("_part") == int(part)).drop("_part").coalesce(1).write.mode("overwrite").parquet(str(folder))
+            folder = f"{self.parts}/{digest}"
+            if not self._written(folder):
+                parted.where(F.col("_part") == int(part)).drop("_part").write.mode("overwrite").parquet(folder)
         manifest = {"format": 1, "parts": digests, "schema": rows.schema.json()}
         self.store.put("latest.json", json.dumps(manifest, sort_keys=True).encode(), expected)
         return manifest

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import grouping, ingest, lifecycle, merge
-from lorekeep.sources.snapshots import FileStore, PublicationConflict, Snapshots, open_store
+from lorekeep.sources.snapshots import FileStore, HadoopStore, PublicationConflict, Snapshots, open_store
 
 A, B, C, FAR = [1.0, 0.0], [0.98, 0.02], [0.95, 0.05], [0.0, 1.0]
 
@@ -99,3 +99,12 @@ def test_conflict_keeps_both_active(spark):
     rows = spark.createDataFrame([(1, "2024-01-01", True), (2, "2024-06-01", True)], "id long, at string, is_active boolean").selectExpr("id", "to_timestamp(at) AS valid_from", "timestamp'2024-07-01' AS created_at", "is_active")
     found = lifecycle.superseded(rows, rows.selectExpr("id", "0 AS group_id"), F.lit("2024-08-01").cast("timestamp")).collect()
     assert [(r.id, r.superseded_by_id, r.is_active) for r in found] == [(1, 2, True)]
+
+
+def test_numbered_versions(spark, tmp_path):
+    store = HadoopStore(spark, f"file://{tmp_path}/h")
+    assert store.get("x") is None
+    tag = store.put("x", b"1", None)
+    with pytest.raises(PublicationConflict):
+        store.put("x", b"2", None)
+    assert store.get("x") == (b"1", tag) and store.put("x", b"2", tag) > tag and store.get("x")[0] == b"2"
