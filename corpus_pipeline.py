@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm import decontaminate, language, near, packing, secrets
 from lorekeep.llm.scratch import written
 
-#: Log likelihood per letter below which a text is in none of the learned languages.
-LEAST_LIKELIHOOD = -10.0
+#: Log likelihood per letter below which a text is in none of the learned languages; a uniform guess of buckets has -11.1.
+LEAST_LIKELIHOOD = -12.0
 
 
 def _read(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
