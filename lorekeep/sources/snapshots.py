@@ -166,6 +166,17 @@ class Snapshots:
         self.store.put("latest.json", json.dumps(manifest, sort_keys=True).encode(), expected)
         return manifest
 
+    def damaged(self, manifest: dict | None = None) -> list[str]:
+        """Partitions of a version whose rows no longer have the digest that they were published under."""
+        manifest = manifest or self.manifest()[0]
+        rows = self.read(manifest)
+        found = {} if rows is None else self._digests(rows.withColumn("_part", F.pmod(F.xxhash64(self.key), F.lit(self.partitions))))
+        return sorted(part for part, digest in manifest["parts"].items() if found.get(part) != digest)
+
+    def reset(self, like: DataFrame) -> dict:
+        """Publish an empty version; older ones stay readable by their manifests."""
+        return self.publish(like.limit(0), self.manifest()[1])
+
     def commit(self, base: dict, ours: DataFrame, tries: int = 8) -> dict:
         """Publish changes made to version ``base``; changes of others are merged in, clashing ones raise."""
         for _ in range(tries):

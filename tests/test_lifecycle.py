@@ -68,6 +68,13 @@ def test_versions(spark, tmp_path):
     assert rows[3] == "new" and rows[99] == "mine" and len(rows) == 41
     with pytest.raises(ValueError, match="concurrent"):
         store.commit(base, first.withColumn("v", F.when(F.col("id") == 3, "other").otherwise(F.col("v"))))
+    manifest, _ = store.manifest()
+    assert store.damaged() == []
+    part, digest = next(iter(manifest["parts"].items()))
+    spark.createDataFrame([(1, "forged")], "id long, v string").write.mode("overwrite").parquet(f"{tmp_path}/s/parts/{digest}")
+    assert part in store.damaged()
+    store.reset(first)
+    assert store.read() is None and store.read(base) is not None
 
 
 def test_store(tmp_path):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.hooks import embedding, extracted
 from lorekeep.operators.service import Refused, Service
-from lorekeep.sources import dialogues, shards
+from lorekeep.sources import dialogues, packages, shards
 from lorekeep.streaming import events as S
 
 
@@ -117,3 +117,22 @@ def test_hit_counters(spark, data, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("out_hits").agg(F.sum("hits")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_packages(spark, tmp_path):
+    import zipfile
+
+    expected = spark.range(3).selectExpr("id AS index")
+    answers = expected.selectExpr("index", "concat('a', index) AS answer")
+    assert packages.package(expected, answers, str(tmp_path / "p.zip")) == 3
+    with zipfile.ZipFile(tmp_path / "p.zip") as z:
+        assert z.read("answers.jsonl").splitlines()[1] == b'{"answer":"a1","index":1}'
+    for wrong in (answers.where("index < 2"), answers.unionByName(answers.limit(1)), answers.unionByName(answers.selectExpr("index + 5 AS index", "answer"))):
+        with pytest.raises(ValueError):
+            packages.package(expected, wrong, str(tmp_path / "q.zip"))
+    packages.write_results(answers, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 3
+    assert packages.strict_json('{"a": [1, null]}') == {"a": [1, None]}
+    for bad in ('{"a": 1, "a": 2}', "[NaN]", "[-Infinity]", "{"):
+        with pytest.raises(ValueError):
+            packages.strict_json(bad)
