@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough for a worker's memory, unless the session has asked for smaller ones."""
+    """Arrow batches small enough for a worker's memory, unless the session has asked for smaller ones; and workers that find this library."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
