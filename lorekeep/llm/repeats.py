@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .inputs import id_and_text
 from .scratch import bounded_batches, written
 from .textbytes import hash_spans, inverse_powers, mix, prefix_sums, slices, text_buffers
 
@@ -133,7 +134,7 @@ class RunLengthIndex:
         room = np.arange(n)
         for more in (2, 4, 6):  # symbols of 9 bits, none from behind the terminator
             step = min(have, more - have)
-            shifted = np.where(room + step <= stop, np.append(key[step:], np.zeros(step, np.int64)), 0)
+            shifted = np.where(room + have <= stop, np.append(key[have:], np.zeros(min(have, n), np.int64))[:n], 0)
             key = (key << (9 * step)) | (shifted >> (9 * (have - step)))
             have = more
         order = np.argsort(key, kind="stable")
@@ -310,7 +311,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, first, last): byte spans of the texts, end exclusive, that lie in repeated strings; they may touch or overlap."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = id_and_text(docs, id_col, text_col)
     long_enough = texts.where(F.octet_length("text") >= length)
     # one shuffle of all segments; only those whose anchor comes again stay
     under = Window.partitionBy("anchor")
@@ -368,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``docs`` needs distinct integer ids; other columns are ignored. Bytes that
     stay may begin or end inside a character, so they are given as binary.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = id_and_text(docs, id_col, text_col).fillna("", "text")
     marked = repeated_spans(docs, id_col, text_col, **parameters)
     by_doc = marked.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     none: Column = F.array().cast("array<struct<first: bigint, last: bigint>>")
