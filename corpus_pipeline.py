@@ -2,7 +2,7 @@
 
 Every stage takes all rows that its predecessor kept, as a table with the columns
 of ``documents``, and what it decides takes effect. Nulls: a document without text
-or without a letter has no language and goes; null ids are not allowed.
+or without a letter has no language and goes, as does a row without an id.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def _read(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; no letters, or no resemblance to any of them, and a document goes."""
-    return language.accepted(docs, language.fit(docs), LEAST_LIKELIHOOD)
+    return language.accepted(docs.where("doc_id IS NOT NULL"), language.fit(docs), LEAST_LIKELIHOOD)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

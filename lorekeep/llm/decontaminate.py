@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .inputs import id_and_text
 from .scratch import bounded_batches, written
 from .textbytes import byte_class, slices, words
 
@@ -218,8 +219,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document: doc_id, n_words, n_hit, items (found by phrase), near_items (by proximity), spans (of hit words)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
+    texts = id_and_text(docs, id_col, text_col)
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
     parts = []
     for block in item_blocks(items, block_words):
         plan = windows_of(block, width)

@@ -225,7 +225,7 @@ def fit(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars. Other columns are ignored."""
+    """One row per page: page_id, url, text, n_chars. Other columns are ignored; a row without an id is left out."""
     bounded_batches(pages.sparkSession)
     weights = fit(pages) if weights is None else weights
 
@@ -234,7 +234,7 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
             texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+    return pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(rows, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import held_out
+from .inputs import id_and_text
 from .scratch import bounded_batches, written
 from .textbytes import byte_class, hash_spans, slices, words
 
@@ -234,7 +235,7 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most_voters: int = MOST_VOTERS, bits: int = FEATURE_BITS) -> Classifier | None:
     """The classifier from the texts of ``docs`` and those ``labels`` (doc_id, toxic) that may be learned from; None without rows of both labels."""
     bounded_batches(docs.sparkSession)
-    chosen = labels.where("toxic IS NOT NULL").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # sample_rows pairs of numbers bound the broadcast
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
     counts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -274,7 +275,7 @@ def _score_rows(model: Classifier):
 def score(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score (likelihood that it is toxic), predicted (score >= 0.5)."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = id_and_text(docs, id_col, text_col)
     out = texts.select("doc_id", F.lit(0.0).alias("score")) if model is None else texts.mapInArrow(_score_rows(model), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
