@@ -51,6 +51,8 @@ WORD_BYTES = ~byte_class((0x09, 0x0D), (0x20, 0x20))
 BANDS, PERMUTATIONS_PER_BAND = 32, 2
 #: Pairs of one round.
 ROUND_PAIRS = 200_000
+#: Size of the filter of ids whose sets are needed.
+FILTER_BITS = 1 << 23
 
 _draw = np.random.default_rng(977)
 _FACTORS = _draw.integers(0, 1 << 63, BANDS * PERMUTATIONS_PER_BAND, dtype=np.uint64) * _U(2) + _U(1)
@@ -125,9 +127,24 @@ def _signature_rows(width: int):
     return rows
 
 
-def _set_rows(width: int):
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that holds every id of ``ids`` (and, by chance, others): what it sends and broadcasts is bounded by its size."""
+    slot = F.pmod(F.col("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(doc_id, {FILTER_BITS}) % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def _set_rows(width: int, packed: bytes):
+    """The full sets of the rows that the filter lets through."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(held[batch.column(0).to_numpy() % len(held)]))
+            if not batch.num_rows:
+                continue
             for lo, hi, data, offsets in slices(batch.column(1)):
                 values, first = _distinct(*shingles(words(data, offsets, WORD_BYTES), width))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(values, first)], names=["doc_id", "members"])
@@ -161,7 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = buckets.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").drop("last")
     stars = written(buckets.join(heads, "bucket").where("a <> b").select("a", "b").distinct(), "stars")
     needed = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(texts.join(needed, "doc_id").mapInArrow(_set_rows(width), "doc_id long, members array<long>"), "sets")
+    # a filter of fixed size keeps most other texts from being hashed again, the join drops the rest; texts are not shuffled
+    packed = np.packbits(id_filter(needed)).tobytes()
+    sets = written(texts.mapInArrow(_set_rows(width, packed), "doc_id long, members array<long>").join(needed, "doc_id", "left_semi"), "sets")
     links = _confirmed(stars, sets, percent)
     groups = components(links)
     families = components(stars).withColumnRenamed("component", "family")
