@@ -10,13 +10,14 @@ a special token's string, are encoded whole by the library.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces remembered in one generation; the older of two generations is dropped when the newer is full.
-REMEMBERED = 250_000
+#: Pieces remembered in one generation, about 200 bytes each; the older of two generations is dropped when the newer is full.
+REMEMBERED = 500_000
 
 _latin = [chr(c) for c in range(0x250)]
 _LETTERS = re.escape("".join(c for c in _latin if unicodedata.category(c)[0] == "L"))
@@ -43,7 +44,7 @@ class _Remembered(dict):
         ids = self.older.get(piece)
         if ids is None:
             found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids = np.array([x.id for x in found], dtype="<u4").tobytes()
+            ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
