@@ -44,7 +44,7 @@ _U = np.uint64
 LENGTH = 200
 ANCHOR = 100
 HOT_SEGMENTS = 20_000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
