@@ -36,6 +36,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _plain(text: str) -> bool:
+    """Whether a text may be cut here; the quick test holds for most texts, the pattern decides the others."""
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            if text.replace("\n", "").isprintable():
+                return True
+    return not _UNKNOWN.search(text)
+
+
 class _Remembered(dict):
     def __init__(self, model) -> None:
         self.model, self.older, self.letters = model, {}, _byte_letters()
@@ -64,7 +77,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _UNKNOWN.search(text):
+        if not _plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, self.cut(text.lower() if self.lower else text)))
 
