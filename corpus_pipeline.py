@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm import decontaminate, language, near, packing, secrets
 from lorekeep.llm.scratch import written
 
-#: Log likelihood per letter below which a text is in none of the learned languages; a uniform guess of buckets has -11.1.
-LEAST_LIKELIHOOD = -12.0
+#: Margin of the learned languages' best mixture over the background below which a text is in none of them: no better than it.
+LEAST_MARGIN = 0.0
 
 
 def _read(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
@@ -25,8 +25,8 @@ def _read(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; no letters, or no resemblance to any of them, and a document goes."""
-    return language.accepted(docs.where("doc_id IS NOT NULL"), language.fit(docs), LEAST_LIKELIHOOD)
+    """Documents in one of the learned languages; no letters, or no better explained by them than by letters without an order, and a document goes."""
+    return language.accepted(docs.where("doc_id IS NOT NULL"), language.fit(docs), LEAST_MARGIN)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

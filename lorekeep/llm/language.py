@@ -9,6 +9,11 @@ largest shares the mixture is fitted again, and another language is taken in
 only if the likelihood gains more than ``penalty`` times the logarithm of the
 number of words. The prediction is the selected language with the largest share.
 
+Whether a text is in any of the languages at all is another question, with another
+table (``accepted``): the best mixture against a background of independent letters
+or no pattern at all. There a trigram that a language has not shown costs the same
+in every language, however many letters its training texts have.
+
 What is collected is one count for each language and trigram bucket, bounded by
 their numbers. Null texts and texts without a letter are ``und`` with score 0.
 With no training row every text is ``und``. Other columns are ignored.
@@ -33,6 +38,8 @@ ROUNDS = 8
 MOST_LANGUAGES = 3
 PENALTY = 2.0
 UNDETERMINED = "und"
+#: Share of a language's trigrams that are left to any bucket, when texts are accepted; half of the background has no pattern.
+UNSEEN = 0.01
 
 _LETTER = byte_class((0x61, 0x7A), (0x80, 0xFF))
 
@@ -43,8 +50,9 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 @dataclass
 class Grams:
-    """Trigram buckets of all letters, where each word begins among them, and where each row's words begin."""
+    """Trigrams of all letters and their buckets, where each word begins among them, and where each row's words begin."""
 
+    codes: np.ndarray
     buckets: np.ndarray
     word_first: np.ndarray
     row_first: np.ndarray
@@ -70,13 +78,15 @@ def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Grams:
     found = ((code * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(buckets)
     new = np.flatnonzero(left[at] == 0x20)
     rows = np.searchsorted(at[new], offsets)
-    return Grams(found.astype(np.int64), new, rows)
+    return Grams(code, found.astype(np.int64), new, rows)
 
 
 @dataclass
 class Model:
     languages: list[str]
     log_p: np.ndarray  # (buckets, languages)
+    log_even: np.ndarray  # the same, smoothed by a share
+    log_byte: np.ndarray  # (256,): of all languages' trigrams
 
 
 def _count_rows(buckets: int):
@@ -90,8 +100,11 @@ def _count_rows(buckets: int):
                 row = np.repeat(np.arange(hi - lo), np.diff(letters))
                 for lang in set(langs[lo:hi]):
                     mine = found.buckets[(langs[lo:hi] == lang)[row]]
-                    total.setdefault(lang, np.zeros(buckets, np.int64))
-                    total[lang] += np.bincount(mine, minlength=buckets)
+                    total.setdefault(lang, np.zeros(buckets + 256, np.int64))
+                    total[lang] += np.bincount(mine, minlength=buckets + 256)
+                    codes = found.codes[(langs[lo:hi] == lang)[row]]
+                    for shift in (0, 8, 16):
+                        total[lang][buckets:] += np.bincount((codes >> shift) & 0xFF, minlength=256)
         for lang, counts in total.items():
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], names=["lang", "bucket", "n"])
@@ -105,9 +118,12 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", buc
     rows = training.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = rows.mapInArrow(_count_rows(buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
-    table = np.ones((buckets, len(languages)))
-    table[counted["bucket"].to_numpy(), np.searchsorted(languages, counted["lang"])] += counted["n"].to_numpy()
-    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32) if languages else table)
+    counts = np.zeros((buckets + 256, len(languages)))
+    counts[counted["bucket"].to_numpy(), np.searchsorted(languages, counted["lang"])] += counted["n"].to_numpy()
+    table, of_bytes = counts[:buckets] + 1, counts[buckets:].sum(axis=1)
+    even = (1 - UNSEEN) * counts[:buckets] / np.maximum(counts[:buckets].sum(axis=0), 1) + UNSEEN / buckets
+    byte = (1 - UNSEEN) * of_bytes / max(of_bytes.sum(), 1) + UNSEEN / 256
+    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32) if languages else table, np.log(even).astype(np.float32), np.log(byte))
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -196,16 +212,31 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return texts.mapInArrow(_identify_rows(model, rounds, penalty, most), "doc_id long, lang_pred string, score double, languages array<string>, log_likelihood double")
 
 
+def margins(data: np.ndarray, offsets: np.ndarray, model: Model, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(log likelihood ratio of the best mixture of languages against the background, letters) of each row."""
+    found = grams(data, offsets, len(model.log_even))
+    rows, n = len(offsets) - 1, len(model.languages)
+    if not len(found.word_first):
+        return np.zeros(rows), np.zeros(rows, int)
+    words = np.add.reduceat(model.log_even[found.buckets], found.word_first, axis=0).astype(np.float64)
+    top = words.max(axis=1)
+    _, mixed = mixture(np.exp(np.maximum(words - top[:, None], -60)), found.row_first, np.ones((rows, n)), rounds)
+    letters = np.append(found.word_first, len(found.buckets))[found.row_first]
+    independent = sum(model.log_byte[(found.codes >> shift) & 0xFF] for shift in (0, 8, 16))
+    background = np.logaddexp(independent, -np.log(len(model.log_even))) - np.log(2)
+    return _sums(top, found.row_first) + mixed - _sums(background, letters), np.diff(letters)
+
+
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a letter and a log likelihood per letter of ``least`` or more; one pass, no join."""
+    """The rows of ``docs`` whose text has a letter and a margin (see ``margins``) of ``least`` or more; one pass, no join."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    judge = _identify_rows(model, ROUNDS, PENALTY, MOST_LANGUAGES)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at)], names=["doc_id", "text"])
-            keep = [lang != UNDETERMINED and fitness >= least for part in judge([pairs]) for lang, fitness in zip(part.column(1).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            keep = np.array([any(map(str.isalpha, t)) if t else False for t in batch.column(at).to_pylist()], dtype=bool)
+            for lo, hi, data, offsets in slices(batch.column(at)):
+                keep[lo:hi] &= margins(data, offsets, model)[0] >= least if model.languages else False
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
