@@ -7,7 +7,7 @@ proportions from the words' trigram likelihoods. Which languages a text has is
 chosen by penalised likelihood: for one, two, ... of the languages with the
 largest shares the mixture is fitted again, and another language is taken in
 only if the likelihood gains more than ``penalty`` times the logarithm of the
-number of words. The prediction is the selected language with the largest share.
+number of words, up to all learned languages. The prediction is the selected language with the largest share.
 
 Whether a text is in any of the languages at all is another question, with another
 table (``accepted``): the best mixture against a background of independent letters
@@ -35,7 +35,6 @@ from .textbytes import LOWER, byte_class, slices
 
 BUCKETS = 1 << 16
 ROUNDS = 8
-MOST_LANGUAGES = 3
 PENALTY = 2.0
 UNDETERMINED = "und"
 #: Share of a language's trigrams that are left to any bucket, when texts are accepted; half of the background has no pattern.
@@ -149,7 +148,7 @@ def mixture(likelihood: np.ndarray, first: np.ndarray, allowed: np.ndarray, roun
     return shares, _sums(total, first)
 
 
-def identify(data: np.ndarray, offsets: np.ndarray, model: Model, rounds: int = ROUNDS, penalty: float = PENALTY, most: int = MOST_LANGUAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def identify(data: np.ndarray, offsets: np.ndarray, model: Model, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(best language, its share, selected languages (rows, languages), log likelihood per letter) of each row."""
     found = grams(data, offsets, len(model.log_p))
     rows, n = len(offsets) - 1, len(model.languages)
@@ -168,21 +167,29 @@ def identify(data: np.ndarray, offsets: np.ndarray, model: Model, rounds: int =
     chosen[np.arange(rows), best] = True
     settled = shares.copy()
     price = penalty * np.log(np.maximum(np.diff(first), 2))
-    for k in range(2, min(most, n) + 1):
-        allowed = np.zeros((rows, n))
-        np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-        again, log_likelihood = mixture(likelihood, first, allowed, rounds)
-        better = log_likelihood - (k - 1) * price > value
-        value = np.where(better, log_likelihood - (k - 1) * price, value)
-        chosen[better] = allowed[better] > 0
-        settled[better] = again[better]
+    for k in range(2, n + 1):
+        # no log likelihood is above 0: the other rows can't gain by k or more languages
+        open_rows = np.flatnonzero(-(k - 1) * price > value)
+        if not len(open_rows):
+            break
+        sizes = np.diff(first)
+        its_words = np.zeros(len(likelihood), dtype=bool)
+        its_words[first[0] : first[-1]] = np.repeat(np.isin(np.arange(rows), open_rows), sizes)
+        allowed = np.zeros((len(open_rows), n))
+        np.put_along_axis(allowed, order[open_rows, :k], 1, axis=1)
+        again, log_likelihood = mixture(likelihood[its_words], np.concatenate([[0], np.cumsum(sizes[open_rows])]), allowed, rounds)
+        penalised = log_likelihood - (k - 1) * price[open_rows]
+        better = penalised > value[open_rows]
+        value[open_rows[better]] = penalised[better]
+        chosen[open_rows[better]] = allowed[better] > 0
+        settled[open_rows[better]] = again[better]
     best = np.where(chosen.sum(axis=1) > 1, np.where(chosen, settled, -1).argmax(axis=1), best)
     letters = np.append(found.word_first, len(found.buckets))[first]
     per_letter = (_sums(top, first) + single.max(axis=1)) / np.maximum(np.diff(letters), 1)
     return best, np.clip(settled[np.arange(rows), best], 0, 1), chosen, per_letter
 
 
-def _identify_rows(model: Model, rounds: int, penalty: float, most: int):
+def _identify_rows(model: Model, rounds: int, penalty: float):
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +198,7 @@ def _identify_rows(model: Model, rounds: int, penalty: float, most: int):
                 texts = batch.column(1).slice(lo, hi - lo)
                 has_letter = np.array([any(map(str.isalpha, t)) if t else False for t in texts.to_pylist()], dtype=bool)
                 if model.languages:
-                    best, share, chosen, fitness = identify(data, offsets, model, rounds, penalty, most)
+                    best, share, chosen, fitness = identify(data, offsets, model, rounds, penalty)
                 else:
                     best, share, chosen, fitness = np.zeros(hi - lo, int), np.zeros(hi - lo), np.zeros((hi - lo, 0), bool), np.zeros(hi - lo)
                     has_letter[:] = False
@@ -205,11 +212,11 @@ def _identify_rows(model: Model, rounds: int, penalty: float, most: int):
     return rows
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, penalty: float = PENALTY, most: int = MOST_LANGUAGES) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, penalty: float = PENALTY) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (its share), languages (all selected), log_likelihood (per letter)."""
     bounded_batches(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
-    return texts.mapInArrow(_identify_rows(model, rounds, penalty, most), "doc_id long, lang_pred string, score double, languages array<string>, log_likelihood double")
+    return texts.mapInArrow(_identify_rows(model, rounds, penalty), "doc_id long, lang_pred string, score double, languages array<string>, log_likelihood double")
 
 
 def margins(data: np.ndarray, offsets: np.ndarray, model: Model, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:

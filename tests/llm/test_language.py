@@ -33,6 +33,15 @@ def test_mixtures(spark, documents, model):
     assert made[2].lang_pred == "fr" and made[2].score > 0.8
 
 
+def test_all_languages_of_a_text(spark, documents, model):
+    by = {r.lang: r.text for r in documents.where("n_chars > 3000").collect()}
+    assert len(by) == len(model.languages) == 4
+    rows = [(n, "\n".join(by[lang][:1500] for lang in sorted(by)[:n])) for n in (1, 2, 3, 4)]
+    made = {r.doc_id: r for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert {n: r.languages for n, r in made.items()} == {n: sorted(by)[:n] for n in made}
+    assert all(abs(r.score - 1 / n) < 0.12 for n, r in made.items())
+
+
 def test_edges(texts, model):
     rows = [*EDGE, (30, "123 !!"), (31, "É")]
     made = {r.doc_id: r for r in predict(texts(rows), model).collect()}
