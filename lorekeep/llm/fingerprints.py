@@ -10,6 +10,12 @@ in the same order, so likeness falls with edit distance, not only with what the
 texts have in common. Likeness is the share of agreeing slots among those that
 either text fills; two texts without words are alike (1.0).
 
+In a text of few k-mers many families are empty. With ``densified``, as the query
+has it, such a family borrows the selection of another one, of the first that is
+filled in an order of its own, and the two of a slot never are of one family: every
+slot of a text orders two k-mers, if its k-mers fill two families. Without it, a
+slot may have one k-mer and no order, or none.
+
 A text of fewer words than a k-mer is one k-mer, its whole sequence. Nulls are
 empty texts. Ids must be distinct integers; other columns are ignored.
 
@@ -20,6 +26,8 @@ shuffled once, and every later step is local to its partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +49,7 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", width: int = WIDTH, slots: int = SLOTS) -> DataFrame:
+def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", width: int = WIDTH, slots: int = SLOTS, densified: bool = False) -> DataFrame:
     """``keys`` and ``signature``: an array of ``slots`` hashes (null: an empty slot) for each row; ``keys`` name it."""
     w = F.col("_words")
     grams = F.arrays_zip(*(F.slice(w, 1 + i, F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(width)))
@@ -55,6 +63,9 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", width:
     packed = F.when(F.col("_at").isNotNull(), F.shiftleft(F.shiftrightunsigned("_hash", 31), 31).bitwiseOR(F.col("_at").cast("long")))
     dealt = hashed.select(*keys, F.floor(family / 2).cast("int").alias("_slot"), (family % 2).alias("_side"), packed.alias("_packed"))
     picked = dealt.groupBy(*keys, "_slot").agg(F.min(F.when(F.col("_side") == 0, F.col("_packed"))).alias("_a"), F.min(F.when(F.col("_side") == 1, F.col("_packed"))).alias("_b"))
+    if densified:
+        sides = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_slot", F.struct("_a", "_b")))).alias("_map"))
+        return sides.select(*keys, _densified(F.col("_map"), slots).alias("signature"))
     place = lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))
     what = lambda c: F.shiftrightunsigned(c, 31)
     in_order = F.when(F.col("_b").isNull() | (place("_a") < place("_b")), F.xxhash64(F.lit(0), what("_a"), F.lit(1), what("_b"))).otherwise(F.xxhash64(F.lit(1), what("_b"), F.lit(0), what("_a")))
@@ -63,6 +74,53 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", width:
     return listed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.col("_map")[i.cast("int")]).alias("signature"))
 
 
+def _step(family: int, families: int) -> int:
+    """The odd stride by which a family of a power of two goes through the others."""
+    return (family * 0x9E3779B1 >> 7) % families | 1
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _densified(picked: Column, slots: int) -> Column:
+    """The signature from a map of slots to both selections (``_a``, ``_b``), empty families filled from others."""
+    n = 2 * slots
+    if n & (n - 1):
+        raise ValueError("the number of slots must be a power of two")
+    back = [pow(_step(f, n), -1, n) for f in range(n)]
+    place, what = lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)), lambda c: F.shiftrightunsigned(c, 31)
+    low = lambda c: c.bitwiseAND(F.lit(n - 1))
+    strides, inverse = F.lit([_step(f, n) for f in range(n)]), F.lit(back)
+
+    def lender(family: Column, filled: Column, but: Column) -> Column:
+        """Of the filled families but one, the first in a family's order; null if there is none."""
+        at = lambda table: F.element_at(table, family + 1)
+        first = F.array_min(F.transform(filled, lambda g: F.when(g != but, low((g - family) * at(inverse)))))
+        return low(family + first * at(strides))
+
+    def slot(i: Column, sides: Column, filled: Column) -> Column:
+        a, b = F.element_at(sides, 2 * i + 1), F.element_at(sides, 2 * i + 2)
+        return F.when(a.isNotNull() & b.isNotNull(), pair(a, b)).otherwise(_once(F.when(a.isNotNull(), 2 * i).otherwise(lender(2 * i, filled, F.lit(-1))), lambda f: borrowed(i, f, sides, filled)))
+
+    def borrowed(i: Column, f: Column, sides: Column, filled: Column) -> Column:
+        g = F.when(F.element_at(sides, 2 * i + 2).isNotNull() & (f != 2 * i + 1), 2 * i + 1).otherwise(lender(2 * i + 1, filled, f))
+        return _once(F.struct(F.element_at(sides, f + 1).alias("a"), F.element_at(sides, g + 1).alias("b")), lambda x: pair(x["a"], x["b"]))
+
+    def pair(a: Column, b: Column) -> Column:
+        ordered = F.when(b.isNull() | (place(a) < place(b)), F.xxhash64(F.lit(0), what(a), F.lit(1), what(b))).otherwise(F.xxhash64(F.lit(1), what(b), F.lit(0), what(a)))
+        return ordered.bitwiseAND(F.lit(0xFFFFFFFF))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.array(picked[i]["_a"], picked[i]["_b"])))
+    families = F.sequence(F.lit(0), F.lit(n - 1))
+    signed = lambda sides: _once(
+        F.filter(families, lambda f: F.element_at(sides, f + 1).isNotNull()),
+        lambda filled: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.when(F.size(filled) > 0, slot(i, sides, filled))),
+    )
+    return _once(every, signed)
+
+
 def fingerprint(signature: Column) -> Column:
     """A signature as text: eight hexadecimal digits a slot."""
     return F.array_join(F.transform(signature, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 8, "0")), F.lit(_EMPTY))), "")
@@ -104,7 +162,7 @@ def with_next(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFr
     return every.withColumn("next_text", F.lead("text").over(Window.partitionBy("bucket").orderBy("added", "doc_id")))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, slots: int = SLOTS, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, slots: int = SLOTS, partition_bytes: int = PARTITION_BYTES, densified: bool = False) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last half of the code points replaced by as many of the next document's first ones.
@@ -117,7 +175,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # few and short keys: the k-mers are sorted by them; what else a row has is joined afterwards
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("value")))
     each = rows.select("bucket", "added", "doc_id", F.explode(both).alias("x")).where("x.value IS NOT NULL").select("bucket", "doc_id", (F.col("x.kind") + F.when(F.col("added"), 2).otherwise(0)).alias("kind"), "x.value")
-    signed = signatures(each, ["bucket", "doc_id", "kind"], "value", width, slots)
+    signed = signatures(each, ["bucket", "doc_id", "kind"], "value", width, slots, densified)
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("signature"))).alias(f"s{kind}")
     one = signed.groupBy("bucket", "doc_id").agg(of(0), of(1), of(2))
     beside = one.withColumn("own", F.coalesce("s0", "s2")).withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy(F.col("s0").isNull(), "doc_id")))
@@ -135,4 +193,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), densified=True)

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from cases import EDGE
 
-from lorekeep.llm.fingerprints import fingerprints
+from lorekeep.llm.fingerprints import fingerprints, op2_fingerprints
 
 M = (1 << 64) - 1
 P1, P2, P3, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
@@ -99,3 +99,60 @@ def test_order_matters(texts):
 def test_native(spark, data, capsys):
     fingerprints(spark.read.parquet(f"{data}/documents.parquet")).explain()
     assert "Python" not in (said := capsys.readouterr().out) and "Arrow" not in said
+
+
+def densified(text, width=3, slots=64):
+    """The signature by walking through the families, and how many slots order two k-mers."""
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
+    seen, least, n = Counter(), {}, 2 * slots
+    for i in range(max(len(w) - width + 1, min(1, len(w)))):
+        kmer = 42
+        for x in w[i : i + width]:
+            kmer = xxhash.xxh64(x.encode(), seed=kmer).intdigest()
+        seen[kmer] += 1
+        h = of_int(seen[kmer], of_long(kmer, 42))
+        packed = signed(h >> 31 << 31 & M) | i
+        least[signed(h) % n] = min(least.get(signed(h) % n, packed), packed)
+
+    def lender(family, but):
+        stride = (family * 0x9E3779B1 >> 7) % n | 1
+        return next((g for t in range(n) if (g := (family + t * stride) % n) in least and g != but), None)
+
+    out, two = [], 0
+    for j in range(slots):
+        f = lender(2 * j, None)
+        if f is None:
+            out.append(None)
+            continue
+        g = lender(2 * j + 1, f)
+        parts = [(0, least[f]), (1, least.get(g))]
+        two += g is not None
+        if g is not None and (least[f] & (1 << 31) - 1) >= (least[g] & (1 << 31) - 1):
+            parts.reverse()
+        h = 42
+        for side, x in parts:
+            h = of_int(side, h)
+            h = h if x is None else of_long((x & M) >> 31, h)
+        out.append(h & 0xFFFFFFFF)
+    return out, two
+
+
+def test_densified_equals_brute_force(texts):
+    made = found(texts(ROWS), densified=True)
+    for d, text in ROWS:
+        assert made[d][2] == "".join("........" if x is None else f"{x:08x}" for x in densified(text or "")[0]), d
+        assert densified(text or "")[1] == 64 or len((text or "").split()) < 5
+
+
+@pytest.mark.parametrize("size", [20, 60, 130])
+def test_order_matters_in_short_texts(spark, tmp_path, size):
+    rows = []
+    for i in range(0, 40, 2):
+        words = [f"w{i}x{j}" for j in range(size)]
+        q = size // 4
+        turned = words[3 * q :] + words[2 * q : 3 * q] + words[q : 2 * q] + words[:q]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(turned))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = [r.near_next for r in op2_fingerprints(spark, str(tmp_path)).collect() if r.doc_id % 2 == 0]
+    # of two k-mers that both have, one pair in four at most is of one quarter
+    assert 0 < sum(near) / len(near) < 0.3
