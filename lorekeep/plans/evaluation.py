@@ -114,10 +114,10 @@ _EVERY = P.legs("own", "is_active", 20)
 _SCORED = (P.RECORDS, P.QUESTIONS, _EVERY, P.chosen("own", "own_ranked", "10"), _GOLD, _FOUND, "judged AS (SELECT f.qid, f.found, coalesce(g.gold, []) AS gold FROM found AS f LEFT JOIN gold AS g ON g.qid = f.qid)")
 
 
-def _judged(spark, d):
+def _judged(spark, d, config=CONFIG):
     """(qid, found, gold) of a recall over all active records."""
     rows = T.records(spark, d).where("is_active")
-    plan = R.chosen(R.candidates(R.prepared(rows), T.questions(spark, d), T.now(), CONFIG), F.lit(10), CONFIG)
+    plan = R.chosen(R.candidates(R.prepared(rows), T.questions(spark, d), T.now(), config), F.lit(config.k), config)
     found = plan.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("found"))
     items = T.questions(spark, d).select("qid", "query")
     gold = T.table(spark, d, "documents").join(F.broadcast(items), F.contains(F.col("text"), F.col("query"))).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
@@ -130,24 +130,24 @@ _NDCG = "CASE WHEN len(gold) > 0 THEN coalesce(list_sum(list_transform(list_filt
 
 
 @_add("metric_recall", P.query(*_SCORED, select=f"SELECT qid, round({_RECALL}, 9) AS recall FROM judged"))
-def metric_recall(spark, d):
-    return _judged(spark, d).select("qid", F.round(E.recall_at(F.col("gold"), F.col("found"), 10), 9).alias("recall"))
+def metric_recall(spark, d, config=CONFIG):
+    return _judged(spark, d, config).select("qid", F.round(E.recall_at(F.col("gold"), F.col("found"), 10), 9).alias("recall"))
 
 
 @_add("metric_mrr", P.query(*_SCORED, select=f"SELECT qid, round({_MRR}, 9) AS mrr FROM judged"))
-def metric_mrr(spark, d):
-    return _judged(spark, d).select("qid", F.round(E.reciprocal_rank(F.col("gold"), F.col("found")), 9).alias("mrr"))
+def metric_mrr(spark, d, config=CONFIG):
+    return _judged(spark, d, config).select("qid", F.round(E.reciprocal_rank(F.col("gold"), F.col("found")), 9).alias("mrr"))
 
 
 @_add("metric_ndcg", P.query(*_SCORED, select=f"SELECT qid, round({_NDCG}, 9) AS ndcg FROM judged"))
-def metric_ndcg(spark, d):
-    return _judged(spark, d).select("qid", F.round(E.ndcg_at(F.col("gold"), F.col("found"), 10), 9).alias("ndcg"))
+def metric_ndcg(spark, d, config=CONFIG):
+    return _judged(spark, d, config).select("qid", F.round(E.ndcg_at(F.col("gold"), F.col("found"), 10), 9).alias("ndcg"))
 
 
 @_add("eval_retrieval", P.query(*_SCORED, select=f"SELECT count(*) AS n, count({_RECALL}) AS with_gold, round(avg({_RECALL}), 4) AS recall, round(avg({_MRR}) FILTER (WHERE len(gold) > 0), 4) AS mrr, round(avg({_NDCG}) FILTER (WHERE len(gold) > 0), 4) AS ndcg FROM judged"))
-def eval_retrieval(spark, d):
+def eval_retrieval(spark, d, config=CONFIG):
     gold, found = F.col("gold"), F.col("found")
-    scored = _judged(spark, d).select(E.recall_at(gold, found, 10).alias("r"), F.when(F.size(gold) > 0, E.reciprocal_rank(gold, found)).alias("m"), F.when(F.size(gold) > 0, E.ndcg_at(gold, found, 10)).alias("g"))
+    scored = _judged(spark, d, config).select(E.recall_at(gold, found, 10).alias("r"), F.when(F.size(gold) > 0, E.reciprocal_rank(gold, found)).alias("m"), F.when(F.size(gold) > 0, E.ndcg_at(gold, found, 10)).alias("g"))
     return scored.agg(F.count("*").alias("n"), F.count("r").alias("with_gold"), F.round(F.avg("r"), 4).alias("recall"), F.round(F.avg("m"), 4).alias("mrr"), F.round(F.avg("g"), 4).alias("ndcg"))
 
 

@@ -107,20 +107,20 @@ def term_overlap(spark, d):
 
 
 @_add("recent_leg", P.query(*_LEGS, select="SELECT qid, id, rank FROM own_recent"))
-def recent_leg(spark, d):
-    return R.recent_leg(_scoped(spark, d), T.questions(spark, d), CONFIG)
+def recent_leg(spark, d, config=CONFIG):
+    return R.recent_leg(_scoped(spark, d), T.questions(spark, d), config)
 
 
 @_add("lexical_leg", P.query(*_LEGS, select="SELECT qid, id, rank, overlap::BIGINT AS overlap FROM own_lex"))
-def lexical_leg(spark, d):
-    return R.lexical_leg(_scoped(spark, d), T.questions(spark, d), CONFIG)
+def lexical_leg(spark, d, config=CONFIG):
+    return R.lexical_leg(_scoped(spark, d), T.questions(spark, d), config)
 
 
 @_add("lexical_or_vs_and", P.query(*_BASE, P.legs("own", P.OWN, 20), P.legs("every", P.OWN, 20, False), select="SELECT o.qid, count(*) AS n_or, coalesce(any_value(a.n), 0) AS n_and FROM own_lex AS o LEFT JOIN (SELECT qid, count(*) AS n FROM every_lex GROUP BY qid) AS a ON a.qid = o.qid GROUP BY o.qid"))
-def lexical_or_vs_and(spark, d):
+def lexical_or_vs_and(spark, d, config=CONFIG):
     rows, asked = _scoped(spark, d), T.questions(spark, d)
-    either = R.lexical_leg(rows, asked, CONFIG).groupBy("qid").agg(F.count("*").alias("n_or"))
-    every = R.lexical_leg(rows, asked, CONFIG.but(lexical_any=False)).groupBy("qid").agg(F.count("*").alias("n"))
+    either = R.lexical_leg(rows, asked, config).groupBy("qid").agg(F.count("*").alias("n_or"))
+    every = R.lexical_leg(rows, asked, config.but(lexical_any=False)).groupBy("qid").agg(F.count("*").alias("n"))
     return either.join(every, "qid", "left").select("qid", "n_or", F.coalesce("n", F.lit(0)).alias("n_and"))
 
 
@@ -134,54 +134,54 @@ def lexical_or_vs_and(spark, d):
         select="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created_at DESC, id) - 1 AS rank, score FROM scored QUALIFY rank < 20",
     ),
 )
-def lexical_tf_leg(spark, d):
-    return R.token_leg(_scoped(spark, d), T.questions(spark, d), CONFIG)
+def lexical_tf_leg(spark, d, config=CONFIG):
+    return R.token_leg(_scoped(spark, d), T.questions(spark, d), config)
 
 
 @_add("tag_leg", P.query(*_LEGS, select="SELECT qid, id, rank, labels FROM own_tag"))
-def tag_leg(spark, d):
-    return R.tag_leg(_scoped(spark, d), T.questions(spark, d), CONFIG)
+def tag_leg(spark, d, config=CONFIG):
+    return R.tag_leg(_scoped(spark, d), T.questions(spark, d), config)
 
 
 @_add("vector_leg", P.query(*_LEGS, select="SELECT qid, id, rank, cosine FROM own_vec"))
-def vector_leg(spark, d):
-    return R.vector_leg(_scoped(spark, d), T.questions(spark, d), CONFIG)
+def vector_leg(spark, d, config=CONFIG):
+    return R.vector_leg(_scoped(spark, d), T.questions(spark, d), config)
 
 
 @_add("rrf_fuse", P.query(*_LEGS, select="SELECT qid, id, round(rrf, 9) AS rrf FROM own_scored WHERE rrf > 0"))
-def rrf_fuse(spark, d):
+def rrf_fuse(spark, d, config=CONFIG):
     rows, asked = _scoped(spark, d), T.questions(spark, d)
-    legs = {"lexical": (R.lexical_leg(rows, asked, CONFIG), 1.0), "tag": (R.tag_leg(rows, asked, CONFIG), 1.0), "vector": (R.vector_leg(rows, asked, CONFIG), 2.0)}
-    return R.fuse(legs, CONFIG).select("qid", "id", F.round("rrf", 9).alias("rrf"))
+    legs = {"lexical": (R.lexical_leg(rows, asked, config), 1.0), "tag": (R.tag_leg(rows, asked, config), 1.0), "vector": (R.vector_leg(rows, asked, config), 2.0)}
+    return R.fuse(legs, config).select("qid", "id", F.round("rrf", 9).alias("rrf"))
 
 
-def _candidates(spark, d):
-    return R.candidates(_scoped(spark, d), T.questions(spark, d), T.now(), CONFIG)
+def _candidates(spark, d, config=CONFIG):
+    return R.candidates(_scoped(spark, d), T.questions(spark, d), T.now(), config)
 
 
 @_add("rank_final", P.query(*_LEGS, select="SELECT qid, id, rank FROM own_ranked"))
-def rank_final(spark, d):
-    return _candidates(spark, d).select("qid", "id", "rank")
+def rank_final(spark, d, config=CONFIG):
+    return _candidates(spark, d, config).select("qid", "id", "rank")
 
 
 @_add("salience", P.query(*_LEGS, select="SELECT qid, id, round(salience, 6) AS salience FROM own_ranked"))
-def salience(spark, d):
-    return _candidates(spark, d).select("qid", "id", F.round("salience", 6).alias("salience"))
+def salience(spark, d, config=CONFIG):
+    return _candidates(spark, d, config).select("qid", "id", F.round("salience", 6).alias("salience"))
 
 
 @_add("reserve_event", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT qid, position, id, matched FROM own"))
-def reserve_event(spark, d):
-    return R.chosen(_candidates(spark, d), F.lit(10), CONFIG).select("qid", "position", "id", "matched")
+def reserve_event(spark, d, config=CONFIG):
+    return R.chosen(_candidates(spark, d, config), F.lit(config.k), config).select("qid", "position", "id", "matched")
 
 
 @_add("reserve_created", P.query(*_LEGS, P.chosen("own", "own_ranked", "10", "created_at"), select="SELECT qid, position, id, matched FROM own"))
-def reserve_created(spark, d):
-    return R.chosen(_candidates(spark, d), F.lit(10), CONFIG.but(event_reserve=False)).select("qid", "position", "id", "matched")
+def reserve_created(spark, d, config=CONFIG):
+    return R.chosen(_candidates(spark, d, config), F.lit(config.k), config.but(event_reserve=False)).select("qid", "position", "id", "matched")
 
 
 @_add("recall_own", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT qid, position, id, round(rrf, 9) AS rrf, round(salience, 6) AS salience, matched FROM own"))
-def recall_own(spark, d):
-    out = R.own_recall(T.records(spark, d), T.questions(spark, d), CALLER, T.now(), CONFIG)
+def recall_own(spark, d, config=CONFIG):
+    out = R.own_recall(T.records(spark, d), T.questions(spark, d), CALLER, T.now(), config)
     return out.select("qid", "position", "id", F.round("rrf", 9).alias("rrf"), F.round("salience", 6).alias("salience"), "matched")
 
 
@@ -194,13 +194,13 @@ _TWO = (
 )
 
 
-def _two(spark, d):
-    return R.two_sections(T.records(spark, d), T.questions(spark, d), CALLER, T.now(), CONFIG)
+def _two(spark, d, config=CONFIG):
+    return R.two_sections(T.records(spark, d), T.questions(spark, d), CALLER, T.now(), config)
 
 
 @_add("two_section", P.query(*_TWO, select="SELECT qid, place, section, id, matched FROM placed"))
-def two_section(spark, d):
-    return _two(spark, d).select("qid", "place", "section", "id", "matched")
+def two_section(spark, d, config=CONFIG):
+    return _two(spark, d, config).select("qid", "place", "section", "id", "matched")
 
 
 @_add("two_section_disjoint", P.query(P.RECORDS, select=f"SELECT (SELECT count(*) FROM records WHERE {P.OWN}) AS n_own, (SELECT count(*) FROM records WHERE {P.TEAM}) AS n_team, (SELECT count(*) FROM records WHERE ({P.OWN}) AND ({P.TEAM})) AS n_both"))
@@ -213,16 +213,16 @@ _SUMMARY = "trim(coalesce(nullif(context_summary, ''), content))"
 
 
 @_add("recall_full", P.query(*_TWO, select=f"SELECT p.qid, p.place, p.section, p.id, p.hit_count, round(p.salience, 6) AS salience, p.matched, {_SUMMARY} AS summary, strftime(r.occurred_at, '%Y-%m-%d') AS occurred_on, {_BY} AS by FROM placed AS p JOIN records AS r ON r.id = p.id"))
-def recall_full(spark, d):
+def recall_full(spark, d, config=CONFIG):
     """The flagship: two-section hybrid recall with payload, for all questions in one plan."""
-    out = R.recall(T.records(spark, d), T.questions(spark, d), CALLER, T.now(), CONFIG)
+    out = R.recall(T.records(spark, d), T.questions(spark, d), CALLER, T.now(), config)
     return out.withColumn("salience", F.round("salience", 6))
 
 
 @_add("recall_debug", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT o.qid, o.position, r.id, round(o.rrf, 9) AS score, o.matched, r.agent_type AS persona FROM own AS o LEFT JOIN records AS r ON r.id = o.id"))
-def recall_debug(spark, d):
+def recall_debug(spark, d, config=CONFIG):
     rows = T.records(spark, d)
-    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), CONFIG)
+    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), config)
     return plan.select("qid", "position", "id", F.round("rrf", 9).alias("score"), "matched").join(rows.select("id", F.col("agent_type").alias("persona")), "id", "left")
 
 
@@ -243,24 +243,24 @@ def contributors(spark, d):
         select=f"SELECT r.id, r.hit_count + CASE WHEN u.matched THEN 1 ELSE 0 END AS hit_count, round(u.salience, 6) AS salience, CASE WHEN u.id IS NOT NULL THEN '2024-03-01 00:00:00' END AS last_used_at, CASE WHEN u.matched THEN 'p0' END AS last_hit_by FROM records AS r LEFT JOIN used AS u ON u.id = r.id",
     ),
 )
-def hit_writeback(spark, d):
+def hit_writeback(spark, d, config=CONFIG):
     rows = T.records(spark, d)
-    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), CONFIG)
+    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), config)
     return R.with_hits(rows, plan, CALLER.agent_type, T.now()).select("id", "hit_count", F.round("salience", 6).alias("salience"), _stamp("last_used_at"), "last_hit_by")
 
 
 @_add("http_search", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT o.qid, o.position, CASE WHEN r.occurred_at IS NOT NULL THEN '[' || strftime(r.occurred_at, '%Y-%m-%dT%H:%M:%S+00:00') || '] ' || r.content ELSE r.content END AS evidence FROM own AS o JOIN records AS r ON r.id = o.id"))
-def http_search(spark, d):
+def http_search(spark, d, config=CONFIG):
     rows = T.records(spark, d)
-    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), CONFIG).select("qid", "position", "id")
+    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), config).select("qid", "position", "id")
     dated = F.concat(F.lit("["), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("] "), F.col("content"))
     return plan.join(rows.select("id", "occurred_at", "content"), "id").select("qid", "position", F.coalesce(dated, "content").alias("evidence"))
 
 
 @_add("foreign_evidence", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select=f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE o.id NOT IN (SELECT id FROM records WHERE {P.OWN})) AS n_foreign FROM own AS o"))
-def foreign_evidence(spark, d):
+def foreign_evidence(spark, d, config=CONFIG):
     rows = T.records(spark, d)
-    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), CONFIG)
+    plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), config)
     foreign = plan.join(rows.where(own(CALLER)).select("id", F.lit(1).alias("mine")), "id", "left")
     return foreign.agg(F.count("*").alias("n_rows"), F.count_if(F.col("mine").isNull()).alias("n_foreign"))
 

@@ -1,0 +1,28 @@
+"""The recall queries once more, with the default settings: the candidates and places that a caller gets, not those of a small test."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from ..config import Config
+from . import evaluation, recall
+
+WHOLE = Config()
+RECALL = """
+    recent_leg lexical_leg lexical_or_vs_and lexical_tf_leg tag_leg vector_leg rrf_fuse rank_final salience
+    reserve_event reserve_created recall_own two_section recall_full recall_debug hit_writeback http_search foreign_evidence
+""".split()
+METRICS = "metric_recall metric_mrr metric_ndcg eval_retrieval".split()
+
+
+def _sql(small: str) -> str:
+    """The SQL of a query with the default candidates of a leg and places of an answer."""
+    out = small
+    for said, then in ((f"rank < {recall.CONFIG.candidate_limit}", f"rank < {WHOLE.candidate_limit}"), (f"greatest({recall.CONFIG.k}, 0)", f"greatest({WHOLE.k}, 0)"), (f"{recall.CONFIG.k} - coalesce(t.n, 0)", f"{WHOLE.k} - coalesce(t.n, 0)")):
+        out = out.replace(said, then)
+    assert out != small
+    return out
+
+
+QUERIES = {f"{name}_whole": partial(module.QUERIES[name], config=WHOLE) for module, names in ((recall, RECALL), (evaluation, METRICS)) for name in names}
+ORACLE = {f"{name}_whole": _sql(module.ORACLE[name]) for module, names in ((recall, RECALL), (evaluation, METRICS)) for name in names}

@@ -1,7 +1,13 @@
 """Invariants of recall: batches, partitions, bounds, reserved places, legs."""
 
+from collections import Counter
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
+from test_oracle import rows
 
+from lorekeep import plans
 from lorekeep.operators import recall as R
 from lorekeep.operators.scope import own, team
 from lorekeep.plans.recall import CALLER, CONFIG
@@ -73,3 +79,19 @@ def test_no_python_no_product_and_early_limits_in_the_plan(spark, data, capsys):
     said = capsys.readouterr().out
     assert "Python" not in said and "CartesianProduct" not in said
     assert "WindowGroupLimit" in said and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in said
+
+
+@pytest.mark.parametrize("name", ["recent_leg_whole", "lexical_leg_whole", "recall_full_whole"])
+def test_default_settings(name, spark):
+    """With more records than the small settings rank, the default ones reach as far as their SQL."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    frame = plans.QUERIES[name](spark, folder)
+    said = con.execute(plans.ORACLE[name])
+    columns = [c[0] for c in said.description]
+    made = frame.collect()
+    assert rows(frame.columns, made) == rows(columns, said.fetchall())
+    most = max(Counter(r.qid for r in made).values())
+    assert most == 24 if name == "recall_full_whole" else 20 < most <= 200
