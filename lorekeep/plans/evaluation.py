@@ -58,6 +58,19 @@ def normalize_text(spark, d):
     return T.table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.normalize_text(F.substring("text", 1, 120)).alias("normal"))
 
 
+# the same over the whole texts of all rows
+
+
+@_add("normalize_label_whole", f"SELECT doc_id, {P.label(chr(39).join(['', ' _', ' || text || ', '- ', '']))} AS label FROM documents")
+def normalize_label_whole(spark, d):
+    return T.table(spark, d, "documents").select("doc_id", text.normalize_label(F.concat(F.lit(" _"), F.col("text"), F.lit("- "))).alias("label"))
+
+
+@_add("normalize_text_whole", f"SELECT doc_id, {normal('text')} AS normal FROM documents")
+def normalize_text_whole(spark, d):
+    return T.table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
 _RENDER = "'[' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%S+00:00') || '] ' || speaker || ': ' || text"
 
 
@@ -92,6 +105,11 @@ def wrap_prompt(spark, d):
     return T.table(spark, d, "pages").select("page_id", F.concat(F.lit("<memory>"), text.escape_markup(F.substring("html", 1, 300)), F.lit("</memory>")).alias("prompt"))
 
 
+@_add("wrap_prompt_whole", "SELECT page_id, '<memory>' || replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</memory>' AS prompt FROM pages")
+def wrap_prompt_whole(spark, d):
+    return T.table(spark, d, "pages").select("page_id", F.concat(F.lit("<memory>"), text.escape_markup(F.col("html")), F.lit("</memory>")).alias("prompt"))
+
+
 @_add("answer_prompt", P.query(P.QUESTIONS, select="SELECT qid, 'Use the memories.' || chr(10) || CASE WHEN as_of IS NOT NULL THEN 'Current Date: ' || strftime(as_of, '%Y-%m-%d') || chr(10) ELSE '' END || 'Question: ' || query AS prompt FROM questions"))
 def answer_prompt(spark, d):
     asked = T.questions(spark, d)

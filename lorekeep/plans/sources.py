@@ -47,8 +47,8 @@ def source_histories(spark, d):
 
 @_add("source_long_documents")
 def source_long_documents(spark, d):
-    """The English documents written as JSON lines and read by their reader."""
+    """The documents written as JSON lines and read by their reader."""
     path = shared_folder(spark)
-    T.table(spark, d, "documents").where("lang = 'en'").select(F.col("source").alias("input"), F.col("text").alias("context"), F.array("lang").alias("answers")).write.json(path)
+    T.table(spark, d, "documents").select(F.col("source").alias("input"), F.col("text").alias("context"), F.array("lang").alias("answers")).write.json(path)
     turns, _ = dialogues.long_documents(spark, path)
     return turns.select("turn_id", F.length("text").alias("size"))

@@ -1,10 +1,14 @@
 """Benchmark readers, service, hooks and streams on small inputs."""
 
+import html
 import json
+import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep import plans
 from lorekeep.functions.hooks import embedding, extracted
 from lorekeep.operators.service import Refused, Service
 from lorekeep.sources import dialogues, packages, shards
@@ -136,3 +140,22 @@ def test_packages(spark, tmp_path):
     for bad in ('{"a": 1, "a": 2}', "[NaN]", "[-Infinity]", "{"):
         with pytest.raises(ValueError):
             packages.strict_json(bad)
+
+
+def test_whole_texts_of_all_rows(spark, data):
+    """What comes behind the prefixes, and rows in other languages, are there."""
+    documents = spark.read.parquet(f"{data}/documents.parquet").collect()
+    named = {r.doc_id: r.normal for r in plans.QUERIES["normalize_text_whole"](spark, data).collect()}
+    assert set(named) == {r.doc_id for r in documents}
+    drop = str.maketrans("", "", string.punctuation)
+    assert named == {r.doc_id: " ".join(w for w in re.split(r"[ \t\n\x0b\f\r]+", r.text.lower().translate(drop)) if w not in ("", "a", "an", "the")) for r in documents}
+    labels = {r.doc_id: r.label for r in plans.QUERIES["normalize_label_whole"](spark, data).collect()}
+    assert labels == {r.doc_id: re.sub(r"^-+|-+$", "", re.sub("[ _-]+", "-", f" _{r.text}- ".strip(" ").lower())) for r in documents}
+    prompts = {r.page_id: r.prompt for r in plans.QUERIES["wrap_prompt_whole"](spark, data).collect()}
+    assert prompts == {r.page_id: f"<memory>{html.escape(r.html)}</memory>" for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+
+
+def test_long_documents_of_all_languages(spark, data):
+    sizes = sum(r.size for r in plans.QUERIES["source_long_documents"](spark, data).collect())
+    said = spark.read.parquet(f"{data}/documents.parquet").selectExpr("sum(length(text)) AS every", "sum(CASE WHEN lang = 'en' THEN length(text) END) AS english").first()
+    assert said.english < sizes <= 1.01 * said.every
