@@ -24,8 +24,8 @@ class Config:
     similarity: float = 0.85
     never_merge: tuple[str, ...] = ("confidential", "pinned")
     prompt_budget: int = 12_000
-    #: Rows of a question batch that are broadcast at once; larger batches are joined without.
-    max_broadcast_questions: int = 50_000
+    #: Bytes of a question batch, or of the words that match its terms, that are broadcast at once; larger ones are joined without.
+    max_broadcast_bytes: int = 32 << 20
 
     def but(self, **changes) -> Config:
         return replace(self, **changes)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import written
+from .sizes import small
 
 
 def recall_at(gold: Column, found: Column, k: int) -> Column:
@@ -59,6 +61,25 @@ def percentiles(rows: DataFrame, value: str, *shares: float) -> DataFrame:
     return rows.agg(*(F.percentile(value, F.lit(s)).alias(f"p{round(s * 100)}") for s in shares))
 
 
+def holders(docs: DataFrame, items: DataFrame, most_bytes: int) -> DataFrame:
+    """(qid, doc_id): the documents (doc_id, text) that hold an item's whole text (qid, query).
+
+    The words of an item but its first and last stand in such a document as they are. A document is compared with an item
+    only if it has the item's rarest of them; items without such a word, of two words at most, are compared with all.
+    """
+    inner = F.array_distinct(F.slice(text.tokens(F.col("query")), 2, F.greatest(F.size(text.tokens(F.col("query"))) - 2, F.lit(0))))
+    cut = items.where("query IS NOT NULL").select("qid", "query", inner.alias("inner"))
+    words = cut.select("qid", F.explode("inner").alias("token"))
+    postings = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).join(small(words.select("token").distinct(), most_bytes), "token")
+    postings = written(postings, "postings")
+    often = words.join(postings.groupBy("token").agg(F.count("*").alias("n")), "token", "left")
+    rarest = often.groupBy("qid").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    near = postings.join(rarest, "token").select("qid", "doc_id").join(cut.select("qid", "query"), "qid").join(docs.select("doc_id", "text"), "doc_id")
+    short = small(cut.where(F.size("inner") == 0).select("qid", "query"), most_bytes)
+    held = F.contains(F.col("text"), F.col("query"))
+    return near.where(held).select("qid", "doc_id").unionByName(docs.join(short, held).select("qid", "doc_id"))
+
+
 def run_statistics(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, population deviation and number of runs."""
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.count(value).alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..sources.shared import written
 
 
 def near_pairs(records: DataFrame, pool: list[str], threshold: float) -> DataFrame:
@@ -26,7 +27,7 @@ def near_pairs(records: DataFrame, pool: list[str], threshold: float) -> DataFra
 
 def groups(pairs: DataFrame) -> DataFrame:
     """(anchor, id): groups of two or more, the anchor being one of its group."""
-    edges = pairs.select("a", "b", "at_a").checkpoint() if pairs.sparkSession.conf.get("spark.checkpoint.dir", None) else pairs.select("a", "b", "at_a")
+    edges = written(pairs.select("a", "b", "at_a"), "pairs")
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b"))).distinct().withColumn("state", F.lit("open"))
     while True:
         before = edges.join(nodes.select(F.col("id").alias("a"), F.col("state").alias("state_a")), "a").where("state_a <> 'member'")
@@ -34,11 +35,7 @@ def groups(pairs: DataFrame) -> DataFrame:
         first = before.groupBy("b").agg(F.min_by("state_a", "at_a").alias("first"), F.max((F.col("state_a") == "anchor").cast("int")).alias("any"))
         seen = nodes.join(first.withColumnRenamed("b", "id"), "id", "left")
         state = F.when(F.col("state") != "open", F.col("state")).when(F.col("any") == 1, "member").when(F.col("first").isNull(), "anchor").otherwise("open")
-        nodes = seen.select("id", state.alias("state"))
-        if nodes.sparkSession.conf.get("spark.checkpoint.dir", None):
-            nodes = nodes.checkpoint()
-        else:
-            nodes = nodes.persist()
+        nodes = written(seen.select("id", state.alias("state")), "nodes")
         if not nodes.where("state = 'open'").limit(1).count():
             break
     anchors = nodes.where("state = 'anchor'").select(F.col("id").alias("a"))

@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import dates, text, vectors
+from ..sources.shared import written
 from .scope import Caller, as_of, own, team
+from .sizes import small
 
 #: What a record needs for ranking; contents are joined to the chosen rows only.
 _KEYS = ("id", "created_at", "occurred_at", "hit_count")
 
 
 def prepared(records: DataFrame) -> DataFrame:
-    """Scoped records with what the legs look at."""
-    return records.select(*_KEYS, F.lower(text.haystack(F.col("content"), F.col("context_summary"))).alias("_hay"), "tags", "embedding", vectors.norm(F.col("embedding")).alias("_norm"))
+    """Scoped records with what the legs look at; ``_tokens`` are the different words of content and summary."""
+    hay = F.lower(text.haystack(F.col("content"), F.col("context_summary")))
+    return records.select(*_KEYS, hay.alias("_hay"), F.array_distinct(text.tokens(hay)).alias("_tokens"), "tags", "embedding", vectors.norm(F.col("embedding")).alias("_norm"))
 
 
-def _small(questions: DataFrame, config: Config) -> DataFrame:
-    """The question batch as a broadcast, if its checked size allows."""
-    return F.broadcast(questions) if questions.limit(config.max_broadcast_questions + 1).count() <= config.max_broadcast_questions else questions
+def kept(records: DataFrame) -> DataFrame:
+    """Prepared records as a written table, so that texts are cut into words once and not for each leg, by all tasks alike."""
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(prepared(records.repartition(tasks, "id")).drop("_hay"), "records")
 
 
 def _top(pairs: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -37,20 +41,34 @@ def _top(pairs: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 def recent_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
     """The newest records, ranked once for each distinct bound and handed to its questions."""
-    bounds = _small(questions.select("as_of").distinct(), config)
+    bounds = small(questions.select("as_of").distinct(), config.max_broadcast_bytes)
     pairs = records.select("id", "created_at", "occurred_at").join(bounds, as_of())
     order = Window.partitionBy("as_of").orderBy(F.desc("created_at"), "id")
     newest = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= config.candidate_limit).select(F.col("as_of").alias("bound"), "id", (F.col("_n") - 1).alias("rank"))
     return questions.select("qid", "as_of").join(newest, F.col("as_of").eqNullSafe(F.col("bound"))).select("qid", "id", "rank")
 
 
+def matching_words(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """(token, term): the words of the records that hold a term. They meet by the term's first three letters, so no word is held against every term."""
+    vocabulary = records.select(F.explode("_tokens").alias("token")).distinct().where(F.length("token") >= 3)
+    parts = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3)))
+    heads = vocabulary.select("token", F.explode(F.array_distinct(parts)).alias("head"))
+    return heads.join(terms.select("term", F.substring("term", 1, 3).alias("head")), "head").where(F.contains("token", "term")).select("token", "term")
+
+
 def term_hits(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
-    """(qid, id, overlap): each distinct term is looked for once in each record, then handed to its questions."""
+    """(qid, id, created_at, overlap): how many of a question's terms are substrings of a record, repeated terms again.
+
+    A term has letters and digits only, so it lies inside one word of a text: terms are looked for in the vocabulary, and records
+    found by their words.
+    """
     asked = questions.select("qid", "as_of", F.explode(text.query_terms(F.col("query"))).alias("term"))
     counted = asked.groupBy("qid", "as_of", "term").agg(F.count("*").alias("times"))
-    terms = _small(counted.select("term").distinct(), config)
-    found = records.select("id", "occurred_at", "_hay").join(terms, F.contains(F.col("_hay"), F.col("term"))).select("id", "occurred_at", "term")
-    return found.join(counted, "term").where(as_of()).groupBy("qid", "id").agg(F.sum("times").alias("overlap"))
+    words = written(matching_words(records, counted.select("term").distinct()), "words")
+    postings = records.select("id", "created_at", "occurred_at", F.explode("_tokens").alias("token")).join(small(words, config.max_broadcast_bytes), "token")
+    found = postings.select("id", "created_at", "occurred_at", "term").distinct()
+    each = found.join(small(counted, config.max_broadcast_bytes), "term")
+    return each.where(as_of()).groupBy("qid", "id", "created_at").agg(F.sum("times").alias("overlap"))
 
 
 def lexical_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
@@ -59,8 +77,7 @@ def lexical_leg(records: DataFrame, questions: DataFrame, config: Config) -> Dat
     if not config.lexical_any:
         need = questions.select("qid", F.size(text.query_terms(F.col("query"))).alias("need"))
         hits = hits.join(need, "qid").where("overlap = need")
-    dated = hits.join(records.select("id", "created_at"), "id")
-    return _top(dated, config.candidate_limit, F.desc("overlap"), F.desc("created_at")).select("qid", "id", "rank", "overlap")
+    return _top(hits, config.candidate_limit, F.desc("overlap"), F.desc("created_at")).select("qid", "id", "rank", "overlap")
 
 
 def token_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
@@ -80,11 +97,12 @@ def tag_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFra
 
 
 def vector_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
-    """Records with a vector, by exact cosine (rounded to nine digits before it ranks)."""
+    """Records with a vector, by exact cosine (rounded to nine digits before it ranks); vectors of another length don't count."""
     asked = questions.where("vector IS NOT NULL").select("qid", "as_of", "vector", vectors.norm(F.col("vector")).alias("_asked"))
     held = records.where("embedding IS NOT NULL").select("id", "occurred_at", "embedding", "_norm")
     close = F.round(vectors.cosine(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_asked")), 9)
-    return _top(held.join(_small(asked, config), as_of()).select("qid", "id", close.alias("cosine")), config.candidate_limit, F.desc("cosine")).select("qid", "id", "rank", "cosine")
+    pairs = held.join(small(asked, config.max_broadcast_bytes), as_of() & (F.size("embedding") == F.size("vector")))
+    return _top(pairs.select("qid", "id", close.alias("cosine")), config.candidate_limit, F.desc("cosine")).select("qid", "id", "rank", "cosine")
 
 
 def fuse(legs: dict[str, tuple[DataFrame, float]], config: Config) -> DataFrame:
@@ -141,15 +159,16 @@ def chosen(ranked: DataFrame, k: Column, config: Config) -> DataFrame:
 
 def own_recall(records: DataFrame, questions: DataFrame, caller: Caller, now: Column, config: Config) -> DataFrame:
     """(qid, position, id, rrf, salience, matched) from the caller's own records."""
-    return chosen(candidates(prepared(records.where(own(caller))), questions, now, config), F.lit(config.k), config)
+    return chosen(candidates(kept(records.where(own(caller))), questions, now, config), F.lit(config.k), config)
 
 
 def two_sections(records: DataFrame, questions: DataFrame, caller: Caller, now: Column, config: Config) -> DataFrame:
     """Own records, then those of the team: the team has up to ``team_cap`` places, own records what is left of ``k``."""
     cap = min(config.team_cap, max(config.k, 0))
-    theirs = chosen(candidates(prepared(records.where(team(caller))), questions, now, config), F.lit(cap), config).withColumn("section", F.lit("team"))
+    theirs = chosen(candidates(kept(records.where(team(caller))), questions, now, config), F.lit(cap), config).withColumn("section", F.lit("team"))
+    theirs = written(theirs, "team")  # it is read twice: for the places it leaves, and for its rows
     taken = F.lit(cap) if config.strict_split else F.coalesce("n_team", F.lit(0))
-    ranked = candidates(prepared(records.where(own(caller))), questions, now, config).join(theirs.groupBy("qid").agg(F.count("*").cast("int").alias("n_team")), "qid", "left")
+    ranked = candidates(kept(records.where(own(caller))), questions, now, config).join(theirs.groupBy("qid").agg(F.count("*").cast("int").alias("n_team")), "qid", "left")
     mine = chosen(ranked.withColumn("own_k", F.lit(config.k) - taken), F.col("own_k"), config).drop("n_team", "own_k").withColumn("section", F.lit("own"))
     both = mine.unionByName(theirs)
     place = Window.partitionBy("qid").orderBy("section", "position")  # own before team

@@ -135,10 +135,10 @@ _SCORED = (P.RECORDS, P.QUESTIONS, _EVERY, P.chosen("own", "own_ranked", "10"),
 def _judged(spark, d, config=CONFIG):
     """(qid, found, gold) of a recall over all active records."""
     rows = T.records(spark, d).where("is_active")
-    plan = R.chosen(R.candidates(R.prepared(rows), T.questions(spark, d), T.now(), config), F.lit(config.k), config)
+    plan = R.chosen(R.candidates(R.kept(rows), T.questions(spark, d), T.now(), config), F.lit(config.k), config)
     found = plan.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("found"))
     items = T.questions(spark, d).select("qid", "query")
-    gold = T.table(spark, d, "documents").join(F.broadcast(items), F.contains(F.col("text"), F.col("query"))).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
+    gold = E.holders(T.table(spark, d, "documents"), items, config.max_broadcast_bytes).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
     return found.join(gold, "qid", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<bigint>")))
 
 

@@ -289,9 +289,9 @@ def coverage_check(spark, d):
 def snapshot_read(spark, d):
     """The benchmark table published to a store of versions and read back."""
     from ..sources.snapshots import Snapshots
-    from .sources import shared_folder
+    from ..sources.shared import new_path
 
-    store = Snapshots(spark, shared_folder(spark), "item_id", 4)
+    store = Snapshots(spark, new_path(spark, "versions"), "item_id", 4)
     store.publish(T.table(spark, d, "benchmark"), None)
     return store.read()
 

@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions import text
 from ..operators import recall as R
 from ..operators.scope import Caller, between, browsing, own, team
+from ..operators.sizes import small
 from ..sources import tables as T
 from . import prelude as P
 
@@ -61,7 +62,7 @@ def scope_team(spark, d):
 def asof_filter(spark, d):
     from ..operators.scope import as_of
 
-    return T.records(spark, d).where(own(CALLER)).select("id", "occurred_at").join(F.broadcast(T.questions(spark, d).select("qid", "as_of")), as_of()).select("qid", "id")
+    return T.records(spark, d).where(own(CALLER)).select("id", "occurred_at").join(small(T.questions(spark, d).select("qid", "as_of"), CONFIG.max_broadcast_bytes), as_of()).select("qid", "id")
 
 
 @_add("time_range", P.query(P.RECORDS, select=f"SELECT id, {P.stamp('occurred_at')} AS occurred_at FROM records WHERE occurred_at >= TIMESTAMP '2023-12-25' AND occurred_at <= TIMESTAMP '2024-01-10'"))
@@ -103,7 +104,7 @@ def query_labels(spark, d):
 
 @_add("term_overlap", P.query(*_LEGS, select="SELECT qid, id, overlap::BIGINT AS overlap FROM own_hits WHERE overlap > 0"))
 def term_overlap(spark, d):
-    return R.term_hits(_scoped(spark, d), T.questions(spark, d), CONFIG)
+    return R.term_hits(_scoped(spark, d), T.questions(spark, d), CONFIG).drop("created_at")
 
 
 @_add("recent_leg", P.query(*_LEGS, select="SELECT qid, id, rank FROM own_recent"))

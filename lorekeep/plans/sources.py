@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import dialogues
 from ..sources import tables as T
+from ..sources.shared import new_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def shared_folder(spark) -> str:
-    """The URI of a new folder that executors see: beside the checkpoints, or on this machine where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-")
-    return f"{folder if '://' in folder else f'file://{folder}'}/lorekeep-files-{uuid.uuid4().hex}"
-
-
 def _add(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -39,7 +31,7 @@ def source_histories(spark, d):
         F.array(F.transform("x", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"), F.lit(False).alias("has_answer")))).alias("haystack_sessions"),
         F.array(F.concat(F.lit("s"), "conv_id")).alias("haystack_session_ids"), F.array(F.lit("2023/05/07 (Sun) 13:56")).alias("haystack_dates"), F.array(F.lit("s")).alias("answer_session_ids"),
     )
-    path = shared_folder(spark)
+    path = new_path(spark, "files")
     rows.write.json(path)
     turns, _ = dialogues.histories(spark, path, lines=True)
     return turns.select("conversation_id", "turn_id", "speaker", "text")
@@ -48,7 +40,7 @@ def source_histories(spark, d):
 @_add("source_long_documents")
 def source_long_documents(spark, d):
     """The documents written as JSON lines and read by their reader."""
-    path = shared_folder(spark)
+    path = new_path(spark, "files")
     T.table(spark, d, "documents").select(F.col("source").alias("input"), F.col("text").alias("context"), F.array("lang").alias("answers")).write.json(path)
     turns, _ = dialogues.long_documents(spark, path)
     return turns.select("turn_id", F.length("text").alias("size"))
