@@ -22,8 +22,8 @@ REMEMBERED = 500_000
 _latin = [chr(c) for c in range(0x250)]
 _LETTERS = re.escape("".join(c for c in _latin if unicodedata.category(c)[0] == "L"))
 _DIGITS = re.escape("".join(c for c in _latin if unicodedata.category(c)[0] == "N"))
-#: A capital whose small form has two characters is left to the library, as is all white space but these.
-_UNKNOWN = re.compile("[^\t\n\r -~¡-įı-ɏ]|<\\|")
+#: Texts with any other character are left to the library: a capital whose small form is no single letter of these, and all white space but three.
+_UNKNOWN = re.compile("[^\t\n\r -~" + re.escape("".join(c for c in _latin[0xA1:] if c.lower() in _latin)) + "]|<\\|")
 #: The patterns by which the two kinds of tokenizer files cut texts.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
