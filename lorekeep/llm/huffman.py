@@ -12,8 +12,10 @@ Counts are summed in each task before anything is sent; what reaches the driver
 is bounded by the vocabulary. Documents are put in order by a range shuffle of
 the ids, not of the texts. The blocks lie in a Parquet table in the given folder.
 
-Null and empty texts are the end id alone. Document ids must be distinct
-integers. Other columns are ignored. An empty table makes a file without blocks.
+Null and empty texts are the end id alone. Rows with the same id each have a place
+of their own, one behind the other in the order of their ids' bytes. Rows without
+an id are left out. Other columns are ignored. An empty table makes a file without
+blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .inputs import id_and_text
-from .scratch import bounded_batches, shared_folder, written
+from .scratch import bounded_batches, new_path, written
 from .textbytes import text_buffers
 from .tokens import encoder
 
@@ -165,14 +167,17 @@ def _block_rows(lengths: bytes, interval: int, block_tokens: int):
         docs: list[int] = []
         sizes: list[int] = []
         held: list[np.ndarray] = []
+        made = 0  # rows of one id lie in one task, so the first id and this number name a block
 
         def block() -> pa.RecordBatch:
+            nonlocal made
             data = code.encode(np.concatenate(held), interval)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([docs[0]]), pa.array([sum(sizes)]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())],
-                names=["first_doc", "n_ids", "docs", "sizes", "data"],
+                [pa.array([docs[0]]), pa.array([made]), pa.array([sum(sizes)]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())],
+                names=["first_doc", "nth", "n_ids", "docs", "sizes", "data"],
             )
             docs.clear(), sizes.clear(), held.clear()
+            made += 1
             return out
 
         total = 0
@@ -192,7 +197,7 @@ def _block_rows(lengths: bytes, interval: int, block_tokens: int):
     return rows
 
 
-_BLOCK = "first_doc long, n_ids long, docs array<long>, sizes array<long>, data binary"
+_BLOCK = "first_doc long, nth long, n_ids long, docs array<long>, sizes array<long>, data binary"
 
 
 def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, limit: int = LIMIT, interval: int = INTERVAL, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -208,7 +213,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
         counts[r.id] = r.n
     lengths = code_lengths(counts, limit).tobytes()
     spark.createDataFrame([(limit, interval, bytearray(lengths))], "limit int, interval int, lengths binary").coalesce(1).write.parquet(f"{folder}/header")
-    in_order = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    in_order = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     in_order.mapInArrow(_block_rows(lengths, interval, block_tokens), _BLOCK).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
@@ -221,26 +226,26 @@ def _decoded_rows(lengths: bytes, keep_ids: bool):
                 docs, sizes = batch.column("docs")[i].values, batch.column("sizes")[i].values.to_numpy()
                 ends = np.cumsum(sizes)
                 parts = [ids[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-                first = batch.column("first_doc")[i].as_py()
+                first, nth = batch.column("first_doc")[i].as_py(), batch.column("nth")[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [docs, pa.array(np.full(len(docs), first)), pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64()), *([pa.array(parts, pa.binary())] if keep_ids else [])],
-                    names=["doc_id", "first_doc", "inside", "n_tokens", "ids_crc32", *["ids"] * keep_ids],
+                    [docs, pa.array(np.full(len(docs), first)), pa.array(np.full(len(docs), nth)), pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64()), *([pa.array(parts, pa.binary())] if keep_ids else [])],
+                    names=["doc_id", "first_doc", "nth", "inside", "n_tokens", "ids_crc32", *["ids"] * keep_ids],
                 )
 
     return rows
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
-    """(first_doc, before): the number of ids before each block; sums within ranges, of which one number each goes to the driver."""
-    slim = written(blocks.select("first_doc", "n_ids").repartitionByRange("first_doc").withColumn("range", F.spark_partition_id()), "block-sizes")
+    """(first_doc, nth, before): the number of ids before each block; sums within ranges, of which one number each goes to the driver."""
+    slim = written(blocks.select("first_doc", "nth", "n_ids").repartitionByRange("first_doc").withColumn("range", F.spark_partition_id()), "block-sizes")
     sums = sorted((r.range, r.n) for r in slim.groupBy("range").agg(F.sum("n_ids").alias("n")).collect())
     before, so_far = [], 0
     for key, n in sums:
         before.append((key, so_far))
         so_far += n
     offsets = slim.sparkSession.createDataFrame(before, "range int, ahead long")
-    inside = Window.partitionBy("range").orderBy("first_doc").rowsBetween(Window.unboundedPreceding, -1)
-    return slim.join(offsets, "range").select("first_doc", (F.col("ahead") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("before"))
+    inside = Window.partitionBy("range").orderBy("first_doc", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    return slim.join(offsets, "range").select("first_doc", "nth", (F.col("ahead") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("before"))
 
 
 def read_ids(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:
@@ -248,14 +253,12 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFra
     bounded_batches(spark)
     lengths = bytes(spark.read.parquet(f"{folder}/header").first().lengths)
     blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks")
-    schema = "doc_id long, first_doc long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "doc_id long, first_doc long, nth long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
     found = blocks.mapInArrow(_decoded_rows(lengths, keep_ids), schema)
-    return found.join(block_starts(blocks), "first_doc").withColumn("start", F.col("before") + F.col("inside")).select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * keep_ids)
+    return found.join(block_starts(blocks), ["first_doc", "nth"]).withColumn("start", F.col("before") + F.col("inside")).select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
 def op3_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    folder = f"{shared_folder(spark)}/lorekeep-ids-{uuid.uuid4().hex}"
+    folder = new_path(spark, "ids")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     return read_ids(spark, folder, keep_ids=False)

@@ -1,31 +1,18 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Tables in the shared folder, and what Python workers get at once."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Rows and bytes that go to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-
-_made: list[tuple[SparkSession, str]] = []
+from ..sources.shared import new_path, shared_folder, written
 
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "bounded_batches", "new_path", "shared_folder", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine only where none is set (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+#: Rows and bytes that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -38,26 +25,3 @@ def bounded_batches(spark: SparkSession) -> None:
     size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
     if not size.isdigit() or int(size) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: its lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lorekeep-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Remove the tables of this process; a result that has not been read yet needs them."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has ended before
-            return
-
-
-atexit.register(clear)
