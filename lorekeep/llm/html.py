@@ -2,17 +2,21 @@
 
 A page is a sequence of tags and texts. Words score by where they stand, tags
 by their name; both weights are log odds of being inside the content, counted on
-pages that label themselves: those with an article or main element. A tag never
-scores above a small negative value. One linear scan finds the contiguous run of
+pages that label themselves: those with an article or main element. Words beside
+the content or in links may score below 0, plain words never; a tag never scores
+above a small negative value. One linear scan finds the contiguous run of
 tokens with the largest sum; its texts are the content, but for those inside
 elements that are no part of an article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments), which are named by
-their tag, role, class or id.
+their tag, role, class or id. Names that articles also write about (a legal
+history, a section's header) don't count as such. Parsing takes time in proportion
+to the page, however deep or broken it is.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined in page order by a line feed; a line-break tag is
 white space. Null and empty pages, and pages without words outside such elements,
-have an empty text. The weights are fitted on ``sample_rows`` self-labelled pages,
+have an empty text. Each row has its result, repeated ids too; one without an id is
+left out. The weights are fitted on ``sample_rows`` self-labelled pages,
 those with the smallest hashes of their ids; without any the defaults hold.
 """
 
@@ -32,6 +36,8 @@ from .scratch import bounded_batches
 SAMPLE_ROWS = 2000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: All that can come after the last ``>`` of a page.
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -41,9 +47,15 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "head"} | _RAW
 _OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
+#: Parts of a class or id that name such an element wherever they stand in it.
 _OUTSIDE_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "header", "masthead", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "replies", "reply", "respond", "widget", "pagination", "pager", "search", "copyright", "legal", "hidden", "skip",
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "masthead", "cookie", "cookies", "gdpr", "popup", "newsletter", "subscribe", "signup", "comment", "comments", "disqus", "pagination", "pager",
 }
+#: Parts that also name what articles write about: they count only if every part of the name is one of these, of those above, or says where on a page it is.
+_OUTSIDE_ALONE = {
+    "banner", "promotion", "menu", "aside", "header", "footer", "consent", "notice", "notification", "alert", "modal", "overlay", "subscription", "login", "share", "sharing", "social", "related", "recommended", "replies", "reply", "respond", "widget", "search", "copyright", "legal", "hidden", "skip",
+}
+_WHERE = {"site", "page", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "sticky", "fixed", "bar", "box", "block", "wrap", "wrapper", "container", "inner", "outer", "list", "links", "buttons", "form", "area", "items", "item", "link", "posts", "content"}
 _CONTENT = {"article", "main"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
@@ -66,6 +78,15 @@ class Page:
     labelled: bool = False
 
 
+def _names_outside(value: str, inside: bool) -> bool:
+    """Whether a class or id names an element that is no part of an article."""
+    parts = set(_PARTS.findall(value))
+    if not _OUTSIDE_NAMES.isdisjoint(parts):
+        return True
+    alone = parts & _OUTSIDE_ALONE
+    return bool(alone) and parts <= _OUTSIDE_ALONE | _WHERE and not (inside and alone == {"header"})
+
+
 def _excluded(name: str, attributes: str, inside: bool) -> bool:
     if name in _OUTSIDE:
         return not (inside and name == "header")  # an article's own header holds its title
@@ -75,7 +96,7 @@ def _excluded(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _OUTSIDE_ROLES:
             return True
-        if key in ("class", "id") and not _OUTSIDE_NAMES.isdisjoint(_PARTS.findall(value)):
+        if key in ("class", "id") and any(_names_outside(x, inside) for x in value.split()):
             return True
     return False
 
@@ -83,8 +104,10 @@ def _excluded(name: str, attributes: str, inside: bool) -> bool:
 def parse(source: str) -> Page:
     """The tokens of a page; unclosed and unopened elements are borne with."""
     page = Page()
-    stack: list[tuple[str, bool]] = []  # (element, excluded)
+    stack: list[tuple[str, bool, int]] = []  # (element, excluded, place of the paragraph that a block element would close, or -1)
+    places: dict[str, list[int]] = {}  # of the open elements of each name
     at = block = outside = inside = links = 0
+    length, last = len(source), source.rfind(">")
 
     def put(piece: str) -> None:
         if piece:
@@ -92,23 +115,23 @@ def parse(source: str) -> Page:
             place = ("link" if links else "text") + ("-in" if inside else "")
             page.tokens.append(Text(text, block, outside > 0, place))
 
-    def leave(count: int) -> None:
+    def leave(depth: int) -> None:
         nonlocal outside, inside, links
-        for name, excluded in stack[len(stack) - count :]:
+        for name, excluded, _ in stack[depth:]:
             outside -= excluded
             inside -= name in _CONTENT
             links -= name == "a"
-        del stack[len(stack) - count :]
+            places[name].pop()
+        del stack[depth:]
 
-    length = len(source)
     while at < length:
-        found = _TOKEN.search(source, at)
+        found = _TOKEN.search(source, at) if at <= last else _OPEN_COMMENT.search(source, at)
         if not found:
             put(source[at:])
             break
         put(source[at : found.start()])
         at = found.end()
-        close, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        close, name, attributes = ((found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])) if found.re is _TOKEN else ("", "", "")
         if not name:
             continue
         name = name.lower()
@@ -119,9 +142,8 @@ def parse(source: str) -> Page:
         elif name == "br":
             put(" ")
         if close:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                leave(len(stack) - depth)
+            if places.get(name):
+                leave(places[name][-1])
             continue
         if name in _VOID or attributes.endswith("/") and name not in _INLINE and name in ("svg", "path"):
             continue
@@ -129,15 +151,15 @@ def parse(source: str) -> Page:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at)
             at = end.end() if end else length
             continue
-        if name in _CLOSES_P and stack and any(x[0] == "p" for x in stack):
-            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p")
-            if all(x[0] in _INLINE or x[0] == "p" for x in stack[depth:]):
-                leave(len(stack) - depth)
+        if name in _CLOSES_P and stack and stack[-1][2] >= 0:
+            leave(stack[-1][2])
         elif name == "li" and stack and stack[-1][0] == "li":
-            leave(1)
+            leave(len(stack) - 1)
         excluded = _excluded(name, attributes, inside > 0)
         page.labelled |= name in _CONTENT and not excluded
-        stack.append((name, excluded))
+        here = len(stack)
+        stack.append((name, excluded, here if name == "p" else stack[-1][2] if stack and name in _INLINE else -1))
+        places.setdefault(name, []).append(here)
         outside += excluded
         inside += name in _CONTENT
         links += name == "a"
@@ -198,8 +220,9 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     depth += (name in _CONTENT) * (-1 if item.startswith("</") else 1)
                     counts.setdefault(item, [0, 0])[depth <= 0] += 1
                 else:
-                    place = _place(item, True)
-                    counts.setdefault(place, [0, 0])[not item.place.endswith("-in") or item.outside] += len(item.text.split())
+                    within, n = item.place.endswith("-in"), len(item.text.split())
+                    for place in (_place(item, True), item.place.removesuffix("-in")):  # the latter: as if the page had no label
+                        counts.setdefault(place, [0, 0])[not within or item.outside] += n
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([v[i] for v in counts.values()], pa.int64()) for i in (0, 1))], names=["token", "inside", "outside"])
 
 
@@ -212,15 +235,16 @@ def fit(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
     chosen = own.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
     rows = own.select("page_id", "html").join(F.broadcast(chosen), "page_id").select("html")  # sample_rows numbers bound the broadcast
     counted = rows.mapInArrow(_count_rows, "token string, inside long, outside long").groupBy("token").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
-    sums = {kind: (sum(r.inside for r in counted if (r.token[0] == "<") == kind) + 1, sum(r.outside for r in counted if (r.token[0] == "<") == kind) + 1) for kind in (False, True)}
+    kind = lambda token: "<" if token[0] == "<" else "unlabelled" if token in ("text", "link") else "words"
+    sums = {k: (sum(r.inside for r in counted if kind(r.token) == k) + 1, sum(r.outside for r in counted if kind(r.token) == k) + 1) for k in ("<", "unlabelled", "words")}
     out = dict(DEFAULT_WEIGHTS)
     for r in counted:
-        inside, outside = sums[r.token[0] == "<"]
+        inside, outside = sums[kind(r.token)]
         odds = math.log((r.inside + 1) / inside) - math.log((r.outside + 1) / outside)
         if r.token[0] == "<":
             out[r.token] = max(-1.0, min(-0.01, odds / 4))
-        else:  # words keep the sign of their place; how much they count is learned
-            out[r.token] = math.copysign(max(0.25, min(2.0, abs(odds))), DEFAULT_WEIGHTS[r.token])
+        else:  # a word's sign is learned with its weight, but plain words of a page without labels, which score above 0
+            out[r.token] = max(0.25 if r.token == "text" else -2.0, min(2.0, odds))
     return out
 
 
