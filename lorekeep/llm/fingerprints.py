@@ -1,7 +1,7 @@
 """Order MinHash fingerprints in DataFrame functions only (operator 2).
 
-A text's k-mers are runs of ``WIDTH`` words (white-space separated, as they are);
-equal ones are told apart by their occurrence number. Each numbered k-mer is
+A text's k-mers are runs of ``WIDTH`` words (white-space separated, as they are, each
+sign of a script without spaces a word of its own); equal ones are told apart by their occurrence number. Each numbered k-mer is
 hashed once; the low bits of the hash deal it to one of ``2 * SLOTS`` families,
 and in each family the k-mer with the smallest remaining bits is selected. The
 two selections of a slot are put in the order in which they stand in the text
@@ -17,7 +17,8 @@ slot of a text orders two k-mers, if its k-mers fill two families. Without it, a
 slot may have one k-mer and no order, or none.
 
 A text of fewer words than a k-mer is one k-mer, its whole sequence. Nulls are
-empty texts. Ids must be distinct integers; other columns are ignored.
+empty texts. Rows with the same id each have their result; they follow one another
+in the order of their texts. Rows without an id are left out, other columns ignored.
 
 Each document meets the next one in its bucket, an interval of ids; the first
 document of each following bucket is added to the bucket before it. So texts are
@@ -26,7 +27,10 @@ shuffled once, and every later step is local to its partition.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,16 +41,19 @@ WIDTH = 3
 SLOTS = 64
 PARTITION_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 4
-#: Rows of 16 bytes that are broadcast at most.
-MOST_BROADCAST = 200_000
 #: A bucket with so many times the mean number of ids: intervals are cut at quantiles.
 UNEVEN = 8
 
 _EMPTY = "........"
 
 
+#: Signs of scripts that write without spaces: each is a word.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    spaced = F.when(F.octet_length(text) > F.length(text), F.regexp_replace(text, _UNSPACED, " $1 ")).otherwise(text)
+    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", width: int = WIDTH, slots: int = SLOTS, densified: bool = False) -> DataFrame:
@@ -134,18 +141,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(equal / filled)
 
 
+def _interval(cuts: list[int]) -> Column:
+    """How many of the sorted cuts are not above an id: of every so many cuts first, then within that stretch."""
+    width = max(1, math.isqrt(len(cuts)))
+    stretches = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    table = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)  # noqa: E731  one constant, however many cuts
+    upto = lambda values: F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
+    coarse = upto(table([x[0] for x in stretches], "array<bigint>"))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + upto(F.element_at(table(stretches, "array<array<bigint>>"), F.greatest(coarse, F.lit(1))))).cast("long")
+
+
 def _bucket(docs: DataFrame, buckets: int, low: int, high: int, rows: int) -> Column:
-    """Buckets of ascending ids: intervals of equal width, or between quantiles where ids are very uneven."""
-    even = F.least(F.floor((F.col("doc_id") - F.lit(low)).cast("double") * buckets / (high - low + 1)), F.lit(buckets - 1)).cast("long")
+    """Buckets of ascending ids: intervals of equal width, or between quantiles where ids are very uneven; no result depends on which."""
+    # ids may span more than a long holds
+    above = (F.col("doc_id").cast("decimal(20,0)") - F.lit(Decimal(low))).cast("double")
+    even = F.least(F.floor(above * buckets / float(high - low + 1)), F.lit(buckets - 1)).cast("long")
     most = docs.groupBy(even.alias("bucket")).count().agg(F.max("count")).first()[0]
     if most <= UNEVEN * max(1, rows / buckets):
         return even
     cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    return F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c <= F.col("doc_id"))).cast("long")
+    return _interval(sorted(set(cuts)))
 
 
 def with_next(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """(bucket, added, doc_id, text, next_text), spread by ``bucket``; added rows repeat the next bucket's first document."""
+    """(bucket, at, added, doc_id, text, next_text), spread by ``bucket``; added rows repeat the next bucket's first document.
+
+    ``at`` is a row's place in its bucket; added rows come last.
+    """
     ids = docs.select("doc_id")
     n, low, high, size = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
     partitions = max(1, -(-(size or 0) // partition_bytes))
@@ -155,11 +177,10 @@ def with_next(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFr
     order = Window.orderBy(F.lit(0), "own")
     before = F.coalesce(F.lag("own").over(order), F.max("own").over(Window.partitionBy(F.lit(0))))
     firsts = firsts.select("doc_id", before.alias("bucket"))
-    if BUCKETS_PER_PARTITION * partitions <= MOST_BROADCAST:
-        firsts = F.broadcast(firsts)
     added = docs.join(firsts, "doc_id").select("bucket", F.lit(True).alias("added"), "doc_id", "text")
     every = docs.select(bucket.alias("bucket"), F.lit(False).alias("added"), "doc_id", "text").unionByName(added).repartition(int(partitions), "bucket")
-    return every.withColumn("next_text", F.lead("text").over(Window.partitionBy("bucket").orderBy("added", "doc_id")))
+    order = Window.partitionBy("bucket").orderBy("added", "doc_id", "text")
+    return every.withColumns({"next_text": F.lead("text").over(order), "at": F.row_number().over(order)})
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, slots: int = SLOTS, partition_bytes: int = PARTITION_BYTES, densified: bool = False) -> DataFrame:
@@ -174,22 +195,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("edited", F.when(~F.col("added"), edited))
     # few and short keys: the k-mers are sorted by them; what else a row has is joined afterwards
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("value")))
-    each = rows.select("bucket", "added", "doc_id", F.explode(both).alias("x")).where("x.value IS NOT NULL").select("bucket", "doc_id", (F.col("x.kind") + F.when(F.col("added"), 2).otherwise(0)).alias("kind"), "x.value")
-    signed = signatures(each, ["bucket", "doc_id", "kind"], "value", width, slots, densified)
+    each = rows.select("bucket", "at", "added", F.explode(both).alias("x")).where("x.value IS NOT NULL").select("bucket", "at", (F.col("x.kind") + F.when(F.col("added"), 2).otherwise(0)).alias("kind"), "x.value")
+    signed = signatures(each, ["bucket", "at", "kind"], "value", width, slots, densified)
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("signature"))).alias(f"s{kind}")
-    one = signed.groupBy("bucket", "doc_id").agg(of(0), of(1), of(2))
-    beside = one.withColumn("own", F.coalesce("s0", "s2")).withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy(F.col("s0").isNull(), "doc_id")))
-    # the one bucket's first document may also be the added one
-    beside = beside.where("s0 IS NOT NULL").withColumn("next", F.coalesce("next", F.first("s2", ignorenulls=True).over(Window.partitionBy("bucket"))))
+    one = signed.groupBy("bucket", "at").agg(of(0), of(1), of(2))
+    beside = one.withColumn("next", F.lead(F.coalesce("s0", "s2")).over(Window.partitionBy("bucket").orderBy("at"))).where("s0 IS NOT NULL")
     made = beside.select(
-        "doc_id",
+        "bucket",
+        "at",
         fingerprint(F.col("s0.signature")).alias("fingerprint"),
         fingerprint(F.col("s1.signature")).alias("edited_fingerprint"),
         likeness(F.col("s0.signature"), F.col("s1.signature")).alias("near_edited"),
         likeness(F.col("s0.signature"), F.col("next.signature")).alias("near_next"),
     )
-    texts_of = rows.where("NOT added").select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    return texts_of.join(made, "doc_id").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    texts_of = rows.where("NOT added").select("bucket", "at", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    return texts_of.join(made, ["bucket", "at"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 import xxhash
 from cases import EDGE
 
@@ -31,7 +32,8 @@ def signed(x):
 
 
 def signature(text, width=3, slots=64):
-    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
+    apart = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ", text)
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", apart) if x]
     seen, least = Counter(), {}
     for i in range(max(len(w) - width + 1, min(1, len(w)))):
         kmer = 42
@@ -103,7 +105,8 @@ def test_native(spark, data, capsys):
 
 def densified(text, width=3, slots=64):
     """The signature by walking through the families, and how many slots order two k-mers."""
-    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
+    apart = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ", text)
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", apart) if x]
     seen, least, n = Counter(), {}, 2 * slots
     for i in range(max(len(w) - width + 1, min(1, len(w)))):
         kmer = 42
