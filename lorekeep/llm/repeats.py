@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .inputs import id_and_text
 from .scratch import bounded_batches, written
-from .textbytes import hash_spans, inverse_powers, mix, prefix_sums, slices, text_buffers
+from .textbytes import between, hash_spans, mix, prefix_sums, slices, text_buffers
 
 _U = np.uint64
 
@@ -56,6 +56,28 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - span)], out[width - span :]) if width > span else out
 
 
+#: A fixed random odd number for each byte value.
+_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def _routes(data: np.ndarray, width: int) -> np.ndarray:
+    """A number for each stretch of ``width`` bytes, equal for equal ones; it only decides which stretches meet, so others may share it."""
+    out, span, parts = _BYTE_VALUES[data], 1, []
+    while True:
+        if width & span:
+            parts.append((span, out))
+        if span * 2 > width:
+            break
+        out = out[:-span] * _U(0x9E3779B97F4A7C15 + 2 * span) + out[span:]
+        span *= 2
+    count, total, done = len(data) - width + 1, None, 0
+    for span, part in parts:
+        piece = part[done : done + count]
+        total = piece if total is None else total * _U(0xD1B54A32D192ED03) + piece
+        done += span
+    return mix(total)
+
+
 def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, segment hash, start, windows, whether it may repeat itself) of each segment, starts within ``data``."""
     none = np.zeros(0, np.int64)
@@ -63,7 +85,7 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int)
         return none.view(_U), none.view(_U), none, none, none.astype(bool)
     width = length - anchor + 1
     sums = prefix_sums(data)
-    grams = mix((sums[anchor:] - sums[:-anchor]) * inverse_powers(np.arange(len(data) - anchor + 1)))
+    grams = _routes(data, anchor)
     least = _sliding(grams, width, np.minimum)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
     at = np.flatnonzero(np.arange(len(least)) + length <= ends)
@@ -74,7 +96,7 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int)
     count = np.diff(np.append(first, len(at)))
     start, value = at[first], value[first]
     last = start + count - 1 + length
-    content = mix((sums[last] - sums[start]) * inverse_powers(start) + count.astype(_U) * _U(0x9E3779B97F4A7C15))
+    content = mix(between(sums, start, last) + count.astype(_U) * _U(0x9E3779B97F4A7C15))
     # a segment can only repeat itself if its anchor stands in it twice
     where = np.flatnonzero(np.isin(grams, value, assume_unique=False)) if len(value) < 8 else _anchors(grams, least, width)
     lo, hi = np.searchsorted(where, start), np.searchsorted(where, start + count - 1 + width)
@@ -167,14 +189,13 @@ class RunLengthIndex:
         """Bytes that the suffixes at a and b have in common (b < 0: none)."""
         other = np.maximum(b, 0)
         most = np.where(b < 0, 0, np.minimum(stop[a] - a, stop[other] - other))
-        inv_a, inv_b = inverse_powers(a), inverse_powers(other)
         low, high = np.zeros(len(a), np.int64), most
         while True:
             open_ = low < high
             if not open_.any():
                 return low
             mid = (low + high + 1) >> 1
-            same = (sums[a + mid] - sums[a]) * inv_a == (sums[other + mid] - sums[other]) * inv_b
+            same = between(sums, a, a + mid) == between(sums, other, other + mid)
             low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
 
     def matching_statistics(self) -> np.ndarray:

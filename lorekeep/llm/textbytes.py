@@ -17,10 +17,11 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: A fixed random 64-bit value for each byte value.
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Strings are hashed as polynomials of their bytes at a fixed random point, modulo a prime: two different ones of n bytes agree for n of about 2 ** 61 points.
+_PRIME = (1 << 61) - 1
+_POINT = 0x1D3F84A5B7C6E291 % _PRIME
+#: Powers that are kept; longer tables are made when they are needed.
+_KEPT = 1 << 21
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -68,32 +69,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def powers(n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), wrapping at 64 bits."""
-    out = np.full(max(n, 1), _BASE, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)[:n]
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit number modulo the prime."""
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
 
 
-def inverse_powers(at: np.ndarray) -> np.ndarray:
-    """base ** -i for every i in ``at``."""
-    n = int(at.max()) + 1 if len(at) else 1
-    out = np.full(n, _BASE_INVERSE, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)[at]
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, by halves of 31 bits."""
+    low = _U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> _U(31), a & low, b >> _U(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return _folded(((a1 * b1) << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + a0 * b0)
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    """of ** 0 .. of ** (n - 1) modulo the prime."""
+    out = _tables.get(of, np.ones(1, dtype=np.uint64))
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, _U(pow(of, len(out), _PRIME)))])
+    if len(out) <= _KEPT:
+        _tables[of] = out
+    return out[:n]
+
+
+_BACK = pow(_POINT, -1, _PRIME)
+
+
+#: Bytes whose products of 39 bits can be summed in 64.
+_MOST = 1 << 24
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums of byte value times power; differences hash any substring."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * powers(len(data)), dtype=np.uint64, out=out[1:])
+    """(2, bytes + 1): sums of byte values times the powers' upper and lower halves; ``between`` takes any stretch's hash from them."""
+    value, power = data.astype(np.uint64) + _U(1), _powers(_POINT, len(data))
+    out = np.zeros((2, len(data) + 1), dtype=np.uint64)
+    np.cumsum(value * (power >> _U(31)), out=out[0, 1:])
+    np.cumsum(value * (power & _U((1 << 31) - 1)), out=out[1, 1:])
     return out
 
 
+def between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash, below 2 ** 61, of data[start:end], wherever it stands."""
+    total, at = np.zeros(len(starts), dtype=np.uint64), starts
+    while True:
+        upto = np.minimum(at + _MOST, ends)
+        high, low = sums[:, upto] - sums[:, at]
+        total = _folded(total + _folded((high >> _U(30)) + ((high & _U((1 << 30) - 1)) << _U(31)) + low))
+        if (upto == ends).all():
+            break
+        at = upto
+    return _times(total, _powers(_BACK, int(starts.max()) + 1 if len(starts) else 1)[starts])
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit content hashes of data[start:end]."""
-    sums = prefix_sums(data)
-    return mix((sums[ends] - sums[starts]) * inverse_powers(starts) + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+    return mix(between(prefix_sums(data), starts, ends) + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
 
 
 @dataclass
