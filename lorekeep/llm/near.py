@@ -21,13 +21,14 @@ the consensus that both have. So a pair either shares a shingle outside the
 consensus, and meets in that shingle's bucket, or both sizes and counts must allow a
 link without one. How many shingles outside the consensus a link needs at least is known
 for each member, so it may leave out that many, less one, of its most frequent ones.
-Buckets of the others are gone through with a bounded number of pairs in each round,
+Buckets of the others are gone through in rounds, with twice as many of their members each time,
 until no bucket has members of different components that have not been compared. So every candidate pair of different components has been
 compared or cannot be linked.
 
 Null texts and texts without words have no shingles and are linked with
 nothing; texts of fewer words than a shingle are one shingle, their whole
-sequence. Ids must be distinct integers. Other columns are ignored.
+sequence. Rows with the same id are one document, in whose class all their texts
+are; each of them has its row. Rows without an id are left out, other columns ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ _U = np.uint64
 WORD_BYTES = ~byte_class((0x09, 0x0D), (0x20, 0x20))
 
 BANDS, PERMUTATIONS_PER_BAND = 32, 2
-#: Pairs of one round.
+#: Pairs of the first round.
 ROUND_PAIRS = 200_000
 #: Size of the filter of ids whose sets are needed.
 FILTER_BITS = 1 << 23
@@ -182,8 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a filter of fixed size keeps most other texts from being hashed again, the join drops the rest; texts are not shuffled
     packed = np.packbits(id_filter(needed)).tobytes()
     sets = written(texts.mapInArrow(_set_rows(width, packed), "doc_id long, members array<long>").join(needed, "doc_id", "left_semi"), "sets")
-    links = _confirmed(stars, sets, percent)
-    groups = components(links)
+    # texts of rows with the same id are one document's
+    several = named.groupBy("doc_id").agg(F.min("copy_of").alias("one"), F.max("copy_of").alias("other")).where("one <> other").select("doc_id")
+    repeated = named.join(several, "doc_id").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
+    groups = components(_confirmed(stars, sets, percent).unionByName(repeated))
     families = components(stars).withColumnRenamed("component", "family")
 
     apart = _families_apart(families, groups)
@@ -211,10 +214,11 @@ def _families_apart(families: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _against_consensus(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """(family, a, size, consensus, core, others): how many shingles a member, the consensus, and both have, and the member's other ones."""
-    rows = apart.join(sets, F.col("a") == F.col("doc_id")).select("family", "a", "members")
-    counts = rows.groupBy("family").agg(F.count("*").alias("n"))
-    each = rows.select("family", F.explode("members").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("have")).where("have > 1")
-    shared = each.join(counts, "family").where("2 * have > n").groupBy("family").agg(F.collect_list("shingle").alias("common"))
+    # the number of members goes along with them, so that a large family's shingles are counted by all tasks and only its consensus comes together
+    sized = apart.join(apart.groupBy("family").agg(F.count("*").alias("n")), "family")
+    rows = sized.join(sets, F.col("a") == F.col("doc_id")).select("family", "a", "n", "members")
+    each = rows.select("family", "n", F.explode("members").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("have"), F.any_value("n").alias("n"))
+    shared = each.where("have > 1 AND 2 * have > n").groupBy("family").agg(F.collect_list("shingle").alias("common"))
     both = rows.join(shared, "family", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
     both = both.withColumn("others", F.array_except("members", "common"))
     size = F.size("members").cast("long")
@@ -248,7 +252,7 @@ def _remaining(members: DataFrame, nearest: DataFrame, groups: DataFrame, sets:
     # of buckets with the same members one is enough
     sets_of = met.groupBy("family", "bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("who")).where("n > 1")
     chosen = sets_of.groupBy("family", "n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_, pivoted = met.join(chosen, "bucket", "left_semi").select("bucket", "a"), 0
+    open_, pivoted, pivots = met.join(chosen, "bucket", "left_semi").select("bucket", "a"), 0, 0
     while True:
         here = open_.join(groups, F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", "a")).drop("node")
         # those that have been pivots are compared with all behind them
@@ -263,7 +267,8 @@ def _remaining(members: DataFrame, nearest: DataFrame, groups: DataFrame, sets:
         rows = open_.count()
         if not rows:
             return groups
-        pivots = max(1, round_pairs // rows)
+        # twice as many in each round: the rounds grow with the logarithm of the largest bucket
+        pivots = max(1, round_pairs // rows, 2 * pivots)
         chosen = open_.where((F.col("rank") > pivoted) & (F.col("rank") <= pivoted + pivots)).select("bucket", F.col("a").alias("pivot"), F.col("component").alias("its"), F.col("rank").alias("at"))
         pairs = open_.join(chosen, "bucket").where("component <> its AND rank > at").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")).distinct()
         more = written(_confirmed(pairs, sets, percent), "confirmed")
