@@ -13,7 +13,10 @@
    on the posterior labels of the sample. It scores every whole text.
 
 The sample is ``sample_rows`` labelled rows (those with the smallest hashes of
-their ids); nothing else is bounded. Labels of held-out rows, ids, languages and
+their ids). Of the terms that mark toxic rows for sure the ``most_voters`` best vote:
+the correlations of all pairs of voters are estimated, and the classifier, which sees
+every word, learns from their verdict. Nothing else is bounded. Each row has its
+score, repeated ids too; rows without an id are left out. Labels of held-out rows, ids, languages and
 sources are never looked at. Null and empty texts get the score of a text without
 terms. Without labelled rows every score is 0.
 """
@@ -30,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .language import held_out
 from .inputs import id_and_text
+from .language import held_out
 from .scratch import bounded_batches, written
 from .textbytes import byte_class, hash_spans, slices, words
 
@@ -107,9 +110,10 @@ def choose_terms(sample: DataFrame, n_toxic: int, n_clean: int, most: int, least
     """The lexicon of a labelled sample."""
     schema = "term string, toxic long, clean long"
     rows = sample.select("text", "toxic")
-    seen = rows.where("toxic = 1").mapInArrow(_term_counts(None), schema).groupBy("term").agg(F.sum("toxic").alias("n")).where(F.col("n") >= least_rows)
-    # the commonest in toxic rows; a bounded vocabulary
-    wanted = {r.term for r in seen.orderBy(F.desc("n"), "term").limit(20_000).collect()}
+    # a term of fewer toxic rows can't be sure, even if no clean row had it
+    reach = SURE / (2 * np.log((n_toxic + n_clean) / n_toxic))
+    seen = rows.where("toxic = 1").mapInArrow(_term_counts(None), schema).groupBy("term").agg(F.sum("toxic").alias("n")).where(F.col("n") >= max(least_rows, float(reach)))
+    wanted = {r.term for r in seen.collect()}  # of the sample's toxic rows
     if not wanted:
         return []
     counted = rows.mapInArrow(_term_counts(wanted), schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()

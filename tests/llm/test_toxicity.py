@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from cases import EDGE
@@ -68,3 +70,22 @@ def test_features_are_distinct_and_by_row():
 def test_query_repeats(spark, data, n):
     runs = [sorted(map(tuple, op1_toxicity(spark, data).collect())) for _ in range(n)]
     assert runs[0] == runs[1] and len(runs[0]) == 200
+
+
+def test_label_model_equals_loops():
+    draw = np.random.default_rng(5)
+    votes = (draw.random((60, 5)) < 0.3).astype(np.int8)
+    votes[:, 4] = votes[:, 3]
+    start = (draw.random(60) < 0.3).astype(float)
+    made = fit_label_model(votes, start, rounds=4)
+    n, m, share = 60, 5, sum(start) / 60
+    toxic = [min(max(x, 0.05), 0.95) for x in start]
+    for _ in range(4):
+        rates = [[(sum(w * votes[i][j] for i, w in enumerate(by)) + 0.5) / (sum(by) + 1.0) for j in range(m)] for by in ([1 - x for x in toxic], toxic)]
+        left = [[votes[i][j] - (1 - toxic[i]) * rates[0][j] - toxic[i] * rates[1][j] for j in range(m)] for i in range(n)]
+        size = [math.sqrt(sum(r[j] ** 2 for r in left)) + 1e-9 for j in range(m)]
+        corr = lambda j, k: sum(r[j] * r[k] for r in left) / (size[j] * size[k])
+        weights = [1 / math.sqrt(1 + sum(c for k in range(m) if k != j and (c := corr(j, k)) > 0.15)) for j in range(m)]
+        toxic = [1 / (1 + math.exp(-(math.log(share / (1 - share)) + sum(votes[i][j] * weights[j] * math.log(rates[1][j] / rates[0][j]) for j in range(m))))) for i in range(n)]
+    assert np.allclose(made.rates, rates) and np.allclose(made.weights, weights) and np.allclose(made.posterior(votes), toxic)
+    assert weights[3] < 0.8 and weights[4] < 0.8
