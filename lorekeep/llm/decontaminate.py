@@ -22,9 +22,8 @@ index for each block, so what is broadcast never grows beyond that bound. The co
 itself is read once, whatever the test set.
 
 Null and empty texts have no words and no hits; items without words are never
-found; an item of fewer words than a window is one window. Rows of documents with
-the same id each have their result while one block holds the test set; beyond that they
-must be distinct. Rows without an id are left out, other columns ignored.
+found; an item of fewer words than a window is one window. Each row of documents has its
+result, repeated ids too. Rows without an id are left out, other columns ignored.
 """
 
 from __future__ import annotations
@@ -184,18 +183,18 @@ def _list_rows(vocabulary: np.ndarray):
     return rows
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The (bucket, terms, counts, positions) of each segment, from rows sorted by segment and bucket."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The segment's number and the (bucket, terms, counts, positions) of each segment, from rows sorted by segment and bucket."""
     held, of = [], None
     for batch in batches:
         for bucket, segment, *parts in zip(*(batch.column(name).to_pylist() for name in ("bucket", "segment", "terms", "counts", "positions")), strict=True):
             if segment != of and held:
-                yield held
+                yield of, held
                 held = []
             of = segment
             held.append((bucket, *parts))
     if held:
-        yield held
+        yield of, held
 
 
 def _match_rows(plan: Windows, vocabulary: np.ndarray, frequency: np.ndarray, slop: int):
@@ -232,7 +231,7 @@ def _match_rows(plan: Windows, vocabulary: np.ndarray, frequency: np.ndarray, sl
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = np.searchsorted(plan.of_window, np.arange(len(plan.sizes) + 1))
-        for (_, docs, first, _), *parts in _segments(batches):
+        for segment, ((_, docs, first, _), *parts) in _segments(batches):
             docs, first = np.frombuffer(docs, np.int64), np.frombuffer(first, np.int64)
             lists = [np.frombuffer(b"".join(x[i] for x in parts), kind) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32))]
             out = {"exact": search(*lists, first, 0)}
@@ -258,12 +257,12 @@ def _match_rows(plan: Windows, vocabulary: np.ndarray, frequency: np.ndarray, sl
             owner = np.searchsorted(first, opens, side="right") - 1
             flat = pa.StructArray.from_arrays([pa.array(opens - first[owner]), pa.array(closes - first[owner])], names=["first", "last"])
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(docs) + 1)).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.diff(first)), pa.array(np.diff(hit[first])), items["exact"], items["near"], spans], names=["doc_id", "n_words", "n_hit", "items", "near_items", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), segment)), pa.array(np.arange(len(docs))), pa.array(docs), pa.array(np.diff(first)), pa.array(np.diff(hit[first])), items["exact"], items["near"], spans], names=["segment", "place", "doc_id", "n_words", "n_hit", "items", "near_items", "spans"])
 
     return rows
 
 
-_MATCH = "doc_id long, n_words long, n_hit long, items array<long>, near_items array<long>, spans array<struct<first: long, last: long>>"
+_MATCH = "segment long, place long, doc_id long, n_words long, n_hit long, items array<long>, near_items array<long>, spans array<struct<first: long, last: long>>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -284,10 +283,10 @@ def matches(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: i
     if not parts:  # nothing to look for: the words are counted
         nothing = np.array([np.iinfo(np.int64).min])
         none = Windows(np.zeros((0, width), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return index.where("bucket = -1").mapInArrow(_match_rows(none, nothing, np.zeros(1, np.int64), slop), _MATCH)
+        return index.where("bucket = -1").mapInArrow(_match_rows(none, nothing, np.zeros(1, np.int64), slop), _MATCH).drop("segment", "place")
     if len(parts) == 1:
-        return parts[0]
-    every = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items", "spans")))
+        return parts[0].drop("segment", "place")
+    every = reduce(DataFrame.unionByName, parts).groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items", "spans")))
     # spans of different blocks may overlap
     end = F.lit(0).cast("long")
     state = F.aggregate("spans", F.struct(end.alias("n"), end.alias("to")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(x["first"], s["to"]))).alias("n"), F.greatest(s["to"], x["last"]).alias("to")))

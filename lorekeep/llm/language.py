@@ -16,7 +16,8 @@ in every language, however many letters its training texts have.
 
 What is collected is one count for each language and trigram bucket, bounded by
 their numbers. Null texts and texts without a letter are ``und`` with score 0.
-With no training row every text is ``und``. Other columns are ignored.
+With no training row every text is ``und``. Each row has its result, repeated ids
+too; rows without an id are left out, other columns ignored.
 """
 
 from __future__ import annotations

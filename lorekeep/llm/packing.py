@@ -7,13 +7,16 @@ the counts are kept in a level array. This keeps no level crowded, so that
 later rests find a sequence that they fill exactly.
 
 Each task packs its own rows and needs no shuffle; what it holds is the open
-sequences, at most ``most_open`` of them. At the end of a task, or when so many
-are open, the emptiest of them are cut to fill the fullest, and a task's last
-sequence is cut at powers of two, at which no padding is needed.
-
-Null texts are empty: a document of the end id alone. Ids of documents must be
-distinct integers; other columns are ignored. Sequence ids are distinct and
-repeatable (task number and count), not dense.
+sequences, at most ``most_open`` of them (a bound of memory, reached by tasks of
+millions of documents; no id is lost or padded by it, some rests are cut once more).
+At the end of a task, or when so many are open, the emptiest of them are cut to fill
+the fullest, and a task's last sequence is cut at powers of two, at which no padding
+is needed.
+
+Null texts are empty: a document of the end id alone. Rows with the same id are
+packed each by itself, with pieces of the same id. Rows without an id are left out,
+other columns ignored. Sequence ids are distinct and repeatable (task number and
+count), not dense.
 """
 
 from __future__ import annotations

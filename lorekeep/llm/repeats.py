@@ -329,10 +329,13 @@ def _windows(length: int):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_SEGMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, first, last): byte spans of the texts, end exclusive, that lie in repeated strings; they may touch or overlap."""
-    spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
-    texts = id_and_text(docs, id_col, text_col)
+    """(doc_id, first, last): byte spans of the texts, end exclusive, that lie in repeated strings; they may touch or overlap. Ids must be distinct."""
+    return _spans(id_and_text(docs, id_col, text_col), length, anchor, hot, block_bytes)
+
+
+def _spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_SEGMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``repeated_spans`` of (doc_id, text)."""
+    bounded_batches(texts.sparkSession)
     long_enough = texts.where(F.octet_length("text") >= length)
     # one shuffle of all segments; only those whose anchor comes again stay
     under = Window.partitionBy("anchor")
@@ -387,14 +390,15 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
-    ``docs`` needs distinct integer ids; other columns are ignored. Bytes that
-    stay may begin or end inside a character, so they are given as binary.
+    Rows with the same id are documents of their own: what one has of another's
+    text is repeated. Rows without an id are left out, other columns ignored. Bytes
+    that stay may begin or end inside a character, so they are given as binary.
     """
-    texts = id_and_text(docs, id_col, text_col).fillna("", "text")
-    marked = repeated_spans(docs, id_col, text_col, **parameters)
-    by_doc = marked.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    texts = id_and_text(docs, id_col, text_col).fillna("", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    marked = _spans(texts.select(F.col("key").alias("doc_id"), "text"), **parameters)
+    by_doc = marked.distinct().groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     none: Column = F.array().cast("array<struct<first: bigint, last: bigint>>")
-    joined = texts.join(by_doc, "doc_id", "left").withColumn("spans", F.coalesce("spans", none))
+    joined = texts.join(by_doc, "key", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
     return joined.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -159,3 +160,20 @@ def test_order_matters_in_short_texts(spark, tmp_path, size):
     near = [r.near_next for r in op2_fingerprints(spark, str(tmp_path)).collect() if r.doc_id % 2 == 0]
     # of two k-mers that both have, one pair in four at most is of one quarter
     assert 0 < sum(near) / len(near) < 0.3
+
+
+def test_likeness_falls_with_edits_and_serves_unspaced_scripts(texts):
+    draw = random.Random(4)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(600)]
+
+    def edited(n):
+        out = list(words)
+        for i in draw.sample(range(len(out)), n):
+            out[i] = f"x{i}"
+        return " ".join(out)
+
+    signs = "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(300))
+    rows = [(0, " ".join(words)), (1, " ".join(words)), (10, " ".join(words)), (11, edited(6)), (20, " ".join(words)), (21, edited(60)), (30, " ".join(words)), (31, edited(300)), (40, signs), (41, signs + "\u3002")]
+    near = {r.doc_id: r.near_next for r in fingerprints(texts(rows), densified=True).collect()}
+    assert near[0] == 1.0 > near[10] > near[20] > near[30] and near[10] > 0.8 and near[30] < 0.2
+    assert near[40] > 0.8

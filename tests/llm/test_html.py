@@ -1,6 +1,9 @@
+import time
+from html.parser import HTMLParser
+
 import pytest
 
-from lorekeep.llm.html import DEFAULT_WEIGHTS, content_range, extract, fit, main_text, parse
+from lorekeep.llm.html import DEFAULT_WEIGHTS, content_range, extract, fit, main_text, op4_html, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now</div><!-- <p>no</p> -->
@@ -54,3 +57,65 @@ def test_table(spark, data):
         assert len(made[r.page_id].text.split()) == len(__import__("re").sub(r"<[^>]+>", " ", body).split())
     assert extract(pages.limit(0), weights).count() == 0
     assert fit(pages.limit(0)) == DEFAULT_WEIGHTS
+
+
+class _Article(HTMLParser):
+    """The blocks of text inside article elements, but for elements that are no part of them; for well-formed pages."""
+
+    GONE = {"script", "style", "nav", "aside", "footer", "form", "title", "noscript", "button"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "br", "u", "small", "sub", "sup", "q"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks = [], [[]]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.blocks.append([])
+        elif tag == "br":
+            self.blocks[-1].append(" ")
+        if tag not in ("br", "img", "hr", "meta", "link", "input"):
+            self.stack.append((tag, tag in self.GONE or dict(attrs).get("class") == "ad"))
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.blocks.append([])
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                break
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(gone for _, gone in self.stack):
+            self.blocks[-1].append(data)
+
+
+def test_table_equals_an_independent_extractor(spark, data):
+    rows = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    made = {r.page_id: (r.text, r.n_chars) for r in op4_html(spark, data).collect()}
+    assert set(made) == set(rows)
+    for page, source in rows.items():
+        reader = _Article()
+        reader.feed(source or "")
+        lines = (" ".join("".join(x).split()) for x in reader.blocks)
+        text = "\n".join(x for x in lines if x)
+        assert made[page] == (text, len(text)), page
+
+
+@pytest.mark.parametrize("name", ["section-header", "legal-history", "notice-of-death", "search-party", "header"])
+def test_names_that_articles_write_about(name):
+    page = f"<html><body><article><h1>Title</h1><div class='{name}'><p>Part of it</p></div><p id='{name}'>And this too.</p></article></body></html>"
+    assert main_text(page, DEFAULT_WEIGHTS) == "Title\nPart of it\nAnd this too."
+
+
+@pytest.mark.parametrize("name", ["site-footer", "legal-notice", "comment-list", "ad-slot", "share-buttons", "cookie-banner", "reply"])
+def test_names_of_other_elements(name):
+    page = f"<html><body><article><h1>Title</h1><p>And the text.</p><div class='{name}'><p>No part of it</p></div></article></body></html>"
+    assert main_text(page, DEFAULT_WEIGHTS) == "Title\nAnd the text."
+
+
+@pytest.mark.parametrize("source", ["<div>" * 60_000 + "w", "<a <a " * 60_000, "<p><button>" + "<b>" * 40_000 + "<div></div>" * 40_000, "<div>" * 40_000 + "</b>" * 40_000, "<!--" * 60_000, "<a ' " * 60_000 + ">"])
+def test_broken_pages_take_no_longer_than_their_length_asks(source):
+    began = time.process_time()
+    main_text(source, DEFAULT_WEIGHTS)
+    assert time.process_time() - began < 5

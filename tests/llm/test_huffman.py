@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -20,6 +21,20 @@ def test_encoder_equals_the_library(name):
     assert [own.ids(t) for t in said] == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in said]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library_for_every_character(name):
+    path = public_tokenizers.path(name)
+    whole, own = Tokenizer.from_file(path), Encoder(path)
+    draw = random.Random(7)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    said = [f"a{c}b {c}{c} x{c}1 {c}'s" for c in every]
+    said += ["".join(draw.choices(every[:0x250] + list("  abc's.1\n"), k=draw.randrange(1, 40))) for _ in range(10_000)]
+    for at in range(0, len(said), 4096):
+        part = said[at : at + 4096]
+        wrong = [t for t, ids in zip(part, whole.encode_batch(part, add_special_tokens=False), strict=True) if own.ids(t) != np.array(ids.ids, "<u4").tobytes()]
+        assert not wrong, wrong[:5]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 60), max_size=700), st.integers(6, 12), st.integers(1, 200))
 def test_round_trip(ids, limit, interval):

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -62,3 +65,59 @@ def test_slices_do_not_matter(documents, model):
     whole = [identify(d, o, model)[0] for _, _, d, o in slices(column, 1 << 30)]
     single = [identify(d, o, model)[0] for _, _, d, o in slices(column, 1)]
     assert np.concatenate(whole).tolist() == np.concatenate(single).tolist()
+
+
+def _by_hand(text, model, rounds=8, penalty=2.0):
+    """(language, share, selected) by loops over words and trigrams."""
+    n, words = len(model.languages), []
+    low = re.sub("[\u00c0-\u00d6\u00d8-\u00de]", lambda x: x[0].lower(), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)).encode()
+    for word in re.findall(rb"[a-z\x80-\xff]+", low):
+        total = [0.0] * n
+        for i in range(len(word)):
+            a, b, c = word[i - 1] if i else 32, word[i], word[i + 1] if i + 1 < len(word) else 32
+            bucket = ((((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> 15) % len(model.log_p)
+            total = [x + float(p) for x, p in zip(total, model.log_p[bucket], strict=True)]
+        words.append(total)
+    if not words:
+        return None
+
+    def fitted(allowed):
+        shares = {k: 1 / len(allowed) for k in allowed}
+        weigh = lambda: [{k: shares[k] * math.exp(w[k] - max(w)) for k in allowed} for w in words]
+        for _ in range(rounds):
+            parts = [{k: x[k] / max(sum(x.values()), 1e-30) for k in allowed} for x in weigh()]
+            shares = {k: sum(x[k] for x in parts) / len(words) for k in allowed}
+        return shares, sum(math.log(max(sum(x.values()), 1e-30)) for x in weigh())
+
+    shares, _ = fitted(range(n))
+    order = sorted(range(n), key=lambda k: -shares[k])
+    single = [sum(w[k] - max(w) for w in words) for k in range(n)]
+    best = max(range(n), key=lambda k: single[k])
+    value, chosen, settled = single[best], [best], shares
+    price = penalty * math.log(max(len(words), 2))
+    for k in range(2, n + 1):
+        again, log_likelihood = fitted(order[:k])
+        if log_likelihood - (k - 1) * price > value:
+            value, chosen, settled = log_likelihood - (k - 1) * price, order[:k], again
+    if len(chosen) > 1:
+        best = max(chosen, key=lambda k: settled[k])
+    return model.languages[best], settled[best], {model.languages[k] for k in chosen}
+
+
+def test_equals_loops(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = fit(docs)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    some = list(rows.values())
+    mixed = {10**6 + i: " ".join((some[j] or "")[:400] for j in range(i, i + 5)) for i in range(0, 40, 5)}
+    made = {r.doc_id: r for r in predict(docs.unionByName(spark.createDataFrame(list(mixed.items()), "doc_id long, text string"), allowMissingColumns=True), model).collect()}
+    several = 0
+    for d, text in {**rows, **mixed}.items():
+        said = _by_hand(text or "", model)
+        if said is None:
+            assert made[d].lang_pred == "und"
+            continue
+        assert (made[d].lang_pred, set(made[d].languages)) == (said[0], said[2]), d
+        assert abs(made[d].score - said[1]) < 1e-4
+        several += len(said[2]) > 1
+    assert several > 3
