@@ -97,6 +97,15 @@ def windows_of(items: list[tuple[int, np.ndarray]], width: int) -> Windows:
     return Windows(distinct[:, 1:], distinct[:, 0], pairs[:, 0], pairs[:, 1])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then the next ones, and so on: what compresses stands together."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def _bucket(terms: np.ndarray) -> np.ndarray:
     """The range of each term's hash, in the order of the hashes."""
     return (terms >> (64 - BUCKETS.bit_length() + 1)) + BUCKETS // 2
@@ -118,7 +127,7 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(listed) else np.zeros(0, np.int64)
             cut = np.append(cut, len(listed))
             rows = [(-1, ids[lo:hi], found.first.astype(np.int64), b"")]
-            rows += [(int(bucket[i]), listed[i:j], np.diff(edges[i : j + 1]).astype(np.int32), order[edges[i] : edges[j]].astype(np.int32)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            rows += [(int(bucket[i]), listed[i:j], _planes(np.diff(edges[i : j + 1])), _planes(order[edges[i] : edges[j]])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array([bytes(x[k]) for x in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "segment", "terms", "counts", "positions"])
             number += 1
 
@@ -152,7 +161,7 @@ def _frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
                 listed = np.frombuffer(terms.as_py(), np.int64)
                 at = np.minimum(np.searchsorted(vocabulary, listed), len(vocabulary) - 1)
                 ours = vocabulary[at] == listed
-                total[at[ours]] += np.frombuffer(counts.as_py(), np.int32)[ours]
+                total[at[ours]] += _from_planes(counts.as_py())[ours]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
@@ -171,11 +180,11 @@ def _list_rows(vocabulary: np.ndarray):
             out = []
             for bucket, segment, *parts in zip(*(batch.column(name).to_pylist() for name in ("bucket", "segment", "terms", "counts", "positions")), strict=True):
                 if bucket >= 0:
-                    listed, counts, positions = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.int32), np.frombuffer(parts[2], np.int32)
+                    listed, counts, positions = np.frombuffer(parts[0], np.int64), _from_planes(parts[1]), _from_planes(parts[2])
                     ours = vocabulary[np.minimum(np.searchsorted(vocabulary, listed), len(vocabulary) - 1)] == listed
                     if not ours.any():
                         continue
-                    parts = [listed[ours].tobytes(), counts[ours].tobytes(), positions[np.repeat(ours, counts)].tobytes()]
+                    parts = [listed[ours].tobytes(), _planes(counts[ours]), _planes(positions[np.repeat(ours, counts)])]
                 out.append((bucket, segment, *parts))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "segment", "terms", "counts", "positions"])
@@ -233,7 +242,7 @@ def _match_rows(plan: Windows, vocabulary: np.ndarray, frequency: np.ndarray, sl
         owners = np.searchsorted(plan.of_window, np.arange(len(plan.sizes) + 1))
         for segment, ((_, docs, first, _), *parts) in _segments(batches):
             docs, first = np.frombuffer(docs, np.int64), np.frombuffer(first, np.int64)
-            lists = [np.frombuffer(b"".join(x[i] for x in parts), kind) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32))]
+            lists = [np.frombuffer(b"".join(x[1] for x in parts), np.int64), *(np.concatenate([np.zeros(0, np.int32), *(_from_planes(x[i]) for x in parts)]) for i in (2, 3))]
             out = {"exact": search(*lists, first, 0)}
             out["near"] = search(*lists, first, slop) if slop else tuple(x[:0] for x in out["exact"])
             window, start, doc = out["exact"]
