@@ -41,6 +41,8 @@ WIDTH = 3
 SLOTS = 64
 PARTITION_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 4
+#: Rows of 16 bytes, one a bucket, that are broadcast at most.
+MOST_BROADCAST = 200_000
 #: A bucket with so many times the mean number of ids: intervals are cut at quantiles.
 UNEVEN = 8
 
@@ -177,6 +179,8 @@ def with_next(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFr
     order = Window.orderBy(F.lit(0), "own")
     before = F.coalesce(F.lag("own").over(order), F.max("own").over(Window.partitionBy(F.lit(0))))
     firsts = firsts.select("doc_id", before.alias("bucket"))
+    if BUCKETS_PER_PARTITION * partitions <= MOST_BROADCAST:  # beyond it the texts go through one more shuffle
+        firsts = F.broadcast(firsts)
     added = docs.join(firsts, "doc_id").select("bucket", F.lit(True).alias("added"), "doc_id", "text")
     every = docs.select(bucket.alias("bucket"), F.lit(False).alias("added"), "doc_id", "text").unionByName(added).repartition(int(partitions), "bucket")
     order = Window.partitionBy("bucket").orderBy("added", "doc_id", "text")
