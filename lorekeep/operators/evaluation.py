@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,55 @@ def reduction(before: Column, after: Column) -> Column:
     return F.when(before > 0, (before - after) * 100.0 / before).otherwise(F.lit(0.0))
 
 
+def summarised(results: DataFrame, *by: str) -> DataFrame:
+    """What a run has reached, of all its questions or of each of ``by``.
+
+    Figures are averages over the questions that have them: recall where there are gold ids, ranks where ``has_gold``,
+    answers' scores and judgements where they are not null.
+    """
+    gold = F.col("has_gold")
+    mean = lambda value, name: F.round(F.avg(value), 4).alias(name)
+    tokens_in, tokens_out = F.coalesce(F.sum("input_tokens"), F.lit(0)), F.coalesce(F.sum("output_tokens"), F.lit(0))
+    return results.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        mean("recall", "recall_at_k"),
+        mean(F.when(gold, F.col("mrr")), "mrr"),
+        mean(F.when(gold, F.col("ndcg")), "ndcg_at_k"),
+        mean("f1", "token_f1"),
+        mean("em", "exact_match"),
+        mean("bleu", "bleu1"),
+        mean(F.col("judged").cast("double"), "judge_accuracy"),
+        mean("latency", "mean_latency"),
+        F.round(F.percentile("latency", F.lit(0.5)), 4).alias("p50"),
+        F.round(F.percentile("latency", F.lit(0.95)), 4).alias("p95"),
+        tokens_in.alias("input_tokens"),
+        tokens_out.alias("output_tokens"),
+        F.round(F.avg("context_tokens"), 1).alias("memory_tokens"),
+        F.count("context_tokens").alias("memory_tokens_counted"),
+        F.round(token_cost(tokens_in, tokens_out), 6).alias("est_cost_usd"),
+    )
+
+
+def share_of(items: DataFrame, key: str, share: float) -> DataFrame:
+    """A repeatable share of the rows, rounded up: those with the smallest digests of their keys.
+
+    Rows are counted by the first four digits of their digests (65,536 numbers at most reach the driver). What lies below the
+    digits at which the share is reached is taken by a filter, and only rows with those digits are put in order.
+    """
+    if not 0 < share <= 1:
+        raise ValueError(f"a share must be above 0 and at most 1, not {share}")
+    dealt = items.withColumn("_at", F.sha2(F.encode(F.col(key).cast("string"), "UTF-8"), 256))
+    head = F.substring("_at", 1, 4)
+    counts = dealt.groupBy(head.alias("head")).agg(F.count("*").alias("n")).orderBy("head").collect()
+    left = math.ceil(share * sum(r.n for r in counts))
+    for r in counts:
+        if left <= r.n:
+            edge = dealt.where(head == r.head).orderBy("_at", key).limit(left)
+            return dealt.where(head < r.head).unionByName(edge).drop("_at")
+        left -= r.n
+    return items
+
+
 def turns_recalled(recalled: DataFrame, turns: DataFrame, rendered: str = "rendered") -> DataFrame:
     """Recalled summaries (qid, rank, summary) as turn ids in rank order, each once.
 

@@ -9,20 +9,55 @@ before it and nothing undecided before that anchor is a member.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..sources.shared import written
+from .sizes import bytes_held
+
+#: Records of a pool by whose neighbourhoods it is cut.
+PIVOTS = 8
+#: More than what rounding may change an angle by.
+_SLACK = 1e-5
+
+
+def _same(pool: list[str]) -> Column:
+    """Equal pools, missing parts included; the other side's columns have a line before their names."""
+    return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pool))
+
+
+def _renamed(pool: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"_{c}") for c in pool]
+
 
+def near_pairs(records: DataFrame, pool: list[str], threshold: float, pivots: int = PIVOTS, most_bytes: int = 32 << 20) -> DataFrame:
+    """(pool..., a, b, at_a, at_b, cosine): similar pairs of a pool, a before b in order of writing. Vectors that are not finite have none.
 
-def near_pairs(records: DataFrame, pool: list[str], threshold: float) -> DataFrame:
-    """(pool..., a, b, cosine): similar pairs of a pool, a before b in order of writing."""
-    held = records.where("embedding IS NOT NULL").select(*pool, "id", "created_at", "embedding", vectors.norm(F.col("embedding")).alias("norm"))
-    one = held.select(*pool, F.col("id").alias("a"), F.struct("created_at", "id").alias("at_a"), F.col("embedding").alias("va"), F.col("norm").alias("na"))
-    two = held.select(*pool, F.col("id").alias("b"), F.struct("created_at", "id").alias("at_b"), F.col("embedding").alias("vb"), F.col("norm").alias("nb"))
+    The pool is cut exactly: a record is at home with the pivot that it is nearest to, and visits every pivot that is at most twice
+    the threshold's angle further away than that. Angles obey the triangle inequality, so the later record of a similar pair visits
+    the earlier one's home. Pairs are compared there only, each once, and a large pool is the work of as many tasks as it has pivots.
+    """
+    norm = vectors.norm(F.col("embedding"))
+    held = written(records.where("embedding IS NOT NULL").select(*pool, "id", "created_at", "embedding", norm.alias("norm")).where(F.col("norm") < F.lit(math.inf)), "vectors")
+    place = F.row_number().over(Window.partitionBy(*pool).orderBy(F.xxhash64("id"), "id"))
+    some = held.withColumn("pivot", place).where(F.col("pivot") <= pivots).select(*_renamed(pool), "pivot", F.col("embedding").alias("v"), F.col("norm").alias("n"))
+    marks = some.groupBy(*(f"_{c}" for c in pool)).agg(F.collect_list(F.struct("pivot", "v", "n")).alias("marks"))
+    marks = F.broadcast(marks) if bytes_held(some) <= most_bytes else marks
+    angle = lambda m: F.acos(F.least(F.greatest(vectors.cosine(F.col("embedding"), m["v"], F.col("norm"), m["n"]), F.lit(-1.0)), F.lit(1.0)))
+    angles = F.transform("marks", lambda m: F.struct(angle(m).alias("angle"), m["pivot"].alias("pivot")))
+    seen = held.join(marks, _same(pool)).select(*pool, "id", "created_at", "embedding", "norm", angles.alias("angles"))
+    home = F.array_min("angles")
+    reach = home["angle"] + 2 * math.acos(min(max(threshold - 1e-9, -1.0), 1.0)) + _SLACK
+    at = F.struct("created_at", "id")
+    one = seen.select(*pool, F.col("id").alias("a"), at.alias("at_a"), F.col("embedding").alias("va"), F.col("norm").alias("na"), home["pivot"].alias("home"))
+    two = seen.select(*_renamed(pool), F.col("id").alias("b"), at.alias("at_b"), F.col("embedding").alias("vb"), F.col("norm").alias("nb"), F.explode(F.filter("angles", lambda x: x["angle"] <= reach)["pivot"]).alias("visits"))
     close = F.round(vectors.cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")), 9)
-    return one.join(two, pool).where("at_a < at_b").select(*pool, "a", "b", "at_a", "at_b", close.alias("cosine")).where(F.col("cosine") >= threshold)
+    met = one.join(two, _same(pool) & (F.col("home") == F.col("visits")) & (F.col("at_a") < F.col("at_b")))
+    return met.select(*pool, "a", "b", "at_a", "at_b", close.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def groups(pairs: DataFrame) -> DataFrame:

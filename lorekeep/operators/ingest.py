@@ -23,9 +23,10 @@ def new_facts(facts: DataFrame, existing: DataFrame) -> DataFrame:
     return once.join(stored, same, "left_anti")
 
 
-def unseen_sources(messages: DataFrame, existing: DataFrame, source: str = "source_message_id") -> DataFrame:
-    """Messages whose source id is stored nowhere, in no scope."""
-    return messages.join(existing.select(source).distinct(), source, "left_anti")
+def unseen_sources(messages: DataFrame, existing: DataFrame, source: str = "source_message_id", summary: str | None = None) -> DataFrame:
+    """Messages whose source id (with ``summary``, whose pair of both) is stored nowhere, in no scope; those without a source id are new."""
+    key = [source, summary] if summary else [source]
+    return messages.join(existing.select(*key).distinct(), key, "left_anti")
 
 
 def receipts(requests: DataFrame, ledger: DataFrame) -> DataFrame:

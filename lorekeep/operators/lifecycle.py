@@ -5,47 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, text
 from .ingest import NAMESPACE
 
-def superseded(records: DataFrame, groups: DataFrame, now: Column) -> DataFrame:
-    """Conflict groups (group_id, id): the newest wins, the others end now and point to it; all stay active."""
+
+def superseded(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Conflict groups (group_id, id): the newest wins, the others end when it begins and point to it; all stay active."""
     rows = records.join(groups, "id")
-    newest = Window.partitionBy("group_id").orderBy(F.desc_nulls_last("valid_from"), F.desc("created_at"), F.desc("id"))
-    ranked = rows.withColumn("winner", F.first("id").over(newest)).withColumn("_n", F.row_number().over(newest))
-    return ranked.where("_n > 1").select("group_id", "id", F.col("winner").alias("superseded_by_id"), now.alias("valid_to"), F.col("is_active"))
+    winners = rows.groupBy("group_id").agg(F.max(F.struct("valid_from", "created_at", "id")).alias("w"))
+    lost = rows.join(winners, "group_id").where(F.col("id") != F.col("w.id"))
+    return lost.select("group_id", "id", F.col("w.id").alias("superseded_by_id"), F.col("w.valid_from").alias("valid_to"), "is_active")
 
 
-def union_text(created_at: str, id_: str, summary: str) -> Column:
-    """The distinct non-blank summaries in order of writing, joined by `` ; ``."""
-    ordered = F.array_sort(F.collect_list(F.struct(created_at, id_, F.trim(F.col(summary)).alias("t"))))
+def union_text(created_at: str, id_: str) -> Column:
+    """The distinct texts that are not blank in order of writing, joined by `` ; ``: of a record the summary, else the content."""
+    stated = F.trim(text.first_nonblank(F.col("context_summary"), F.col("content")))
+    ordered = F.array_sort(F.collect_list(F.struct(created_at, id_, stated.alias("t"))))
     return F.array_join(F.array_distinct(F.filter(F.transform(ordered, lambda x: x["t"]), lambda t: t != "")), " ; ")
 
 
+def _root(group_id: Column) -> Column:
+    return hashing.uuid5(NAMESPACE, F.concat(F.lit("root|"), group_id.cast("string")))
+
+
 def roots(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """One new record for each group (group_id, id): united text and tags, earliest times, the newest source's identity."""
+    """One new record for each group (group_id, id): united text and tags, earliest times, the newest source's identity, no hits yet."""
     rows = records.join(groups, "id")
     newest = lambda c: F.max_by(c, F.struct("created_at", "id")).alias(c)
     out = rows.groupBy("group_id").agg(
-        union_text("created_at", "id", "context_summary").alias("context_summary"),
+        union_text("created_at", "id").alias("context_summary"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
         F.min("created_at").alias("created_at"),
         F.min("occurred_at").alias("occurred_at"),
         newest("user_id"),
         newest("agent_type"),
         newest("project_id"),
-        F.sum("hit_count").alias("hit_count"),
+        newest("customer_id"),
+        F.lit(0).cast("long").alias("hit_count"),
         F.count("*").alias("sources"),
     )
-    return out.withColumn("id", hashing.uuid5(NAMESPACE, F.concat(F.lit("root|"), F.col("group_id").cast("string"))))
+    return out.withColumns({"id": _root(F.col("group_id")), "valid_from": F.coalesce("occurred_at", "created_at")})
 
 
-def archived(records: DataFrame, groups: DataFrame, now: Column, supersede: bool = False) -> DataFrame:
-    """``records`` with the groups' sources inactive, ended now, below their root (and, of manual merges, superseded by it)."""
-    root = groups.select("id", hashing.uuid5(NAMESPACE, F.concat(F.lit("root|"), F.col("group_id").cast("string"))).alias("_root"))
-    out = records.join(root, "id", "left")
+def archived(records: DataFrame, groups: DataFrame, ended: Column | None = None) -> DataFrame:
+    """``records`` with the groups' sources inactive below their root; those of merges by hand (``ended``) end then, superseded by it."""
+    out = records.join(groups.select("id", _root(F.col("group_id")).alias("_root")), "id", "left")
+    had = lambda c, kind: F.col(c) if c in records.columns else F.lit(None).cast(kind)
     gone = F.col("_root").isNotNull()
-    changed = {"is_active": F.col("is_active") & ~gone, "parent_id": F.col("_root"), "valid_to": F.when(gone, now), "superseded_by_id": F.when(gone & F.lit(supersede), F.col("_root"))}
+    changed = {"is_active": F.col("is_active") & ~gone, "parent_id": F.coalesce("_root", had("parent_id", "string"))}
+    if ended is not None:
+        changed |= {"valid_to": F.when(gone, ended).otherwise(had("valid_to", "timestamp")), "superseded_by_id": F.coalesce("_root", had("superseded_by_id", "string"))}
     return out.withColumns(changed).drop("_root")
 
 
@@ -67,13 +76,13 @@ def merge_groups(records: DataFrame, requested: DataFrame) -> DataFrame:
 
 def chains(records: DataFrame) -> DataFrame:
     """(id, current, depth): what each superseded record has become, by a recursive walk."""
-    records.select("id", "superseded_by_id").createOrReplaceTempView("_edges")
     return records.sparkSession.sql(
         """WITH RECURSIVE walk AS (
-             SELECT id, superseded_by_id AS current, 1 AS depth FROM _edges WHERE superseded_by_id IS NOT NULL
+             SELECT id, superseded_by_id AS current, 1 AS depth FROM {edges} WHERE superseded_by_id IS NOT NULL
              UNION ALL
-             SELECT w.id, e.superseded_by_id, w.depth + 1 FROM walk w JOIN _edges e ON e.id = w.current WHERE e.superseded_by_id IS NOT NULL)
-           SELECT id, max_by(current, depth) AS current, max(depth) AS depth FROM walk GROUP BY id"""
+             SELECT w.id, e.superseded_by_id, w.depth + 1 FROM walk w JOIN {edges} e ON e.id = w.current WHERE e.superseded_by_id IS NOT NULL)
+           SELECT id, max_by(current, depth) AS current, max(depth) AS depth FROM walk GROUP BY id""",
+        edges=records.select("id", "superseded_by_id"),
     )
 
 

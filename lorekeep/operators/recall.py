@@ -97,8 +97,10 @@ def tag_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFra
 
 
 def vector_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
-    """Records with a vector, by exact cosine (rounded to nine digits before it ranks); vectors of another length don't count."""
-    asked = questions.where("vector IS NOT NULL").select("qid", "as_of", "vector", vectors.norm(F.col("vector")).alias("_asked"))
+    """Records with a vector, by exact cosine (rounded to nine digits before it ranks); vectors of another length don't count, a question's that is zero or not finite is an error."""
+    length = vectors.norm(F.col("vector"))
+    known = F.when((length > 0) & (length < F.lit(float("inf"))), length).otherwise(F.raise_error(F.lit("a question's vector is zero or not finite")).cast("double"))
+    asked = questions.where("vector IS NOT NULL").select("qid", "as_of", "vector", known.alias("_asked"))
     held = records.where("embedding IS NOT NULL").select("id", "occurred_at", "embedding", "_norm")
     close = F.round(vectors.cosine(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_asked")), 9)
     pairs = held.join(small(asked, config.max_broadcast_bytes), as_of() & (F.size("embedding") == F.size("vector")))

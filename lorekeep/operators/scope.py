@@ -35,6 +35,18 @@ def browsing(caller: Caller, scope: str) -> Column:
     return pool & {"own": mine, "team": ~mine, "all": F.lit(True)}[scope]
 
 
+def in_scope(records: DataFrame, caller: Caller, record_id: object) -> DataFrame:
+    """The record of an id, of any persona of the caller's project and customer; an unknown or foreign id is an error."""
+    found = records.where(F.col("id") == F.lit(record_id)).limit(1)
+    allowed = F.col("project_id").eqNullSafe(F.lit(caller.project_id)) & F.col("customer_id").eqNullSafe(F.lit(caller.customer_id))
+    row = found.select(allowed.alias("allowed")).first()
+    if row is None:
+        raise ValueError(f"record {record_id} not found")
+    if not row.allowed:
+        raise ValueError(f"record {record_id} is out of scope")
+    return found
+
+
 def row_scope(caller: Caller) -> Column:
     return F.when(F.col("user_id") == F.lit(caller.user_id), "own").otherwise("team")
 
@@ -56,7 +68,7 @@ def as_of(bound: str = "as_of") -> Column:
 
 def never_merge(records: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """Records that no tag protects from merging."""
-    return records.where(~F.arrays_overlap("tags", F.array(*(F.lit(x) for x in labels))))
+    return records.where(~F.coalesce(F.arrays_overlap("tags", F.array(*(F.lit(x) for x in labels))), F.lit(False)))
 
 
 def current() -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, lifecycle, recall, scalars, sources, streams, whole
+from . import consolidation, evaluation, lifecycle, recall, scalars, sources, streams, whole
 
-_MODULES = (recall, lifecycle, evaluation, scalars, streams, sources, whole)
+_MODULES = (recall, lifecycle, consolidation, evaluation, scalars, streams, sources, whole)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

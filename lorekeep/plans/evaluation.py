@@ -219,15 +219,51 @@ def judge_accuracy(spark, d):
     return T.table(spark, d, "labels").select(judge_label(reply).cast("int").alias("ok")).agg(F.coalesce(F.avg("ok"), F.lit(0.0)).alias("accuracy"), F.count("*").alias("n"))
 
 
-@_add("eval_summary", "SELECT count(*) AS n, round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic, sum(quality)::BIGINT AS good FROM labels")
+# a run: of each question the answer is the first record's summary, its gold the question itself; every fifth is not judged
+
+_ANSWERS = (
+    *_SCORED,
+    "pairs AS (SELECT j.qid AS doc_id, r.context_summary AS p, q.query AS g, j.gold, j.found, CASE WHEN q.as_of IS NULL THEN 'open' ELSE 'dated' END AS category, e.value AS latency FROM judged AS j JOIN questions AS q ON q.qid = j.qid LEFT JOIN records AS r ON r.id = j.found[1] LEFT JOIN events AS e ON e.event_id = j.qid)",
+    *_BAGS[1:],
+    f"results AS (SELECT category, len(gold) > 0 AS has_gold, {_RECALL} AS recall, {_MRR} AS mrr, {_NDCG} AS ndcg, {_F1} AS f1, CASE WHEN {normal('p')} = {normal('g')} THEN 1.0 ELSE 0.0 END AS em, {_BLEU} AS bleu, CASE WHEN a.doc_id % 5 <> 0 THEN {_F1} >= 0.1 END AS judged, latency, len(regexp_extract_all(lower(g), '[a-z0-9]+')) AS input_tokens, len(regexp_extract_all(lower(p), '[a-z0-9]+')) AS output_tokens, CASE WHEN a.doc_id % 4 <> 0 THEN len(regexp_extract_all(lower(p), '[a-z0-9]+')) END AS context_tokens FROM pairs AS a JOIN sized AS s ON s.doc_id = a.doc_id)",
+)
+_SUMMED = "count(*) AS n, round(avg(recall), 4) AS recall_at_k, round(avg(mrr) FILTER (WHERE has_gold), 4) AS mrr, round(avg(ndcg) FILTER (WHERE has_gold), 4) AS ndcg_at_k, round(avg(f1), 4) AS token_f1, round(avg(em), 4) AS exact_match, round(avg(bleu), 4) AS bleu1, round(avg(judged::INTEGER), 4) AS judge_accuracy, round(avg(latency), 4) AS mean_latency, round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(avg(context_tokens), 1) AS memory_tokens, count(context_tokens) AS memory_tokens_counted, round((sum(input_tokens) * 1.0 + sum(output_tokens) * 5.0) / 1e6, 6)::DOUBLE AS est_cost_usd"
+
+
+def _results(spark, d, config=CONFIG):
+    from ..functions.parsing import judge_label
+
+    first = T.records(spark, d).select(F.col("id").alias("first"), F.col("context_summary").alias("p"))
+    asked = T.questions(spark, d).select("qid", F.col("query").alias("g"), F.when(F.col("as_of").isNull(), "open").otherwise("dated").alias("category"))
+    took = T.table(spark, d, "events").select(F.col("event_id").alias("qid"), F.col("value").alias("latency"))
+    rows = _judged(spark, d, config).withColumn("first", F.get("found", F.lit(0))).join(first, "first", "left").join(asked, "qid").join(took, "qid", "left")
+    p, g, gold, found = F.col("p"), F.col("g"), F.col("gold"), F.col("found")
+    reply = F.concat(F.lit('{"label": "'), F.when(E.token_f1(p, g) >= 0.1, "CORRECT").otherwise("WRONG"), F.lit('"}'))
+    return rows.select(
+        "category",
+        (F.size(gold) > 0).alias("has_gold"),
+        E.recall_at(gold, found, 10).alias("recall"),
+        E.reciprocal_rank(gold, found).alias("mrr"),
+        E.ndcg_at(gold, found, 10).alias("ndcg"),
+        E.token_f1(p, g).alias("f1"),
+        E.exact_match(p, g).alias("em"),
+        E.bleu1(p, g).alias("bleu"),
+        F.when(F.col("qid") % 5 != 0, judge_label(reply)).cast("int").alias("judged"),
+        "latency",
+        F.size(text.tokens(g)).alias("input_tokens"),
+        F.size(text.tokens(p)).alias("output_tokens"),
+        F.when(F.col("qid") % 4 != 0, F.size(text.tokens(p))).alias("context_tokens"),
+    )
+
+
+@_add("eval_summary", P.query(*_ANSWERS, select=f"SELECT {_SUMMED} FROM results"))
 def eval_summary(spark, d):
-    return T.table(spark, d, "labels").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 4).alias("quality"), F.round(F.avg("toxic"), 4).alias("toxic"), F.sum("quality").alias("good"))
+    return E.summarised(_results(spark, d))
 
 
-@_add("eval_by_category", "SELECT d.lang AS category, count(*) AS n, round(avg(l.quality), 4) AS accuracy, round(avg(d.n_chars), 4) AS size FROM labels AS l JOIN documents AS d ON d.doc_id = l.doc_id GROUP BY 1")
+@_add("eval_by_category", P.query(*_ANSWERS, select=f"SELECT category, {_SUMMED} FROM results GROUP BY category"))
 def eval_by_category(spark, d):
-    judged = T.table(spark, d, "labels").join(T.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    return judged.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("quality"), 4).alias("accuracy"), F.round(F.avg("n_chars"), 4).alias("size"))
+    return E.summarised(_results(spark, d), "category")
 
 
 @_add("latency_percentiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
@@ -314,10 +350,7 @@ def exclude_abstention(spark, d):
     return qa.agg(F.count_if(~F.col("abstention")).alias("questions"), F.count_if("abstention").alias("excluded"), F.count_distinct(F.when(~F.col("abstention"), F.col("conv_id"))).alias("conversations"))
 
 
-@_add("qa_fraction", "SELECT item_id, rank FROM (SELECT item_id, row_number() OVER (ORDER BY sha256(item_id::VARCHAR), item_id) AS rank FROM benchmark) WHERE rank <= (SELECT ceil(count(*) * 0.25) FROM benchmark)")
+@_add("qa_fraction", "SELECT item_id FROM benchmark QUALIFY row_number() OVER (ORDER BY sha256(item_id::VARCHAR), item_id) <= ceil(count(*) OVER () * 0.25)")
 def qa_fraction(spark, d):
-    """A repeatable quarter of the questions: those with the smallest digests of their ids."""
-    items = T.table(spark, d, "benchmark").select("item_id", F.sha2(F.encode(F.col("item_id").cast("string"), "UTF-8"), 256).alias("at"))
-    most = -(-items.count() // 4)
-    picked = items.orderBy("at", "item_id").limit(most)
-    return picked.agg(F.array_sort(F.collect_list(F.struct("at", "item_id"))).alias("x")).select(F.posexplode("x").alias("p", "y")).select("y.item_id", (F.col("p") + 1).alias("rank"))
+    """A repeatable quarter of the questions."""
+    return E.share_of(T.table(spark, d, "benchmark"), "item_id", 0.25).select("item_id")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import grouping, ingest, lifecycle, merge
+from ..operators import ingest, lifecycle, merge
 from ..sources import tables as T
 from . import prelude as P
-from .recall import CALLER, CONFIG
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -85,6 +84,14 @@ def ingest_idempotent(spark, d):
     return ingest.unseen_sources(said, stored).select("conv_id", "turn")
 
 
+@_add("ingest_idempotent_summary", "SELECT conv_id, turn FROM conversations WHERE turn % 4 <> 0 OR conv_id % 3 = 0")
+def ingest_idempotent_summary(spark, d):
+    """With summaries: of what is stored, half has another one."""
+    said = T.table(spark, d, "conversations").select("conv_id", "turn", "text", F.concat_ws(":", "conv_id", "turn").alias("source_message_id"))
+    stored = said.where("turn % 2 = 0 AND conv_id % 3 <> 0").withColumn("text", F.when(F.col("turn") % 4 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return ingest.unseen_sources(said, stored, summary="text").select("conv_id", "turn")
+
+
 @_add("receipts", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'new' WHEN event_id % 5 = 0 THEN 'conflict' ELSE 'repeated' END AS outcome FROM events")
 def receipts(spark, d):
     events = T.table(spark, d, "events")
@@ -118,23 +125,23 @@ def dedup_ids(spark, d):
 
 
 # groups: every nine consecutive records of a pool are one
-_GROUPS = "grouped AS (SELECT id, id // 9 AS group_id FROM records WHERE is_active AND id % 9 < 4)"
+_GROUPS = "grouped AS (SELECT id, id // 9 AS group_id FROM records WHERE is_active)"
 
 
 def _groups(spark, d):
-    return T.records(spark, d).where("is_active AND id % 9 < 4").select("id", F.floor(F.col("id") / 9).alias("group_id"))
+    return T.records(spark, d).where("is_active").select("id", F.floor(F.col("id") / 9).alias("group_id"))
 
 
 def _dated(spark, d):
     return T.records(spark, d).withColumn("valid_from", F.coalesce("occurred_at", T.now()))
 
 
-@_add("supersede_conflict", P.query(P.RECORDS, _GROUPS, select="SELECT g.group_id, r.id, first(r.id) OVER w AS superseded_by_id, r.is_active FROM records AS r JOIN grouped AS g ON g.id = r.id WINDOW w AS (PARTITION BY g.group_id ORDER BY coalesce(r.occurred_at, TIMESTAMP '2024-03-01') DESC, r.created_at DESC, r.id DESC) QUALIFY row_number() OVER w > 1"))
+@_add("supersede_conflict", P.query(P.RECORDS, _GROUPS, select="SELECT g.group_id, r.id, first(r.id) OVER w AS superseded_by_id, strftime(first(coalesce(r.occurred_at, TIMESTAMP '2024-03-01')) OVER w, '%Y-%m-%d %H:%M:%S') AS valid_to, r.is_active FROM records AS r JOIN grouped AS g ON g.id = r.id WINDOW w AS (PARTITION BY g.group_id ORDER BY coalesce(r.occurred_at, TIMESTAMP '2024-03-01') DESC, r.created_at DESC, r.id DESC) QUALIFY row_number() OVER w > 1"))
 def supersede_conflict(spark, d):
-    return lifecycle.superseded(_dated(spark, d), _groups(spark, d), T.now()).select("group_id", "id", "superseded_by_id", "is_active")
+    return lifecycle.superseded(_dated(spark, d), _groups(spark, d)).select("group_id", "id", "superseded_by_id", _stamp("valid_to"), "is_active")
 
 
-_UNION_SQL = "SELECT group_id, string_agg(t, ' ; ' ORDER BY first_at) AS context_summary FROM (SELECT g.group_id, trim(r.context_summary) AS t, min(r.id) AS first_at FROM records AS r JOIN grouped AS g ON g.id = r.id WHERE trim(r.context_summary) <> '' GROUP BY 1, 2) GROUP BY group_id"
+_UNION_SQL = "SELECT group_id, string_agg(t, ' ; ' ORDER BY first_at) AS context_summary FROM (SELECT g.group_id, trim(r.context_summary) AS t, min(r.id) AS first_at FROM (SELECT id, CASE WHEN length(regexp_replace(context_summary, '\\s+', '', 'g')) > 0 THEN context_summary WHEN length(regexp_replace(content, '\\s+', '', 'g')) > 0 THEN content ELSE '' END AS context_summary FROM records) AS r JOIN grouped AS g ON g.id = r.id WHERE trim(r.context_summary) <> '' GROUP BY 1, 2) GROUP BY group_id"
 
 
 @_add("union_summary", P.query(P.RECORDS, _GROUPS, select=_UNION_SQL))
@@ -150,7 +157,7 @@ def merge_tags(spark, d):
 _ROOT = uuid_sql("'root|' || group_id::VARCHAR")
 
 
-@_add("merge_root", P.query(P.RECORDS, _GROUPS, select=f"SELECT group_id, {_ROOT} AS id, strftime(min(r.created_at), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(min(r.occurred_at), '%Y-%m-%d %H:%M:%S') AS occurred_at, arg_max(r.user_id, r.id) AS user_id, arg_max(r.agent_type, r.id) AS agent_type, arg_max(r.project_id, r.id) AS project_id, sum(r.hit_count)::BIGINT AS hit_count, count(*) AS sources FROM records AS r JOIN grouped AS g ON g.id = r.id GROUP BY group_id"))
+@_add("merge_root", P.query(P.RECORDS, _GROUPS, select=f"SELECT group_id, {_ROOT} AS id, strftime(min(r.created_at), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(min(r.occurred_at), '%Y-%m-%d %H:%M:%S') AS occurred_at, arg_max(r.user_id, r.id) AS user_id, arg_max(r.agent_type, r.id) AS agent_type, arg_max(r.project_id, r.id) AS project_id, 0 AS hit_count, count(*) AS sources FROM records AS r JOIN grouped AS g ON g.id = r.id GROUP BY group_id"))
 def merge_root(spark, d):
     return lifecycle.roots(T.records(spark, d), _groups(spark, d)).select("group_id", "id", _stamp("created_at"), _stamp("occurred_at"), "user_id", "agent_type", "project_id", "hit_count", "sources")
 
@@ -188,40 +195,6 @@ def ledger_upsert(spark, d):
     return lifecycle.latest_runs(runs.where(F.col("id") <= half), runs.where(F.col("id") > half)).select(F.col("scope_key").alias("scope"), "id")
 
 
-# near-duplicate groups of vectors
-
-TAU = 0.3
-_POOL = "pool AS (SELECT id, created_at, project_id, embedding FROM records WHERE is_active AND embedding IS NOT NULL AND NOT list_contains(tags, 'pinned'))"
-_PAIRS = f"near AS (SELECT a.project_id, a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS cosine FROM pool AS a JOIN pool AS b ON b.project_id = a.project_id AND a.id < b.id WHERE round(list_cosine_similarity(a.embedding, b.embedding), 9) >= {TAU})"
-# greedy: in order, a record joins the first anchor near it, else it is an anchor
-_GREEDY = (
-    "ordered AS (SELECT p.id, row_number() OVER (ORDER BY p.id) AS n, (SELECT list(x.a) FROM near AS x WHERE x.b = p.id) AS before FROM pool AS p WHERE p.id IN (SELECT a FROM near UNION SELECT b FROM near))",
-    "walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS anchors, NULL::BIGINT AS id, NULL::BIGINT AS anchor UNION ALL SELECT o.n, CASE WHEN list_has_any(coalesce(o.before, []), w.anchors) THEN w.anchors ELSE list_append(w.anchors, o.id) END, o.id, list_min(list_intersect(coalesce(o.before, []), w.anchors)) FROM walk AS w JOIN ordered AS o ON o.n = w.n + 1)",
-    "members AS (SELECT anchor, id FROM walk WHERE anchor IS NOT NULL)",
-    "grouped_near AS (SELECT anchor, id FROM members UNION SELECT anchor, anchor FROM members)",
-)
-
-
-def _pool(spark, d):
-    from ..operators.scope import never_merge
-
-    return never_merge(T.records(spark, d).where("is_active AND embedding IS NOT NULL"), CONFIG.never_merge)
-
-
-def _pairs(spark, d, threshold=TAU):
-    return grouping.near_pairs(_pool(spark, d), ["project_id"], threshold)
-
-
-@_add("near_dup_pairs", P.query(P.RECORDS, _POOL, _PAIRS, select="SELECT a, b, cosine FROM near"))
-def near_dup_pairs(spark, d):
-    return _pairs(spark, d).select("a", "b", "cosine")
-
-
-@_add("near_dup_groups", P.query(P.RECORDS, _POOL, _PAIRS, *_GREEDY, select="SELECT anchor, id FROM grouped_near", recursive=True))
-def near_dup_groups(spark, d):
-    return grouping.groups(_pairs(spark, d))
-
-
 @_add("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark, d):
     from ..functions.vectors import cosine
@@ -231,23 +204,6 @@ def cosine_pairs(spark, d):
     return one.join(two, "a").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 9).alias("cosine"))
 
 
-@_add("consolidation_report", P.query(P.RECORDS, _POOL, _PAIRS, *_GREEDY, select="SELECT (SELECT count(*) FROM records WHERE is_active) AS memories_before, (SELECT count(*) FROM records WHERE is_active) - (SELECT count(*) FROM grouped_near) + (SELECT count(DISTINCT anchor) FROM grouped_near) AS memories_after, (SELECT count(DISTINCT anchor) FROM grouped_near) AS groups_merged, (SELECT count(*) FROM grouped_near) AS rows_archived", recursive=True))
-def consolidation_report(spark, d):
-    rows = T.records(spark, d)
-    groups = grouping.groups(_pairs(spark, d)).select(F.col("anchor").alias("group_id"), "id")
-    after = lifecycle.archived(rows, groups, T.now())
-    merged = groups.agg(F.count_distinct("group_id").alias("groups_merged"), F.count("*").alias("rows_archived"))
-    counts = rows.agg(F.count_if("is_active").alias("memories_before")).crossJoin(after.agg(F.count_if("is_active").alias("left"))).crossJoin(merged)  # one row each
-    return counts.select("memories_before", (F.col("left") + F.col("groups_merged")).alias("memories_after"), "groups_merged", "rows_archived")
-
-
-@_add("tau_sweep", P.query(P.RECORDS, _POOL, _PAIRS.replace(f">= {TAU}", ">= 0.3"), select="SELECT tau, count(*) FILTER (WHERE cosine >= tau) AS pairs, count(DISTINCT b) FILTER (WHERE cosine >= tau) AS later FROM near, (VALUES (0.30::DOUBLE), (0.35::DOUBLE), (0.40::DOUBLE)) AS t(tau) GROUP BY tau"))
-def tau_sweep(spark, d):
-    taus = spark.createDataFrame([(0.30,), (0.35,), (0.40,)], "tau double")
-    near = _pairs(spark, d).select("b", "cosine").join(F.broadcast(taus), F.col("cosine") >= F.col("tau"))
-    return taus.join(near.groupBy("tau").agg(F.count("*").alias("pairs"), F.count_distinct("b").alias("later")), "tau", "left").fillna(0)
-
-
 # versions
 
 _MERGE = (

@@ -104,8 +104,8 @@ def test_second_ingest_writes_nothing(spark):
 
 def test_conflict_keeps_both_active(spark):
     rows = spark.createDataFrame([(1, "2024-01-01", True), (2, "2024-06-01", True)], "id long, at string, is_active boolean").selectExpr("id", "to_timestamp(at) AS valid_from", "timestamp'2024-07-01' AS created_at", "is_active")
-    found = lifecycle.superseded(rows, rows.selectExpr("id", "0 AS group_id"), F.lit("2024-08-01").cast("timestamp")).collect()
-    assert [(r.id, r.superseded_by_id, r.is_active) for r in found] == [(1, 2, True)]
+    found = lifecycle.superseded(rows, rows.selectExpr("id", "0 AS group_id")).collect()
+    assert [(r.id, r.superseded_by_id, str(r.valid_to), r.is_active) for r in found] == [(1, 2, "2024-06-01 00:00:00", True)]
 
 
 def test_numbered_versions(spark, tmp_path):
