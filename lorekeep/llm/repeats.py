@@ -45,6 +45,8 @@ LENGTH = 200
 ANCHOR = 100
 HOT_SEGMENTS = 20_000
 BLOCK_BYTES = 1 << 20
+#: Bytes of two suffixes that are compared themselves before hashes are.
+_DIRECT = 64
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -140,13 +142,14 @@ class RunLengthIndex:
         ends = np.append(runs[1:], len(order)) - 1
         self.run_symbols, self.run_lengths = before[runs], np.diff(np.append(runs, len(order)))
         self.heads, self.tails = order[runs], order[ends]
-        raw = np.zeros(len(text), np.uint8)
+        raw = np.zeros(len(text) + 8, np.uint8)
         raw[self.place] = data
-        sums = prefix_sums(raw)
+        sums = prefix_sums(raw[:-8])
+        words = np.ndarray(len(text), "<u8", raw, strides=(1,))  # the eight bytes from each position
         up = np.where(runs > 0, order[runs - 1], -1)
         down = np.where(ends + 1 < len(order), order[np.minimum(ends + 1, len(order) - 1)], -1)
-        self.head_match = self._shared(sums, stop, self.heads, up)
-        self.tail_match = self._shared(sums, stop, self.tails, down)
+        self.head_match = self._shared(words, sums, stop, self.heads, up)
+        self.tail_match = self._shared(words, sums, stop, self.tails, down)
 
     @staticmethod
     def _suffixes(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -185,18 +188,33 @@ class RunLengthIndex:
             order[tied] = rows[np.lexsort((rows, rank[rows]))]
         return order
 
-    def _shared(self, sums: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at a and b have in common (b < 0: none)."""
+    @staticmethod
+    def _shared(words: np.ndarray, sums: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at a and b have in common (b < 0: none).
+
+        The first ``_DIRECT`` are compared eight at a time, which settles nearly all; where they agree the rest is found by hashes of stretches.
+        """
         other = np.maximum(b, 0)
         most = np.where(b < 0, 0, np.minimum(stop[a] - a, stop[other] - other))
-        low, high = np.zeros(len(a), np.int64), most
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            mid = (low + high + 1) >> 1
-            same = between(sums, a, a + mid) == between(sums, other, other + mid)
-            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        shared = np.zeros(len(a), np.int64)
+        at = np.flatnonzero(most > 0)
+        for done in range(0, _DIRECT, 8):
+            differ = words[a[at] + done] ^ words[other[at] + done]
+            some = differ != 0
+            lowest = differ[some]
+            lowest &= ~lowest + _U(1)  # a power of two, in the first byte that differs
+            shared[at[some]] = done + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3)
+            at = at[~some]
+            shared[at] = done + 8
+            at = at[most[at] > done + 8]
+        shared = np.minimum(shared, most)
+        one, two, low, high = a[at], other[at], shared[at], most[at]
+        while len(open_ := np.flatnonzero(low < high)):
+            x, y, mid = one[open_], two[open_], (low[open_] + high[open_] + 1) >> 1
+            same = between(sums, x, x + mid) == between(sums, y, y + mid)
+            low[open_[same]], high[open_[~same]] = mid[same], mid[~same] - 1
+        shared[at] = low
+        return shared
 
     def matching_statistics(self) -> np.ndarray:
         """For each byte of the strings: the length of the longest match with a string that starts anywhere else."""
