@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html, huffman, language, near, oracle, packing, repeats, secrets, toxicity
+from . import decontaminate, fingerprints, html, huffman, language, middle, mixing, near, oracle, packing, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_near": near.op9_near,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_middle": middle.op12_middle,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_repeats": oracle.OP7,
     "op9_near": oracle.OP9,
     "op10_decontaminate": oracle.OP10,
+    "op12_middle": oracle.OP12,
 }
