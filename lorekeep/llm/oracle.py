@@ -55,3 +55,15 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   CASE WHEN form <> 'plain' THEN a > 0 AND a < n AND NOT regexp_matches(substr(t, a, 2), '[\x09-\x0D\x20]') END AS prefix_splits_word,
   CASE WHEN form <> 'plain' THEN b > 0 AND b < n AND NOT regexp_matches(substr(t, b, 2), '[\x09-\x0D\x20]') END AS middle_splits_word
 FROM p"""
+
+_TERMS = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+
+OP11 = f"""
+WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, regexp_extract_all({_LOW}, {_TERMS}) AS w FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM t WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM t) GROUP BY ALL),
+i AS (SELECT p.r, p.doc_id, p.term, (1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n * c.n) // c.l)) AS impact FROM p, c),
+f AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * c.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, c.n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW}, {_TERMS})) AS term FROM benchmark),
+s AS (SELECT q.item_id, i.r, i.doc_id, sum(f.w * i.impact)::BIGINT AS score FROM q JOIN f ON f.term = q.term JOIN i ON i.term = q.term GROUP BY ALL HAVING sum(f.w * i.impact) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM s QUALIFY rank <= 50"""
