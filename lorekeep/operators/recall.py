@@ -15,7 +15,7 @@ from ..config import Config
 from ..functions import dates, text, vectors
 from ..sources.shared import written
 from .scope import Caller, as_of, own, team
-from .sizes import small
+from .sizes import paired, small
 
 #: What a record needs for ranking; contents are joined to the chosen rows only.
 _KEYS = ("id", "created_at", "occurred_at", "hit_count")
@@ -41,8 +41,7 @@ def _top(pairs: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 def recent_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
     """The newest records, ranked once for each distinct bound and handed to its questions."""
-    bounds = small(questions.select("as_of").distinct(), config.max_broadcast_bytes)
-    pairs = records.select("id", "created_at", "occurred_at").join(bounds, as_of())
+    pairs = paired(records.select("id", "created_at", "occurred_at"), questions.select("as_of").distinct(), as_of(), config.max_broadcast_bytes)
     order = Window.partitionBy("as_of").orderBy(F.desc("created_at"), "id")
     newest = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= config.candidate_limit).select(F.col("as_of").alias("bound"), "id", (F.col("_n") - 1).alias("rank"))
     return questions.select("qid", "as_of").join(newest, F.col("as_of").eqNullSafe(F.col("bound"))).select("qid", "id", "rank")
@@ -103,7 +102,7 @@ def vector_leg(records: DataFrame, questions: DataFrame, config: Config) -> Data
     asked = questions.where("vector IS NOT NULL").select("qid", "as_of", "vector", known.alias("_asked"))
     held = records.where("embedding IS NOT NULL").select("id", "occurred_at", "embedding", "_norm")
     close = F.round(vectors.cosine(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_asked")), 9)
-    pairs = held.join(small(asked, config.max_broadcast_bytes), as_of() & (F.size("embedding") == F.size("vector")))
+    pairs = paired(held, asked, as_of() & (F.size("embedding") == F.size("vector")), config.max_broadcast_bytes)
     return _top(pairs.select("qid", "id", close.alias("cosine")), config.candidate_limit, F.desc("cosine")).select("qid", "id", "rank", "cosine")
 
 

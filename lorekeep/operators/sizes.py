@@ -27,3 +27,14 @@ def bytes_held(rows: DataFrame) -> int:
 def small(rows: DataFrame, most_bytes: int) -> DataFrame:
     """The rows as a broadcast if they hold at most ``most_bytes``; else as they are, to be joined by a shuffle."""
     return F.broadcast(rows) if bytes_held(rows) <= most_bytes else rows
+
+
+def paired(rows: DataFrame, few: DataFrame, condition: Column, most_bytes: int, key: str = "id") -> DataFrame:
+    """The pairs of ``rows`` and ``few`` that meet a condition: ``few`` as a broadcast if they are small; else ``rows`` are dealt in slots by
+    their key and ``few`` are copied to each slot, so that no task has all of either and what is shuffled is ``few`` times the slots."""
+    if bytes_held(few) <= most_bytes:
+        return rows.join(F.broadcast(few), condition)
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots)))
+    copied = few.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    return dealt.join(copied, (F.col("_slot") == F.col("_copy")) & condition).drop("_slot", "_copy")
