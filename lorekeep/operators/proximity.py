@@ -5,8 +5,8 @@ as one signed byte a dimension. A question looks into the lists whose centres ar
 scope and time by the stored counts. The nearest by their bytes, ``overfetch`` times as many as are wanted, are ranked anew by the exact
 cosine of the records' own vectors, so a result never shows an approximate score, a vector that has changed, or a record out of scope.
 
-Layout below a path: ``centres``, ``lists`` (by list) and ``sizes`` of each version and part, and ``versions``, a row for each part that was
-finished; what a broken write leaves behind has no row there and is not read. ``append`` adds a part with the version's centres, ``build`` a version.
+Stored below a path (``sources.parts``): ``centres`` of each version, ``lists`` (by list) and ``sizes`` of each of its parts. ``append``
+adds a part with the version's centres, ``build`` a version.
 In the index are finite vectors that are not zero, of the version's dimension; of repeated ids every row is.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import vectors
+from ..sources import parts
 from .scope import as_of
 from .sizes import small
 
@@ -97,24 +98,14 @@ def _month() -> Column:
 
 
 def _write_part(records: DataFrame, path: str, version: int, part: int, centres: np.ndarray) -> None:
-    spark, at = records.sparkSession, f"version={version}/part={part}"
+    spark, at = records.sparkSession, parts.place(path, "lists", version, part)
     rows = _listed(records, centres)
     # Spark splits a crowded list among tasks
-    rows.hint("rebalance", "list").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists/{at}")
-    held = spark.read.schema(rows.schema).parquet(f"{path}/lists/{at}")
-    held.groupBy("list", *_SCOPE, _month().alias("month")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes/{at}")
-    done = spark.createDataFrame([(version, part, len(centres), int(centres.shape[1]))], "version int, part int, lists int, dimension int")
-    done.withColumn("rows", F.lit(held.count())).coalesce(1).write.mode("append").parquet(f"{path}/versions")
-
-
-def _exists(spark: SparkSession, folder: str, start: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(where) and any(x.getPath().getName().startswith(start) for x in files.listStatus(where))
-
-
-def _versions(spark: SparkSession, path: str) -> list:
-    return spark.read.parquet(f"{path}/versions").orderBy("version", "part").collect() if _exists(spark, f"{path}/versions", "part-") else []
+    rows.hint("rebalance", "list").sortWithinPartitions("list").write.mode("overwrite").partitionBy("list").parquet(at)
+    held = spark.read.schema(rows.schema).parquet(at)
+    counts = held.groupBy("list", *_SCOPE, _month().alias("month")).agg(F.count("*").alias("n"))
+    counts.write.mode("overwrite").parquet(parts.place(path, "sizes", version, part))
+    parts.finish(spark, path, version, part, held.count())
 
 
 def build(records: DataFrame, path: str, lists: int = LISTS, seed: int = 1, rounds: int = ROUNDS) -> Index:
@@ -129,7 +120,7 @@ def build(records: DataFrame, path: str, lists: int = LISTS, seed: int = 1, roun
     sample = usable.where(F.size("embedding") == dimension).select(F.col("embedding").cast("array<double>").alias("v"), F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h").limit(lists * SAMPLE_PER_LIST).collect()
     held = np.array([r.v for r in sample]).reshape(-1, dimension)
     centres = trained(held / np.linalg.norm(held, axis=1, keepdims=True), lists, rounds, seed) if len(held) else np.eye(1)
-    version = max((r.version for r in _versions(spark, path)), default=0) + 1
+    version = max((x[0] for x in parts.finished(spark, path)), default=0) + 1
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres/version={version}")
     _write_part(records, path, version, 0, centres)
     return load(spark, path)
@@ -138,22 +129,17 @@ def build(records: DataFrame, path: str, lists: int = LISTS, seed: int = 1, roun
 def append(index: Index, records: DataFrame) -> Index:
     """The version with a part more; its centres stay as they are."""
     spark = records.sparkSession
-    part = max(r.part for r in _versions(spark, index.path) if r.version == index.version) + 1
-    _write_part(records, index.path, index.version, part, index.centres)
+    _write_part(records, index.path, index.version, max(parts.newest(spark, index.path)[1]) + 1, index.centres)
     return load(spark, index.path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """The newest version with all its finished parts."""
-    done = _versions(spark, path)
-    if not done:
-        raise ValueError(f"no index at {path}")
-    version = done[-1].version
-    parts = [r for r in done if r.version == version]
+    version, some = parts.newest(spark, path)
     centres = np.array([r.centre for r in spark.read.parquet(f"{path}/centres/version={version}").orderBy("list").collect()])
-    some = [f"{path}/lists/version={version}/part={r.part}" for r in parts if r.rows]
-    counts = spark.read.parquet(*[f"{path}/sizes/version={version}/part={r.part}" for r in parts])
-    lists = spark.read.option("basePath", f"{path}/lists/version={version}").parquet(*some) if some else spark.createDataFrame([], _EMPTY)
+    full = [part for v, part, rows in parts.finished(spark, path) if v == version and rows]
+    counts = spark.read.parquet(*(parts.place(path, "sizes", version, part) for part in some))
+    lists = spark.read.option("basePath", f"{path}/lists/version={version}").parquet(*(parts.place(path, "lists", version, part) for part in full)) if full else spark.createDataFrame([], _EMPTY)
     return Index(path, version, centres, lists, counts)
 
 
