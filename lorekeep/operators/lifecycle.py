@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
+from ..sources.shared import written
 from .ingest import NAMESPACE
 
 
@@ -75,15 +76,24 @@ def merge_groups(records: DataFrame, requested: DataFrame) -> DataFrame:
 
 
 def chains(records: DataFrame) -> DataFrame:
-    """(id, current, depth): what each superseded record has become, by a recursive walk."""
-    return records.sparkSession.sql(
-        """WITH RECURSIVE walk AS (
-             SELECT id, superseded_by_id AS current, 1 AS depth FROM {edges} WHERE superseded_by_id IS NOT NULL
-             UNION ALL
-             SELECT w.id, e.superseded_by_id, w.depth + 1 FROM walk w JOIN {edges} e ON e.id = w.current WHERE e.superseded_by_id IS NOT NULL)
-           SELECT id, max_by(current, depth) AS current, max(depth) AS depth FROM walk GROUP BY id""",
-        edges=records.select("id", "superseded_by_id"),
-    )
+    """(id, current, depth): what each superseded record has become, and by how many steps.
+
+    Pointers are doubled: each round joins what a record points to with where that points, so a chain of n steps takes about
+    log2(n) rounds, each a written table. Of repeated ids the largest successor counts. Records that supersede each other in a ring have no end and are an error.
+    """
+    edges = records.where("superseded_by_id IS NOT NULL").groupBy("id").agg(F.max("superseded_by_id").alias("current"))
+    walk = written(edges.select("id", "current", F.lit(1).cast("long").alias("depth")), "chains")
+    total, reached = walk.count(), 0
+    while True:
+        on = walk.select(F.col("id").alias("current"), F.col("current").alias("further"), F.col("depth").alias("more"))
+        longer = walk.join(on, "current", "left")
+        walk = written(longer.select("id", F.coalesce("further", "current").alias("current"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "chains")
+        depth = walk.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("n")).first().n
+        if depth > total:
+            raise ValueError("records supersede each other in a ring")
+        if depth == reached:
+            return walk
+        reached = depth
 
 
 def latest_runs(ledger: DataFrame, runs: DataFrame) -> DataFrame:

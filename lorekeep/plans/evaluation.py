@@ -9,7 +9,7 @@ from ..operators import evaluation as E
 from ..operators import recall as R
 from ..sources import tables as T
 from . import prelude as P
-from .recall import CALLER, CONFIG
+from .recall import CALLER, CONFIG, LIMIT, K
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -48,26 +48,13 @@ def first_nonblank(spark, d):
     return docs.select("doc_id", text.first_nonblank(one, two).alias("value"))
 
 
-@_add("normalize_label", f"SELECT doc_id, {P.label(chr(39).join(['', ' _', ' || substring(text, 1, 30) || ', '- ', '']))} AS label FROM documents WHERE lang = 'en'")
+@_add("normalize_label", f"SELECT doc_id, {P.label(chr(39).join(['', ' _', ' || text || ', '- ', '']))} AS label FROM documents")
 def normalize_label(spark, d):
-    return T.table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.normalize_label(F.concat(F.lit(" _"), F.substring("text", 1, 30), F.lit("- "))).alias("label"))
-
-
-@_add("normalize_text", f"SELECT doc_id, {normal('substring(text, 1, 120)')} AS normal FROM documents WHERE lang = 'en'")
-def normalize_text(spark, d):
-    return T.table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.normalize_text(F.substring("text", 1, 120)).alias("normal"))
-
-
-# the same over the whole texts of all rows
-
-
-@_add("normalize_label_whole", f"SELECT doc_id, {P.label(chr(39).join(['', ' _', ' || text || ', '- ', '']))} AS label FROM documents")
-def normalize_label_whole(spark, d):
     return T.table(spark, d, "documents").select("doc_id", text.normalize_label(F.concat(F.lit(" _"), F.col("text"), F.lit("- "))).alias("label"))
 
 
-@_add("normalize_text_whole", f"SELECT doc_id, {normal('text')} AS normal FROM documents")
-def normalize_text_whole(spark, d):
+@_add("normalize_text", f"SELECT doc_id, {normal('text')} AS normal FROM documents")
+def normalize_text(spark, d):
     return T.table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
 
 
@@ -100,13 +87,8 @@ def chunk_document(spark, d):
     return docs.select("doc_id", "pos", F.length("chunk").alias("size"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
 
 
-@_add("wrap_prompt", "SELECT page_id, '<memory>' || replace(replace(replace(replace(replace(substring(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</memory>' AS prompt FROM pages")
+@_add("wrap_prompt", "SELECT page_id, '<memory>' || replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</memory>' AS prompt FROM pages")
 def wrap_prompt(spark, d):
-    return T.table(spark, d, "pages").select("page_id", F.concat(F.lit("<memory>"), text.escape_markup(F.substring("html", 1, 300)), F.lit("</memory>")).alias("prompt"))
-
-
-@_add("wrap_prompt_whole", "SELECT page_id, '<memory>' || replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</memory>' AS prompt FROM pages")
-def wrap_prompt_whole(spark, d):
     return T.table(spark, d, "pages").select("page_id", F.concat(F.lit("<memory>"), text.escape_markup(F.col("html")), F.lit("</memory>")).alias("prompt"))
 
 
@@ -128,8 +110,8 @@ def jaccard_pairs(spark, d):
 
 _GOLD = "gold AS (SELECT b.item_id AS qid, list(d.doc_id ORDER BY d.doc_id) AS gold FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text) GROUP BY 1)"
 _FOUND = "found AS (SELECT qid, list(id ORDER BY position) AS found FROM own GROUP BY qid)"
-_EVERY = P.legs("own", "is_active", 20)
-_SCORED = (P.RECORDS, P.QUESTIONS, _EVERY, P.chosen("own", "own_ranked", "10"), _GOLD, _FOUND, "judged AS (SELECT f.qid, f.found, coalesce(g.gold, []) AS gold FROM found AS f LEFT JOIN gold AS g ON g.qid = f.qid)")
+_EVERY = P.legs("own", "is_active", LIMIT)
+_SCORED = (P.RECORDS, P.QUESTIONS, _EVERY, P.chosen("own", "own_ranked", K), _GOLD, _FOUND, "judged AS (SELECT f.qid, f.found, coalesce(g.gold, []) AS gold FROM found AS f LEFT JOIN gold AS g ON g.qid = f.qid)")
 
 
 def _judged(spark, d, config=CONFIG):

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text
+from ..operators import lexicon, proximity
 from ..operators import recall as R
 from ..operators.scope import Caller, between, browsing, own, team
 from ..operators.sizes import small
 from ..sources import tables as T
+from ..sources.shared import new_path
 from . import prelude as P
 
 CALLER = Caller(0, "p0", "en", "c0")
-CONFIG = Config(k=10, candidate_limit=20)
+#: The defaults: what a caller gets who sets nothing.
+CONFIG = Config()
+LIMIT, K = CONFIG.candidate_limit, str(CONFIG.k)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -39,7 +43,7 @@ def _stamp(column: str):
 
 
 _BASE = (P.RECORDS, P.QUESTIONS)
-_LEGS = (*_BASE, P.legs("own", P.OWN, 20))
+_LEGS = (*_BASE, P.legs("own", P.OWN, LIMIT))
 
 
 @_add("scope_scan", P.query(P.RECORDS, select=f"SELECT id, {P.stamp('created_at')} AS created_at FROM records WHERE {P.OWN}"))
@@ -117,7 +121,7 @@ def lexical_leg(spark, d, config=CONFIG):
     return R.lexical_leg(_scoped(spark, d), T.questions(spark, d), config)
 
 
-@_add("lexical_or_vs_and", P.query(*_BASE, P.legs("own", P.OWN, 20), P.legs("every", P.OWN, 20, False), select="SELECT o.qid, count(*) AS n_or, coalesce(any_value(a.n), 0) AS n_and FROM own_lex AS o LEFT JOIN (SELECT qid, count(*) AS n FROM every_lex GROUP BY qid) AS a ON a.qid = o.qid GROUP BY o.qid"))
+@_add("lexical_or_vs_and", P.query(*_BASE, P.legs("own", P.OWN, LIMIT), P.legs("every", P.OWN, LIMIT, False), select="SELECT o.qid, count(*) AS n_or, coalesce(any_value(a.n), 0) AS n_and FROM own_lex AS o LEFT JOIN (SELECT qid, count(*) AS n FROM every_lex GROUP BY qid) AS a ON a.qid = o.qid GROUP BY o.qid"))
 def lexical_or_vs_and(spark, d, config=CONFIG):
     rows, asked = _scoped(spark, d), T.questions(spark, d)
     either = R.lexical_leg(rows, asked, config).groupBy("qid").agg(F.count("*").alias("n_or"))
@@ -132,7 +136,7 @@ def lexical_or_vs_and(spark, d, config=CONFIG):
         "held AS (SELECT id, occurred_at, created_at, token, count(*) AS tf FROM (SELECT id, occurred_at, created_at, unnest(regexp_extract_all(hay, '[a-z0-9]+')) AS token FROM own_scoped) GROUP BY ALL)",
         "asked AS (SELECT DISTINCT qid, as_of, unnest(terms) AS token FROM own_asked)",
         "scored AS (SELECT q.qid, h.id, h.created_at, sum(tf)::BIGINT AS score FROM held AS h JOIN asked AS q ON q.token = h.token AND (q.as_of IS NULL OR h.occurred_at <= q.as_of) GROUP BY ALL)",
-        select="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created_at DESC, id) - 1 AS rank, score FROM scored QUALIFY rank < 20",
+        select=f"SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created_at DESC, id) - 1 AS rank, score FROM scored QUALIFY rank < {LIMIT}",
     ),
 )
 def lexical_tf_leg(spark, d, config=CONFIG):
@@ -149,6 +153,21 @@ def vector_leg(spark, d, config=CONFIG):
     return R.vector_leg(_scoped(spark, d), T.questions(spark, d), config)
 
 
+@_add("vector_index_leg", P.query(*_LEGS, select="SELECT qid, id, rank, cosine FROM own_vec"))
+def vector_index_leg(spark, d):
+    """The vector leg by the stored index. It gives the exact rows while a scope has no more records than are probed and ranked anew."""
+    index = proximity.build(T.records(spark, d), new_path(spark, "proximity"), lists=16)
+    return proximity.index_leg(index, _scoped(spark, d), T.questions(spark, d), own(CALLER), CONFIG)
+
+
+@_add("lexical_index_leg", P.query(*_LEGS, select="SELECT qid, id, rank, overlap::BIGINT AS overlap FROM own_lex"))
+def lexical_index_leg(spark, d):
+    """The lexical leg by the stored dictionary and postings; the records come in two parts."""
+    rows = T.records(spark, d)
+    index = lexicon.build(rows.where("id % 3 > 0"), new_path(spark, "lexicon"))
+    return lexicon.index_leg(lexicon.append(index, rows.where("id % 3 = 0")), T.questions(spark, d), own(CALLER), CONFIG)
+
+
 @_add("rrf_fuse", P.query(*_LEGS, select="SELECT qid, id, round(rrf, 9) AS rrf FROM own_scored WHERE rrf > 0"))
 def rrf_fuse(spark, d, config=CONFIG):
     rows, asked = _scoped(spark, d), T.questions(spark, d)
@@ -170,25 +189,25 @@ def salience(spark, d, config=CONFIG):
     return _candidates(spark, d, config).select("qid", "id", F.round("salience", 6).alias("salience"))
 
 
-@_add("reserve_event", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT qid, position, id, matched FROM own"))
+@_add("reserve_event", P.query(*_LEGS, P.chosen("own", "own_ranked", K), select="SELECT qid, position, id, matched FROM own"))
 def reserve_event(spark, d, config=CONFIG):
     return R.chosen(_candidates(spark, d, config), F.lit(config.k), config).select("qid", "position", "id", "matched")
 
 
-@_add("reserve_created", P.query(*_LEGS, P.chosen("own", "own_ranked", "10", "created_at"), select="SELECT qid, position, id, matched FROM own"))
+@_add("reserve_created", P.query(*_LEGS, P.chosen("own", "own_ranked", K, "created_at"), select="SELECT qid, position, id, matched FROM own"))
 def reserve_created(spark, d, config=CONFIG):
     return R.chosen(_candidates(spark, d, config), F.lit(config.k), config.but(event_reserve=False)).select("qid", "position", "id", "matched")
 
 
-@_add("recall_own", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT qid, position, id, round(rrf, 9) AS rrf, round(salience, 6) AS salience, matched FROM own"))
+@_add("recall_own", P.query(*_LEGS, P.chosen("own", "own_ranked", K), select="SELECT qid, position, id, round(rrf, 9) AS rrf, round(salience, 6) AS salience, matched FROM own"))
 def recall_own(spark, d, config=CONFIG):
     out = R.own_recall(T.records(spark, d), T.questions(spark, d), CALLER, T.now(), config)
     return out.select("qid", "position", "id", F.round("rrf", 9).alias("rrf"), F.round("salience", 6).alias("salience"), "matched")
 
 
 _TWO = (
-    *_BASE, P.legs("mine", P.OWN, 20), P.legs("team", P.TEAM, 20), P.chosen("theirs", "team_ranked", "8"),
-    "mine_k AS (SELECT m.*, 10 - coalesce(t.n, 0) AS own_k FROM mine_ranked AS m LEFT JOIN (SELECT qid, count(*)::INTEGER AS n FROM theirs GROUP BY qid) AS t ON t.qid = m.qid)",
+    *_BASE, P.legs("mine", P.OWN, LIMIT), P.legs("team", P.TEAM, LIMIT), P.chosen("theirs", "team_ranked", "8"),
+    f"mine_k AS (SELECT m.*, {K} - coalesce(t.n, 0) AS own_k FROM mine_ranked AS m LEFT JOIN (SELECT qid, count(*)::INTEGER AS n FROM theirs GROUP BY qid) AS t ON t.qid = m.qid)",
     P.chosen("own", "mine_k", "own_k"),
     "both_sections AS (SELECT qid, position, id, hit_count, salience, matched, 'own' AS section FROM own UNION ALL SELECT qid, position, id, hit_count, salience, matched, 'team' FROM theirs)",
     "placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY section, position) AS place FROM both_sections)",
@@ -220,7 +239,7 @@ def recall_full(spark, d, config=CONFIG):
     return out.withColumn("salience", F.round("salience", 6))
 
 
-@_add("recall_debug", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT o.qid, o.position, r.id, round(o.rrf, 9) AS score, o.matched, r.agent_type AS persona FROM own AS o LEFT JOIN records AS r ON r.id = o.id"))
+@_add("recall_debug", P.query(*_LEGS, P.chosen("own", "own_ranked", K), select="SELECT o.qid, o.position, r.id, round(o.rrf, 9) AS score, o.matched, r.agent_type AS persona FROM own AS o LEFT JOIN records AS r ON r.id = o.id"))
 def recall_debug(spark, d, config=CONFIG):
     rows = T.records(spark, d)
     plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), config)
@@ -240,7 +259,7 @@ def contributors(spark, d):
 @_add(
     "hit_writeback",
     P.query(
-        *_LEGS, P.chosen("own", "own_ranked", "10"), "used AS (SELECT id, max(salience) AS salience, bool_or(matched) AS matched FROM own GROUP BY id)",
+        *_LEGS, P.chosen("own", "own_ranked", K), "used AS (SELECT id, max(salience) AS salience, bool_or(matched) AS matched FROM own GROUP BY id)",
         select=f"SELECT r.id, r.hit_count + CASE WHEN u.matched THEN 1 ELSE 0 END AS hit_count, round(u.salience, 6) AS salience, CASE WHEN u.id IS NOT NULL THEN '2024-03-01 00:00:00' END AS last_used_at, CASE WHEN u.matched THEN 'p0' END AS last_hit_by FROM records AS r LEFT JOIN used AS u ON u.id = r.id",
     ),
 )
@@ -250,7 +269,7 @@ def hit_writeback(spark, d, config=CONFIG):
     return R.with_hits(rows, plan, CALLER.agent_type, T.now()).select("id", "hit_count", F.round("salience", 6).alias("salience"), _stamp("last_used_at"), "last_hit_by")
 
 
-@_add("http_search", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select="SELECT o.qid, o.position, CASE WHEN r.occurred_at IS NOT NULL THEN '[' || strftime(r.occurred_at, '%Y-%m-%dT%H:%M:%S+00:00') || '] ' || r.content ELSE r.content END AS evidence FROM own AS o JOIN records AS r ON r.id = o.id"))
+@_add("http_search", P.query(*_LEGS, P.chosen("own", "own_ranked", K), select="SELECT o.qid, o.position, CASE WHEN r.occurred_at IS NOT NULL THEN '[' || strftime(r.occurred_at, '%Y-%m-%dT%H:%M:%S+00:00') || '] ' || r.content ELSE r.content END AS evidence FROM own AS o JOIN records AS r ON r.id = o.id"))
 def http_search(spark, d, config=CONFIG):
     rows = T.records(spark, d)
     plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), config).select("qid", "position", "id")
@@ -258,7 +277,7 @@ def http_search(spark, d, config=CONFIG):
     return plan.join(rows.select("id", "occurred_at", "content"), "id").select("qid", "position", F.coalesce(dated, "content").alias("evidence"))
 
 
-@_add("foreign_evidence", P.query(*_LEGS, P.chosen("own", "own_ranked", "10"), select=f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE o.id NOT IN (SELECT id FROM records WHERE {P.OWN})) AS n_foreign FROM own AS o"))
+@_add("foreign_evidence", P.query(*_LEGS, P.chosen("own", "own_ranked", K), select=f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE o.id NOT IN (SELECT id FROM records WHERE {P.OWN})) AS n_foreign FROM own AS o"))
 def foreign_evidence(spark, d, config=CONFIG):
     rows = T.records(spark, d)
     plan = R.own_recall(rows, T.questions(spark, d), CALLER, T.now(), config)

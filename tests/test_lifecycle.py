@@ -115,3 +115,14 @@ def test_numbered_versions(spark, tmp_path):
     with pytest.raises(PublicationConflict):
         store.put("x", b"2", None)
     assert store.get("x") == (b"1", tag) and store.put("x", b"2", tag) > tag and store.get("x")[0] == b"2"
+
+
+def test_long_chains(spark):
+    """A chain of 10,000, short ones, a fork that meets it; rings are refused."""
+    rows = [(i, i + 1) for i in range(10_000)] + [(10_000, None), (20_000, 9_990), (20_001, 20_002), (20_002, None), (20_003, None)]
+    frame = spark.createDataFrame(rows, "id long, superseded_by_id long")
+    made = {r.id: (r.current, r.depth) for r in lifecycle.chains(frame).collect()}
+    assert made == {i: (10_000, 10_000 - i) for i in range(10_000)} | {20_000: (10_000, 11), 20_001: (20_002, 1)}
+    with pytest.raises(ValueError, match="ring"):
+        lifecycle.chains(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id long, superseded_by_id long"))
+    assert lifecycle.chains(frame.limit(0)).count() == 0

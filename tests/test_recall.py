@@ -86,7 +86,7 @@ def test_no_python_no_product_and_early_limits_in_the_plan(spark, data, capsys):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in said and "Python" not in said
 
 
-@pytest.mark.parametrize("name", ["recent_leg_whole", "lexical_leg_whole", "recall_full_whole"])
+@pytest.mark.parametrize("name", ["recent_leg", "lexical_leg", "recall_full"])
 def test_default_settings(name, spark):
     """With more records than the small settings rank, the default ones reach as far as their SQL."""
     folder = "/root/testdata/sf0.01"
@@ -99,4 +99,4 @@ def test_default_settings(name, spark):
     made = frame.collect()
     assert rows(frame.columns, made) == rows(columns, said.fetchall())
     most = max(Counter(r.qid for r in made).values())
-    assert most == 24 if name == "recall_full_whole" else 20 < most <= 200
+    assert most == 24 if name == "recall_full" else 24 < most <= 200

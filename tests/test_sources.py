@@ -142,16 +142,16 @@ def test_packages(spark, tmp_path):
             packages.strict_json(bad)
 
 
-def test_whole_texts_of_all_rows(spark, data):
+def test_all_texts_of_all_rows(spark, data):
     """What comes behind the prefixes, and rows in other languages, are there."""
     documents = spark.read.parquet(f"{data}/documents.parquet").collect()
-    named = {r.doc_id: r.normal for r in plans.QUERIES["normalize_text_whole"](spark, data).collect()}
+    named = {r.doc_id: r.normal for r in plans.QUERIES["normalize_text"](spark, data).collect()}
     assert set(named) == {r.doc_id for r in documents}
     drop = str.maketrans("", "", string.punctuation)
     assert named == {r.doc_id: " ".join(w for w in re.split(r"[ \t\n\x0b\f\r]+", r.text.lower().translate(drop)) if w not in ("", "a", "an", "the")) for r in documents}
-    labels = {r.doc_id: r.label for r in plans.QUERIES["normalize_label_whole"](spark, data).collect()}
+    labels = {r.doc_id: r.label for r in plans.QUERIES["normalize_label"](spark, data).collect()}
     assert labels == {r.doc_id: re.sub(r"^-+|-+$", "", re.sub("[ _-]+", "-", f" _{r.text}- ".strip(" ").lower())) for r in documents}
-    prompts = {r.page_id: r.prompt for r in plans.QUERIES["wrap_prompt_whole"](spark, data).collect()}
+    prompts = {r.page_id: r.prompt for r in plans.QUERIES["wrap_prompt"](spark, data).collect()}
     assert prompts == {r.page_id: f"<memory>{html.escape(r.html)}</memory>" for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
 
 
