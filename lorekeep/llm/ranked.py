@@ -11,13 +11,17 @@ A question's answer is the ``k`` documents with the greatest sums of w * impact
    they give is a lower bound of the k-th score.
 2. one threshold for all its lists: the greatest T for which a document with less than T in every list (and no more
    than a list's greatest value) stays below that bound. All postings of at least T are fetched; no
-   other document can be among the first k. Their sums give a better bound, and documents that could not
-   reach it with all that they might have in lists where they were not seen are dropped.
+   other document can be among the first k. A document lies in one segment, so the lists' blocks meet by segment and
+   are summed there for all questions at once, whatever number of them has a term; a document goes on only
+   if it could reach the bound with all that it might have in lists where it was not seen. The sums of those give
+   a better bound, which drops most of them.
 3. look-up: the exact scores of the documents that are left, from their postings in all lists.
 
-Terms are compared by 64-bit hashes. Only blocks go through shuffles, texts never; a block is
+Terms are compared by 64-bit hashes. Only blocks go through shuffles, texts never; a block and a segment are
 of bounded size, and hot terms are split wherever rows are dealt by term: by Spark's rebalancing when the
-index is written, by a bound on row numbers inside each task before heads are ranked.
+index is written, by a bound on row numbers inside each task before heads are ranked. In step 2 the thresholds
+go to all tasks; their number is checked, and questions are taken in parts of about ``PART_ITEMS`` items and ``PART_TERMS`` terms,
+with one reading of the lists for each part.
 
 Documents: rows with the same id are separate documents (each may be in a result); null and empty texts have no
 terms and don't count; rows without an id are left out. Items: those without an id or a term have no result, rows with the
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,8 @@ from .textbytes import slices, words
 
 #: Documents of a result, and bytes of look-ups that are broadcast at once.
 K, MOST_BYTES = 50, 32 << 20
+#: Items, and terms of items, whose thresholds are sent to the tasks at once.
+PART_ITEMS, PART_TERMS = 1000, 500_000
 #: A document is named by its segment and its place there.
 _PLACES = 1 << 20
 
@@ -178,7 +185,73 @@ def thresholds(lists: DataFrame, bounds: DataFrame) -> DataFrame:
     x = F.floor((F.coalesce("bound", F.lit(0)) - 1 - before) / left)
     level = F.greatest(F.max("x").over(Window.partitionBy("item_id")) + 1, F.lit(1))
     known = lists.join(bounds, "item_id", "left").withColumn("x", x).withColumn("level", level)
-    return known.select("item_id", "term", "w", "most", "level", F.least(F.col("level") - 1, "most").alias("slack"))
+    return known.select("item_id", "term", "w", "most", "level", F.least(F.col("level") - 1, "most").alias("slack"), F.coalesce("bound", F.lit(0)).alias("bound"))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """The segment's number and the (term, places, impacts) of its blocks, from rows sorted by segment."""
+    held, of = [], None
+    for batch in batches:
+        segments, terms = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        at = batch.column(2).offsets.to_numpy()
+        docs, impact = (batch.column(i).values.to_numpy() for i in (2, 3))
+        for i in range(batch.num_rows):
+            if segments[i] != of and held:
+                yield of, held
+                held = []
+            of = int(segments[i])
+            held.append((int(terms[i]), docs[at[i] : at[i + 1]], impact[at[i] : at[i + 1]].astype(np.int64)))
+    if held:
+        yield of, held
+
+
+def _sum_rows(limits: pa.Table):
+    """Sums of the postings that are not below their lists' thresholds, of the documents that could reach their item's bound."""
+    items, which = np.unique(limits.column("item_id").to_numpy(), return_inverse=True)
+    every, bound = np.zeros((2, len(items)), dtype=np.int64)
+    np.add.at(every, which, limits.column("slack").to_numpy())
+    bound[which] = limits.column("bound").to_numpy()
+    some = np.flatnonzero(limits.column("most").to_numpy() >= limits.column("level").to_numpy())
+    order = some[np.argsort(limits.column("term").to_numpy()[some], kind="stable")]
+    term, which = limits.column("term").to_numpy()[order], which.reshape(-1)[order]
+    w, slack, level = (limits.column(c).to_numpy()[order] for c in ("w", "slack", "level"))
+    least = -(-level // w)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, blocks in _segments(batches):
+            got, known = np.zeros((2, len(items), 1 + max(int(docs.max()) for _, docs, _ in blocks)), dtype=np.int64)
+            for of, docs, impact in blocks:
+                lo, hi = np.searchsorted(term, of), np.searchsorted(term, of, side="right")
+                if lo == hi:
+                    continue
+                upto = np.searchsorted(-impact, -least[lo:hi], side="right")
+                most = int(upto.max())
+                at = np.flatnonzero(upto)
+                if len(at):
+                    mask = np.arange(most) < upto[at, None]
+                    place = (which[lo:hi][at, None], docs[None, :most])
+                    got[place] += mask * (w[lo:hi][at, None] * impact[None, :most])
+                    known[place] += mask * slack[lo:hi][at, None]
+            reach = got + every[:, None] - known
+            item, doc = np.nonzero((got > 0) & (reach >= bound[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(items[item]), pa.array(segment * _PLACES + doc), pa.array(got[item, doc]), pa.array(reach[item, doc])], names=["item_id", "row", "got", "most"])
+
+    return rows
+
+
+def _fetched(blocks: DataFrame, limits: DataFrame) -> DataFrame:
+    """(item_id, row, got, most): what postings above the thresholds give, and what a document may have at most."""
+    size = limits.agg(F.count_distinct("item_id").alias("items"), F.count("*").alias("terms")).first()
+    parts = max(1, -(-size["items"] // PART_ITEMS), -(-size["terms"] // PART_TERMS))
+    out = []
+    for part in range(parts):
+        ours = limits.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        # a block goes on if any item wants something of it
+        wanted = ours.where("most >= level").groupBy("term").agg(F.min(F.ceil(F.col("level") / F.col("w"))).alias("least"))
+        met = blocks.join(F.broadcast(wanted), "term").where("top >= least").select("segment", "term", "docs", "impacts")
+        together = met.repartition("segment").sortWithinPartitions("segment", "term")
+        out.append(together.mapInArrow(_sum_rows(ours.toArrow()), "item_id long, row long, got long, most long"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def search(index: Index, items: DataFrame, k: int = K, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -191,13 +264,8 @@ def search(index: Index, items: DataFrame, k: int = K, most_bytes: int = MOST_BY
     first = lists.join(heads(blocks, k), "term").groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("got"))
     limits = written(thresholds(lists, _kth(first, k, "bound")), "thresholds")
 
-    fetched = limits.where("most >= level").withColumn("least", F.ceil(F.col("level") / F.col("w")))
-    met = blocks.join(small(fetched.select("item_id", "term", "w", "slack", "least"), most_bytes), "term").where("top >= least")
-    seen = _postings(met, lambda x: x["impact"] >= F.col("least"), "item_id", "w", "slack")
-    sums = written(seen.groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("got"), F.sum("slack").alias("known")), "sums")
-    # what a document may have at most: what it has, and the slack of the lists in which it was not seen
-    bounds = limits.groupBy("item_id").agg(F.sum("slack").alias("all")).join(_kth(sums, k, "bound"), "item_id", "left")
-    left = sums.join(bounds, "item_id").where((F.col("got") + F.col("all") - F.col("known") >= F.coalesce("bound", F.lit(0)))).select("item_id", "row")
+    sums = written(_fetched(blocks, limits), "sums")
+    left = sums.join(_kth(sums, k, "bound"), "item_id", "left").where(F.col("most") >= F.coalesce("bound", F.lit(0))).select("item_id", "row")
 
     segment = F.floor(F.col("row") / _PLACES).alias("segment")
     asked = written(left.join(lists, "item_id").select("item_id", "row", "term", "w", segment, (F.col("row") % _PLACES).cast("int").alias("doc")), "asked")
