@@ -12,15 +12,19 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..sources.shared import written
-from .sizes import bytes_held
+from .sizes import bytes_held, small
 
-#: Records of a pool by whose neighbourhoods it is cut.
-PIVOTS = 8
+#: Pivots of a cell, chosen from a sample of so many of its records; pairs of a cell that is cut no further, and pairs of a task.
+PIVOTS, SAMPLE, CELL_PAIRS, TASK_PAIRS = 64, 1024, 1 << 18, 1 << 22
+#: A cut is kept if it leaves at most this share of a cell's pairs, or if the cell has this many records at home for each pivot, beside whose pairs the copies are few.
+LEAST_GAIN, LARGE = 0.7, 200
 #: More than what rounding may change an angle by.
 _SLACK = 1e-5
 
@@ -34,29 +38,98 @@ def _renamed(pool: list[str]) -> list[Column]:
     return [F.col(c).alias(f"_{c}") for c in pool]
 
 
-def near_pairs(records: DataFrame, pool: list[str], threshold: float, pivots: int = PIVOTS, most_bytes: int = 32 << 20) -> DataFrame:
-    """(pool..., a, b, at_a, at_b, cosine): similar pairs of a pool, a before b in order of writing. Vectors that are not finite have none.
+def _angles(marks: str) -> Column:
+    """The angle to each pivot of the row's cell, with the pivot's number."""
+    angle = lambda m: F.acos(F.least(F.greatest(vectors.cosine(F.col("embedding"), m["v"], F.col("norm"), m["n"]), F.lit(-1.0)), F.lit(1.0)))
+    return F.transform(marks, lambda m, i: F.struct(angle(m).alias("angle"), i.alias("pivot")))
 
-    The pool is cut exactly: a record is at home with the pivot that it is nearest to, and visits every pivot that is at most twice
-    the threshold's angle further away than that. Angles obey the triangle inequality, so the later record of a similar pair visits
-    the earlier one's home. Pairs are compared there only, each once, and a large pool is the work of as many tasks as it has pivots.
-    """
-    norm = vectors.norm(F.col("embedding"))
-    held = written(records.where("embedding IS NOT NULL").select(*pool, "id", "created_at", "embedding", norm.alias("norm")).where(F.col("norm") < F.lit(math.inf)), "vectors")
-    place = F.row_number().over(Window.partitionBy(*pool).orderBy(F.xxhash64("id"), "id"))
-    some = held.withColumn("pivot", place).where(F.col("pivot") <= pivots).select(*_renamed(pool), "pivot", F.col("embedding").alias("v"), F.col("norm").alias("n"))
-    marks = some.groupBy(*(f"_{c}" for c in pool)).agg(F.collect_list(F.struct("pivot", "v", "n")).alias("marks"))
+
+def _spread(pivots: int):
+    """Of a cell's sample the pivots that are far apart: each is the record farthest from those before it."""
+
+    def rows(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, alike in sample.sort_values("id").groupby(sample["v"].map(len)):  # vectors of one length are compared
+            held = np.array(alike["v"].tolist(), dtype=float).reshape(len(alike), -1)
+            length = np.linalg.norm(held, axis=1, keepdims=True)
+            unit = np.divide(held, length, out=np.zeros_like(held), where=length > 0)
+            nearest, at = np.full(len(held), -2.0), 0
+            for _ in range(min(pivots, len(held))):
+                out.append((key[0], list(held[at]), float(length[at, 0])))
+                nearest = np.maximum(nearest, unit @ unit[at])
+                at = int(nearest.argmin())
+                if nearest[at] > 1 - 1e-12:
+                    break
+        return pd.DataFrame(out, columns=["cell", "v", "n"])
+
+    return rows
+
+
+def _cut(rows: DataFrame, threshold: float, pivots: int, most_bytes: int, turn: int) -> DataFrame:
+    """The rows in the cells that theirs are cut into; ``parent`` is the cell that they were in."""
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
+    vector = F.col("embedding").cast("array<double>").alias("v")
+    sample = rows.where("home").withColumn("_n", place).where(F.col("_n") <= SAMPLE).select("cell", F.col("id").cast("string").alias("id"), vector)
+    some = written(sample.groupBy("cell").applyInPandas(_spread(pivots), "cell long, v array<double>, n double"), "pivots")
+    marks = some.groupBy("cell").agg(F.collect_list(F.struct("v", "n")).alias("marks"))
     marks = F.broadcast(marks) if bytes_held(some) <= most_bytes else marks
-    angle = lambda m: F.acos(F.least(F.greatest(vectors.cosine(F.col("embedding"), m["v"], F.col("norm"), m["n"]), F.lit(-1.0)), F.lit(1.0)))
-    angles = F.transform("marks", lambda m: F.struct(angle(m).alias("angle"), m["pivot"].alias("pivot")))
-    seen = held.join(marks, _same(pool)).select(*pool, "id", "created_at", "embedding", "norm", angles.alias("angles"))
+    near = math.acos(min(max(threshold - 1e-9, -1.0), 1.0)) + _SLACK
+    seen = written(rows.join(marks, "cell").withColumn("angles", _angles("marks")).drop("marks"), "angles")
     home = F.array_min("angles")
-    reach = home["angle"] + 2 * math.acos(min(max(threshold - 1e-9, -1.0), 1.0)) + _SLACK
-    at = F.struct("created_at", "id")
-    one = seen.select(*pool, F.col("id").alias("a"), at.alias("at_a"), F.col("embedding").alias("va"), F.col("norm").alias("na"), home["pivot"].alias("home"))
-    two = seen.select(*_renamed(pool), F.col("id").alias("b"), at.alias("at_b"), F.col("embedding").alias("vb"), F.col("norm").alias("nb"), F.explode(F.filter("angles", lambda x: x["angle"] <= reach)["pivot"]).alias("visits"))
+    # what is similar to a record of a home is no farther from its pivot than the farthest one, but for the threshold's angle
+    radius = seen.where("home").groupBy("cell", home["pivot"].alias("visited")).agg(F.max(home["angle"]).alias("radius"))
+    each = seen.withColumn("nearest", home["pivot"]).withColumn("_at", F.explode(F.filter("angles", lambda x: x["angle"] <= home["angle"] + 2 * near))).drop("angles")
+    each = each.withColumns({"visited": F.col("_at.pivot"), "angle": F.col("_at.angle")}).drop("_at")
+    met = each.join(small(radius, most_bytes), ["cell", "visited"]).where(F.col("angle") <= F.col("radius") + near)
+    return met.withColumns({"parent": F.col("cell"), "home": F.col("home") & (F.col("visited") == F.col("nearest")), "cell": F.xxhash64("cell", "visited")}).drop("nearest", "visited", "angle", "radius")
+
+
+def _pairs_in(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg((F.count_if("home") * F.count("*")).alias("pairs"), F.count_if("home").alias("homes"))
+
+
+def cells(records: DataFrame, pool: list[str], threshold: float, pivots: int = PIVOTS, most_bytes: int = 32 << 20, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """(pool..., id, created_at, embedding, norm, cell, home, pairs): cells of records such that of each similar pair one is at home in a cell where the other is too.
+
+    A pool is a cell. A cell with more than ``cell_pairs`` pairs is cut by pivots of its own: a record is at home with the pivot it is nearest
+    to (if it was at home before), and visits every pivot that is at most twice the threshold's angle further away, and not farther than the records at
+    home there by more than that angle. Angles obey the triangle inequality, so what is similar to a record visits its home. Where a cut would
+    leave most of the pairs, because the vectors have no clusters there, the cell stays whole and its pairs are dealt to tasks.
+    Each round is a written table; a cell has ever fewer records, so rounds grow with the logarithm of a pool.
+    """
+    norm = vectors.norm(F.col("embedding"))
+    held = records.where("embedding IS NOT NULL").select(*pool, "id", "created_at", "embedding", norm.alias("norm")).where(F.col("norm") < F.lit(math.inf))
+    open_ = written(held.withColumns({"cell": F.xxhash64(*pool), "home": F.lit(True)}), "vectors")
+    ready, turn = [], 0
+    while True:
+        sizes = written(_pairs_in(open_, "cell").where("pairs > 0"), "sizes")
+        ready.append(open_.join(sizes.where(F.col("pairs") <= cell_pairs), "cell"))
+        large = sizes.where(F.col("pairs") > cell_pairs)
+        if not large.limit(1).count():
+            break
+        rows = open_.join(large, "cell")
+        cut = written(_cut(rows, threshold, pivots, most_bytes, turn), "cells")
+        left = _pairs_in(cut, "parent", "cell").groupBy("parent").agg(F.sum("pairs").alias("left"))
+        gains = (F.col("left") <= LEAST_GAIN * F.col("pairs")) | (F.col("homes") >= LARGE * pivots)
+        judged = written(large.join(left, large.cell == left.parent).select("parent", gains.alias("gains")), "judged")
+        ready.append(rows.join(judged.where("NOT gains").select(F.col("parent").alias("cell")), "cell", "left_semi"))
+        open_, turn = cut.join(judged.where("gains").select("parent"), "parent", "left_semi").drop("parent", "pairs", "homes"), turn + 1
+    columns = [*pool, "id", "created_at", "embedding", "norm", "cell", "home", "pairs"]
+    return reduce(DataFrame.unionByName, [x.select(*columns) for x in ready])
+
+
+def near_pairs(records: DataFrame, pool: list[str], threshold: float, pivots: int = PIVOTS, most_bytes: int = 32 << 20, cell_pairs: int = CELL_PAIRS, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """(pool..., a, b, at_a, at_b, cosine): similar pairs of a pool, a before b in order of writing. Vectors that are not finite have none.
+
+    Pairs are compared in the cells of ``cells`` only, each once, at the home of the earlier one. A cell's home records are dealt
+    in parts, and all its records copied to each part, so that no task compares more than about ``task_pairs``.
+    """
+    rows = written(cells(records, pool, threshold, pivots, most_bytes, cell_pairs), "cells").withColumn("parts", F.ceil(F.col("pairs") / task_pairs))
+    one = rows.where("home").select(*pool, "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.struct("created_at", "id").alias("at_a"), F.col("embedding").alias("va"), F.col("norm").alias("na"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    two = rows.select(*_renamed(pool), F.col("cell").alias("_cell"), part.alias("_part"), F.col("id").alias("b"), F.struct("created_at", "id").alias("at_b"), F.col("embedding").alias("vb"), F.col("norm").alias("nb"))
     close = F.round(vectors.cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")), 9)
-    met = one.join(two, _same(pool) & (F.col("home") == F.col("visits")) & (F.col("at_a") < F.col("at_b")))
+    met = one.join(two, _same(pool) & (F.col("cell") == F.col("_cell")) & (F.col("part") == F.col("_part")) & (F.col("at_a") < F.col("at_b")))
     return met.select(*pool, "a", "b", "at_a", "at_b", close.alias("cosine")).where(F.col("cosine") >= threshold)
 
 

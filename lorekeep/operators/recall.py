@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import dates, text, vectors
+from ..functions import dates, stem, text, vectors
 from ..sources.shared import written
 from .scope import Caller, as_of, own, team
 from .sizes import paired, small
@@ -213,3 +213,56 @@ def with_hits(records: DataFrame, plan: DataFrame, caller_agent: str, now: Colum
         F.when(F.col("_salience").isNotNull(), now).alias("last_used_at"),
         F.when(hit, F.lit(caller_agent)).alias("last_hit_by"),
     )
+
+
+def _stems(rows: DataFrame, key: str, texts: Column, *more: str) -> DataFrame:
+    """(``key``, ``more``..., stem, positions): where each stem stands in a row's text, counted in words of any kind."""
+    words = rows.select(key, *more, F.posexplode(text.tokens(texts)).alias("pos", "token"))
+    known = stem.with_stems(words.select("token").distinct())
+    return words.join(known, "token").groupBy(key, *more, "stem").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def cover_density(entries: Column, terms: Column) -> Column:
+    """The sum over the shortest windows with all terms of 0.1 / (1 + words in the window that are no terms).
+
+    ``entries`` are (pos, term) by position, a term being a number from 0 below ``terms``. A window ends where the earliest of the
+    terms' last places moves on; the next shortest one begins behind its beginning.
+    """
+    none = F.lit(-1).cast("long")
+    state = F.struct(F.array_repeat(F.struct(none.alias("pos"), none.alias("at")), terms).alias("last"), none.alias("begin"), none.alias("at"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] + 1
+        last = F.transform(s["last"], lambda y, i: F.when(i == x["term"], F.struct(x["pos"].cast("long").alias("pos"), at.alias("at"))).otherwise(y))
+
+        def moved(y: Column) -> Column:
+            first = y["first"]
+            new = (first["pos"] >= 0) & (first["pos"] > s["begin"])
+            noise = (x["pos"] - first["pos"]) - (at - first["at"])
+            return F.struct(y["last"].alias("last"), F.when(new, first["pos"]).otherwise(s["begin"]).alias("begin"), at.alias("at"), (s["sum"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("sum"))
+
+        # each is computed once, however often it is used
+        both = F.transform(F.array(last), lambda z: F.struct(z.alias("last"), F.array_min(z).alias("first")))
+        return F.transform(both, moved)[0]
+
+    return F.aggregate(entries, state, step, lambda s: s["sum"])
+
+
+def stem_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
+    """Records by the stems they share with the question: with any of them, by how many of their words are such (0.1 each, the density of windows of
+    one word); or, conjunctive, with all of them, by the density of the shortest windows that hold all. Equal ones by time."""
+    asked = questions.select("qid", "as_of", F.explode(F.array_distinct(text.query_terms(F.col("query")))).alias("token"))
+    known = stem.with_stems(asked.select("token").distinct())
+    wanted = asked.join(known, "token").select("qid", "as_of", "stem").distinct()
+    wanted = wanted.withColumn("term", F.row_number().over(Window.partitionBy("qid").orderBy("stem")) - 1)
+    held = _stems(records, "id", F.col("_hay"), "created_at", "occurred_at")
+    met = held.join(small(written(wanted, "stems"), config.max_broadcast_bytes), "stem").where(as_of())
+    if config.lexical_any:
+        scored = met.groupBy("qid", "id", "created_at").agg(F.round(F.sum(F.size("positions")) * 0.1, 9).alias("score"))
+        return _top(scored, config.candidate_limit, F.desc("score"), F.desc("created_at")).select("qid", "id", "rank", "score")
+    sizes = wanted.groupBy("qid").agg(F.count("*").alias("terms"))
+    term = F.col("term")
+    entries = F.sort_array(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), term.alias("term"))))))
+    every = met.groupBy("qid", "id", "created_at").agg(entries.alias("entries"), F.count("*").alias("n")).join(sizes, "qid").where("n = terms")
+    scored = every.select("qid", "id", "created_at", F.round(cover_density(F.col("entries"), F.col("terms").cast("int")), 9).alias("score"))
+    return _top(scored, config.candidate_limit, F.desc("score"), F.desc("created_at")).select("qid", "id", "rank", "score")

@@ -168,6 +168,19 @@ def lexical_index_leg(spark, d):
     return lexicon.index_leg(lexicon.append(index, rows.where("id % 3 = 0")), T.questions(spark, d), own(CALLER), CONFIG)
 
 
+@_add("lexical_stem_leg")
+def lexical_stem_leg(spark, d):
+    """Records by stems that they share with a question; SQL has no stemmer, so this and the next are tested against loops."""
+    return R.stem_leg(_scoped(spark, d), T.questions(spark, d), CONFIG)
+
+
+@_add("lexical_stem_density")
+def lexical_stem_density(spark, d):
+    """Records with all stems of a question's first three terms, by the density of the shortest windows that hold them."""
+    asked = T.questions(spark, d).withColumn("query", F.array_join(text.query_terms(F.col("query"), 3), " "))
+    return R.stem_leg(R.prepared(T.records(spark, d).where("is_active")), asked, CONFIG.but(lexical_any=False))
+
+
 @_add("rrf_fuse", P.query(*_LEGS, select="SELECT qid, id, round(rrf, 9) AS rrf FROM own_scored WHERE rrf > 0"))
 def rrf_fuse(spark, d, config=CONFIG):
     rows, asked = _scoped(spark, d), T.questions(spark, d)

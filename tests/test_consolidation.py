@@ -25,11 +25,26 @@ def test_pairs_equal_brute_force(spark, tau):
     rows += [(150, "p", [0.0] * 5), (151, "p", [math.nan] * 5), (152, "p", None), (153, "p", rows[0][2]), (154, "p", rows[0][2])]
     frame = spark.createDataFrame(rows, "id long, pool string, embedding array<double>").withColumn("created_at", F.timestamp_seconds("id"))
     expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and not math.isnan(a[2][0] + b[2][0]) and round(cosine(a[2], b[2]), 9) >= tau}
-    for pivots in (1, 4, 8):
-        found = [(r.a, r.b) for r in grouping.near_pairs(frame, ["pool"], tau, pivots, 0 if pivots == 4 else 1 << 20).collect()]
+    for pivots, cell, task in ((1, 100, 50), (4, 100, 1 << 20), (8, 1, 7), (16, 1 << 20, 1 << 20)):
+        found = [(r.a, r.b) for r in grouping.near_pairs(frame, ["pool"], tau, pivots, 0 if pivots == 4 else 1 << 20, cell, task).collect()]
         assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_work_on_clusters_is_below_quadratic(spark):
+    """Four times the records, in four times the clusters: their cells have far less than sixteen times the pairs, and no cell is a pool."""
+    import numpy as np
+
+    pairs = []
+    for n in (1000, 4000):
+        draw = np.random.default_rng(n)
+        held = draw.normal(size=(n // 40, 12))[draw.integers(0, n // 40, n)] + 0.05 * draw.normal(size=(n, 12))
+        frame = spark.createDataFrame([(i, "p", [float(x) for x in v]) for i, v in enumerate(held)], "id long, pool string, embedding array<double>").withColumn("created_at", F.timestamp_seconds("id"))
+        sizes = grouping.cells(frame, ["pool"], 0.95, cell_pairs=10_000).groupBy("cell").agg(F.first("pairs").alias("pairs"), F.count("*").alias("n")).collect()
+        pairs.append(sum(r.pairs for r in sizes))
+        assert max(r.n for r in sizes) < n
+    assert pairs[1] < 10 * pairs[0] and pairs[1] < 4000**2 / 10
+
+
 def memories(spark):
     """Two pools of the same two groups and a record of its own; a record that ended, a protected one."""
     near, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
