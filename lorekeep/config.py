@@ -20,6 +20,7 @@ class Config:
     event_reserve: bool = True
     two_section: bool = True
     strict_split: bool = False
+    atomic_facts: bool = False
     team_cap: int = 8
     similarity: float = 0.85
     never_merge: tuple[str, ...] = ("confidential", "pinned")

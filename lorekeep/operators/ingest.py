@@ -50,6 +50,7 @@ def as_records(facts: DataFrame, now: Column) -> DataFrame:
         F.lit(True).alias("is_active"),
         F.lit(0).cast("long").alias("hit_count"),
         F.array_sort(F.array_distinct(F.filter(F.transform("tags", text.normalize_label), lambda t: t != ""))).alias("tags"),
+        *(c for c in ("customer_id", "agent_summary") if c in facts.columns),
     )
 
 

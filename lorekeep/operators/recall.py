@@ -218,7 +218,9 @@ def with_hits(records: DataFrame, plan: DataFrame, caller_agent: str, now: Colum
 def _stems(rows: DataFrame, key: str, texts: Column, *more: str) -> DataFrame:
     """(``key``, ``more``..., stem, positions): where each stem stands in a row's text, counted in words of any kind."""
     words = rows.select(key, *more, F.posexplode(text.tokens(texts)).alias("pos", "token"))
-    known = stem.with_stems(words.select("token").distinct())
+    # a vocabulary has few bytes but much work: it is dealt to all tasks, and stemmed once
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = written(stem.with_stems(words.select("token").distinct().repartition(tasks, "token")), "stems")
     return words.join(known, "token").groupBy(key, *more, "stem").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

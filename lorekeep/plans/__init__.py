@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import consolidation, evaluation, lifecycle, recall, scalars, sources, streams
+from . import consolidation, evaluation, facts, lifecycle, recall, scalars, sources, streams
 
-_MODULES = (recall, lifecycle, consolidation, evaluation, scalars, streams, sources)
+_MODULES = (recall, lifecycle, consolidation, facts, evaluation, scalars, streams, sources)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
