@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from ..schema import RECORD
 from .recall import contributors
 from .scope import Caller, row_scope
 
@@ -46,22 +47,30 @@ def nearest(records: DataFrame, vector: Column, limit: int) -> DataFrame:
     return close.orderBy(F.desc("cosine"), "id").limit(max(0, limit))
 
 
+def _stamped(name: str) -> Column:
+    return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(name)
+
+
 def cells(records: DataFrame, caller: Caller) -> DataFrame:
-    """The full cell of each record: contributors split from its tags, the vector by presence and width."""
-    plain = F.filter("tags", lambda t: ~F.startswith(t, F.lit("by:")))
-    return records.select(
-        "id",
-        "agent_type",
-        "project_id",
-        row_scope(caller).alias("scope"),
-        text.first_nonblank(F.col("context_summary"), F.col("content")).alias("summary"),
+    """The full cell of each record, one column for each of its 31 keys: contributors split from the tags, ids and times as text, the vector
+    and the search words by presence only. What a table of records lacks is null."""
+    kinds = {f.name: f.dataType for f in RECORD.fields}
+    rows = records.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in records.columns})
+    plain = F.array_sort(F.filter("tags", lambda t: ~F.startswith(t, F.lit("by:"))))
+    text_of = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
+    return rows.select(
+        *text_of("id", "content", "context_summary", "agent_summary", "user_id", "agent_type", "project_id", "customer_id", "session_id", "memory_tier", "discipline", "authority", "superseded_by_id", "parent_id", "last_hit_by", "source_message_id"),
+        F.trim(text.first_nonblank(F.col("context_summary"), F.col("content"))).alias("summary"),
         F.array_join(plain, ",").alias("tags"),
         contributors(F.col("tags")).alias("by"),
-        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("created_at"),
-        F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("occurred_at"),
+        row_scope(caller).alias("scope"),
+        *(_stamped(c) for c in ("occurred_at", "created_at", "last_used_at", "valid_from", "valid_to")),
+        "is_active",
         "hit_count",
-        F.col("embedding").isNotNull().alias("has_vector"),
-        F.coalesce(F.size("embedding"), F.lit(0)).alias("dimensions"),
+        "salience",
+        F.col("embedding").isNotNull().alias("has_embedding"),
+        F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("embedding_dim"),
+        F.col("content_tokens").isNotNull().alias("has_tsv"),
     )
 
 

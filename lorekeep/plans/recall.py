@@ -355,11 +355,27 @@ def browse_tags(spark, d):
     return T.records(spark, d).where(any_tag([" Pinned ", "thereof", "entire", " "])).select("id")
 
 
-@_add("browse_cells", P.query(P.RECORDS, select=f"SELECT id, agent_type, project_id, CASE WHEN user_id = 0 THEN 'own' ELSE 'team' END AS scope, CASE WHEN length(regexp_replace(context_summary, '\\s+', '', 'g')) > 0 THEN context_summary WHEN length(regexp_replace(content, '\\s+', '', 'g')) > 0 THEN content ELSE '' END AS summary, array_to_string(list_filter(tags, lambda t: NOT starts_with(t, 'by:')), ',') AS tags, {_BY} AS by, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, strftime(occurred_at, '%Y-%m-%dT%H:%M:%S+00:00') AS occurred_at, hit_count, embedding IS NOT NULL AS has_vector, coalesce(len(embedding), 0)::INTEGER AS dimensions FROM records WHERE {_B_OWN}"))
+_STAMPS = ", ".join(f"strftime({c}, '%Y-%m-%dT%H:%M:%S+00:00') AS {c}" for c in ("created_at", "occurred_at", "valid_from"))
+_TEXTS = ", ".join(f"{c}::VARCHAR AS {c}" for c in ("id", "user_id"))
+_NONE = ", ".join(f"NULL AS {c}" for c in ("agent_summary", "session_id", "memory_tier", "discipline", "authority", "parent_id", "last_hit_by", "source_message_id", "last_used_at", "salience"))
+
+
+@_add(
+    "browse_cells",
+    P.query(
+        P.RECORDS,
+        "lived AS (SELECT *, coalesce(occurred_at, created_at) AS valid_from, CASE WHEN id % 7 = 0 THEN created_at END AS ends FROM records)",
+        select=f"SELECT {_TEXTS}, {_STAMPS}, {_NONE}, strftime(ends, '%Y-%m-%dT%H:%M:%S+00:00') AS valid_to, CASE WHEN id % 7 = 0 THEN (id + 1)::VARCHAR END AS superseded_by_id, content, context_summary, agent_type, project_id, customer_id, CASE WHEN user_id = 0 THEN 'own' ELSE 'team' END AS scope, trim(CASE WHEN length(regexp_replace(context_summary, '\\s+', '', 'g')) > 0 THEN context_summary WHEN length(regexp_replace(content, '\\s+', '', 'g')) > 0 THEN content ELSE '' END) AS summary, array_to_string(list_sort(list_filter(tags, lambda t: NOT starts_with(t, 'by:'))), ',') AS tags, {_BY} AS by, is_active, hit_count, embedding IS NOT NULL AS has_embedding, len(embedding)::INTEGER AS embedding_dim, true AS has_tsv FROM lived WHERE {_B_OWN}",
+    ),
+)
 def browse_cells(spark, d):
+    """All 31 keys; what the test tables have no column for is null."""
     from ..operators.browse import cells
 
-    return cells(T.records(spark, d).where(browsing(CALLER, "all")), CALLER)
+    rows = T.records(spark, d)
+    ended = F.col("id") % 7 == 0
+    rows = rows.withColumns({"valid_from": F.coalesce("occurred_at", "created_at"), "valid_to": F.when(ended, F.col("created_at")), "superseded_by_id": F.when(ended, (F.col("id") + 1).cast("string")), "content_tokens": text.tokens(F.col("content"))})
+    return cells(rows.where(browsing(CALLER, "all")), CALLER)
 
 
 def _page(order: str, offset: int = 0):

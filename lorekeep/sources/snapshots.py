@@ -146,7 +146,7 @@ class Snapshots:
     def _digests(self, parted: DataFrame) -> dict[str, str]:
         """A digest of each partition's rows, whatever their order: one number pair for each comes to the driver."""
         row = F.xxhash64(F.to_json(F.struct(*sorted(c for c in parted.columns if c != "_part")), {"ignoreNullFields": "false"}))
-        other = F.xxhash64(row, F.lit(1))
+        other = F.xxhash64(F.lit(1), F.to_json(F.struct(*sorted(c for c in parted.columns if c != "_part")), {"ignoreNullFields": "false"}))
         sums = parted.groupBy("_part").agg(F.sum(row.cast("decimal(38,0)")).alias("a"), F.sum(other.cast("decimal(38,0)")).alias("b"), F.count("*").alias("n"))
         return {str(r._part): hashlib.sha256(f"{r.a}|{r.b}|{r.n}|{parted.schema.json()}".encode()).hexdigest() for r in sums.collect()}
 
@@ -154,14 +154,27 @@ class Snapshots:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _write(self, changed: dict[int, str], parted: DataFrame) -> None:
+        """The changed partitions, all in one job, put in place when it is done; a part counts by its marker, which comes last."""
+        if not changed:
+            return
+        staging = f"{self.parts}/.staging-{uuid.uuid4().hex}"
+        parted.where(F.col("_part").isin([*changed])).hint("rebalance", "_part").write.partitionBy("_part").parquet(staging)
+        path = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        files = path(staging).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for part, digest in changed.items():
+            target = path(f"{self.parts}/{digest}")
+            files.delete(target, True)  # what a broken write left
+            if not files.rename(path(f"{staging}/_part={part}"), target):
+                raise OSError(f"cannot put {digest} in place")
+            files.create(path(f"{self.parts}/{digest}/_SUCCESS"), True).close()
+        files.delete(path(staging), True)
+
     def publish(self, rows: DataFrame, expected: str | None) -> dict:
         """Write the changed partitions and move the pointer; a PublicationConflict if the latest version is not the expected one."""
         parted = rows.withColumn("_part", F.pmod(F.xxhash64(self.key), F.lit(self.partitions)))
         digests = self._digests(parted)
-        for part, digest in digests.items():
-            folder = f"{self.parts}/{digest}"
-            if not self._written(folder):
-                parted.where(F.col("_part") == int(part)).drop("_part").write.mode("overwrite").parquet(folder)
+        self._write({int(part): digest for part, digest in digests.items() if not self._written(f"{self.parts}/{digest}")}, parted)
         manifest = {"format": 1, "parts": digests, "schema": rows.schema.json()}
         self.store.put("latest.json", json.dumps(manifest, sort_keys=True).encode(), expected)
         return manifest
