@@ -7,11 +7,14 @@ Without ``relations`` every group is merged, without ``merged`` a root unites it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, parsing, text
-from . import grouping, lifecycle
+from ..sources.shared import written
+from . import evaluation, grouping, lifecycle
 from .ingest import NAMESPACE
 from .scope import current, never_merge
 
@@ -83,3 +86,36 @@ def runs(report: DataFrame, now: Column) -> DataFrame:
     """The runs' ledger rows, one for each scope."""
     id_ = hashing.uuid5(NAMESPACE, F.concat(F.lit("run|"), F.col("scope_key")))
     return report.select(id_.alias("id"), "scope_key", now.alias("last_run_at"), F.col("synthesized").alias("groups_merged"), F.col("archived").alias("rows_archived"), "cost_calls")
+
+
+def merged_texts(records: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, text) of the records after groups (anchor, id) have been merged: a group has its anchor's id and its distinct texts."""
+    stated = F.trim(text.first_nonblank(F.col("context_summary"), F.col("content")))
+    grouped = records.join(members, "id")
+    roots = grouped.groupBy("anchor").agg(lifecycle.union_text("created_at", "id").alias("text")).select(F.col("anchor").alias("id"), "text")
+    return records.join(members.select("id"), "id", "left_anti").select("id", stated.alias("text")).unionByName(roots)
+
+
+def needle_recall(memories: DataFrame, questions: DataFrame, needles: DataFrame, k: int) -> DataFrame:
+    """(qid, recall): the share of a question's needles (qid, needle) that stand in any of the ``k`` memories (id, text) recalled for it."""
+    recalled = evaluation.stub_recall(questions, memories, k).join(memories, "id").select("qid", F.lower("text").alias("said"))
+    found = needles.join(recalled, "qid").where(F.contains("said", F.lower("needle"))).select("qid", "needle").distinct().withColumn("found", F.lit(1))
+    return needles.join(found, ["qid", "needle"], "left").groupBy("qid").agg((F.count("found") / F.count("*")).alias("recall"))
+
+
+def recall_by_threshold(records: DataFrame, pairs: DataFrame, thresholds: tuple[float, ...], questions: DataFrame, needles: DataFrame, k: int) -> DataFrame:
+    """One row a threshold: memories before and after merging what is nearer than it, needle recall before and after, what of it is kept and lost.
+
+    ``pairs`` are those at the lowest threshold; ``questions`` are (qid, text), ``needles`` (qid, needle), each once.
+    """
+    nobody = records.select(F.col("id").alias("anchor"), "id").limit(0)
+    before = written(needle_recall(merged_texts(records, nobody), questions, needles, k), "before")
+    n, mean = records.count(), before.agg(F.avg("recall").alias("m")).first().m
+    out = []
+    for threshold in thresholds:
+        memories = written(merged_texts(records, grouping.groups(pairs.where(F.col("cosine") >= threshold))), "memories")
+        after = written(needle_recall(memories, questions, needles, k), "after")
+        means = after.agg(F.avg("recall").alias("recall_after"))
+        kept = evaluation.retention(before, after).crossJoin(F.broadcast(means))  # one row each
+        out.append(kept.select(F.lit(threshold).alias("tau"), F.lit(n).alias("memories_before"), F.lit(memories.count()).alias("memories_after"), F.lit(mean).alias("recall_before"), "recall_after", "retention", "lost", "dropped"))
+    return reduce(DataFrame.unionByName, out)

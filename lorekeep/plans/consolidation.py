@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import consolidation as C
 from ..operators import evaluation as E
 from ..operators import grouping, lifecycle
@@ -82,6 +83,42 @@ def tau_sweep(spark, d):
     return reduce(DataFrame.unionByName, each).select("tau", "groups", "archived", after.alias("memories_after"), F.round(E.reduction(F.lit(held), after), 6).alias("reduction"))
 
 
+_K = 10
+
+
+def _recalled(s: str, members: str) -> tuple[str, ...]:
+    """The needle recall of each question after groups have been merged."""
+    return (
+        f"mem{s} AS (SELECT id, text FROM txt WHERE id NOT IN (SELECT id FROM {members}) UNION ALL SELECT anchor, string_agg(text, ' ; ' ORDER BY n) FROM (SELECT anchor, text, min(t.id) AS n FROM {members} AS g JOIN txt AS t ON t.id = g.id WHERE text <> '' GROUP BY anchor, text) GROUP BY anchor)",
+        f"bag{s} AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM mem{s}) GROUP BY ALL)",
+        f"big{s} AS (SELECT id, sum(n) AS n FROM bag{s} GROUP BY id)",
+        f"com{s} AS (SELECT q.qid, m.id, sum(least(q.n, m.n)) AS common FROM qbag AS q JOIN bag{s} AS m ON m.t = q.t GROUP BY ALL)",
+        f"top{s} AS (SELECT c.qid, c.id FROM com{s} AS c JOIN qbig AS q ON q.qid = c.qid JOIN big{s} AS m ON m.id = c.id QUALIFY row_number() OVER (PARTITION BY c.qid ORDER BY common::DOUBLE / (q.n + m.n - common) DESC, c.id) <= {_K})",
+        f"rec{s} AS (SELECT n.qid, count(DISTINCT n.needle) FILTER (WHERE contains(lower(m.text), n.needle)) * 1.0 / count(DISTINCT n.needle) AS r FROM needles AS n LEFT JOIN top{s} AS t ON t.qid = n.qid LEFT JOIN mem{s} AS m ON m.id = t.id GROUP BY n.qid)",
+    )
+
+
+@_add(
+    "tau_recall",
+    P.query(
+        P.RECORDS, P.QUESTIONS, _pool_sql(), _PAIRS, *(x for i, t in enumerate(TAUS) for x in (f"near_{i} AS (SELECT * FROM near WHERE cosine >= {t})", *_greedy(f"_{i}"))),
+        "txt AS (SELECT p.id, trim(coalesce(nullif(context_summary, ''), content)) AS text FROM pool AS p JOIN records AS r ON r.id = p.id)",
+        "qbag AS (SELECT qid, t, count(*) AS n FROM (SELECT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS t FROM questions) GROUP BY ALL)", "qbig AS (SELECT qid, sum(n) AS n FROM qbag GROUP BY qid)",
+        f"needles AS (SELECT DISTINCT qid, unnest(list_slice({P.terms('query')}, 1, 3)) AS needle FROM questions)", "nobody AS (SELECT id AS anchor, id FROM pool LIMIT 0)",
+        *_recalled("", "nobody"), *(x for i in range(len(TAUS)) for x in _recalled(f"_{i}", f"grouped_{i}")),
+        select=" UNION ALL ".join(f"SELECT {t}::DOUBLE AS tau, (SELECT count(*) FROM pool) AS memories_before, (SELECT count(*) FROM mem_{i}) AS memories_after, round(avg(b.r), 9) AS recall_before, round(avg(a.r), 9) AS recall_after, round(CASE WHEN avg(b.r) > 0 THEN avg(a.r) / avg(b.r) ELSE 1.0 END, 9) AS retention, count(*) FILTER (WHERE a.r < b.r) AS lost, count(*) FILTER (WHERE b.r > 0 AND a.r = 0) AS dropped FROM rec AS b JOIN rec_{i} AS a ON a.qid = b.qid" for i, t in enumerate(TAUS)),
+        recursive=True,
+    ),
+)
+def tau_recall(spark, d):
+    """What recall keeps of a question's first three terms when near-duplicates are merged, at several thresholds."""
+    rows = C.candidates(T.records(spark, d).withColumn("valid_to", F.lit(None).cast("timestamp")), CONFIG.never_merge)
+    asked = T.questions(spark, d)
+    needles = asked.select("qid", F.explode(F.array_distinct(text.query_terms(F.col("query"), 3))).alias("needle"))
+    out = C.recall_by_threshold(rows, written(_pairs(spark, d), "near"), TAUS, asked.select("qid", F.col("query").alias("text")), needles, _K)
+    return out.select("tau", "memories_before", "memories_after", *(F.round(c, 9).alias(c) for c in ("recall_before", "recall_after", "retention")), "lost", "dropped")
+
+
 # a pass: every seventh record has ended; replies of a classifier follow from a group's id
 
 _KEY = "user_id || '|' || agent_type || '|' || project_id"
