@@ -13,8 +13,8 @@ A question's answer is the ``k`` documents with the greatest sums of w * impact
    than a list's greatest value) stays below that bound. All postings of at least T are fetched; no
    other document can be among the first k. A document lies in one segment, so the lists' blocks meet by segment and
    are summed there for all questions at once, whatever number of them has a term; a document goes on only
-   if it could reach the bound with all that it might have in lists where it was not seen. The sums of those give
-   a better bound, which drops most of them.
+   if it could reach the bound with all that it might have in lists where it was not seen. One of ``AHEAD`` segments is summed before
+   the others: the k-th greatest sum there is a better bound for all. The sums of what goes on give the last one, which drops most of it.
 3. look-up: the exact scores of the documents that are left, from their postings in all lists.
 
 Terms are compared by 64-bit hashes. Only blocks go through shuffles, texts never; a block and a segment are
@@ -49,6 +49,8 @@ from .textbytes import slices, words
 
 #: Documents of a result, and bytes of look-ups that are broadcast at once.
 K, MOST_BYTES = 50, 32 << 20
+#: One of so many segments is summed ahead.
+AHEAD = 16
 #: Items, and terms of items, whose thresholds are sent to the tasks at once.
 PART_ITEMS, PART_TERMS = 1000, 500_000
 #: A document is named by its segment and its place there.
@@ -254,6 +256,15 @@ def _fetched(blocks: DataFrame, limits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def exact(blocks: DataFrame, lists: DataFrame, pairs: DataFrame, most_bytes: int) -> DataFrame:
+    """(item_id, row, score) of the pairs (item_id, row): what all lists of the item have of the document."""
+    segment, doc = F.floor(F.col("row") / _PLACES).alias("segment"), (F.col("row") % _PLACES).cast("int").alias("doc")
+    asked = written(pairs.select("item_id", "row").join(lists, "item_id").select("item_id", "row", "term", "w", segment, doc), "asked")
+    place = F.array_position("docs", F.col("doc"))
+    found = blocks.join(small(asked, most_bytes), ["term", "segment"]).where(place > 0).select("item_id", "row", (F.col("w") * F.col("impacts")[(place - 1).cast("int")]).alias("part"))
+    return found.groupBy("item_id", "row").agg(F.sum("part").alias("score")).where("score > 0")
+
+
 def search(index: Index, items: DataFrame, k: int = K, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each item, those with a score above 0; ``items`` are (item_id, term)."""
     blocks = index.blocks
@@ -264,14 +275,13 @@ def search(index: Index, items: DataFrame, k: int = K, most_bytes: int = MOST_BY
     first = lists.join(heads(blocks, k), "term").groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("got"))
     limits = written(thresholds(lists, _kth(first, k, "bound")), "thresholds")
 
-    sums = written(_fetched(blocks, limits), "sums")
+    # what is k-th among some documents is no more than what is k-th among all
+    some = _fetched(blocks.where(F.pmod("segment", F.lit(AHEAD)) == 0), limits)
+    better = limits.join(_kth(some, k, "better"), "item_id", "left").withColumn("bound", F.greatest("bound", F.coalesce("better", F.lit(0)))).drop("better")
+    sums = written(_fetched(blocks, written(better, "thresholds")), "sums")
     left = sums.join(_kth(sums, k, "bound"), "item_id", "left").where(F.col("most") >= F.coalesce("bound", F.lit(0))).select("item_id", "row")
 
-    segment = F.floor(F.col("row") / _PLACES).alias("segment")
-    asked = written(left.join(lists, "item_id").select("item_id", "row", "term", "w", segment, (F.col("row") % _PLACES).cast("int").alias("doc")), "asked")
-    place = F.array_position("docs", F.col("doc"))
-    exact = blocks.join(small(asked, most_bytes), ["term", "segment"]).where(place > 0).select("item_id", "row", (F.col("w") * F.col("impacts")[(place - 1).cast("int")]).alias("part"))
-    scored = exact.groupBy("item_id", "row").agg(F.sum("part").alias("score")).where("score > 0")
+    scored = exact(blocks, lists, left, most_bytes)
     named = scored.withColumn("segment", F.floor(F.col("row") / _PLACES)).join(index.ids, "segment").select("item_id", "row", "score", F.col("ids")[(F.col("row") % _PLACES).cast("int")].alias("doc_id"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "row"))
     return named.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
