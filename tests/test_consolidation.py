@@ -25,7 +25,7 @@ def test_pairs_equal_brute_force(spark, tau):
     rows += [(150, "p", [0.0] * 5), (151, "p", [math.nan] * 5), (152, "p", None), (153, "p", rows[0][2]), (154, "p", rows[0][2])]
     frame = spark.createDataFrame(rows, "id long, pool string, embedding array<double>").withColumn("created_at", F.timestamp_seconds("id"))
     expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and not math.isnan(a[2][0] + b[2][0]) and round(cosine(a[2], b[2]), 9) >= tau}
-    for pivots, cell, task in ((1, 100, 50), (4, 100, 1 << 20), (8, 1, 7), (16, 1 << 20, 1 << 20)):
+    for pivots, cell, task in ((1, 100, 50), (4, 100, 1 << 20), (8, 30, 7), (16, 1 << 20, 1 << 20)):
         found = [(r.a, r.b) for r in grouping.near_pairs(frame, ["pool"], tau, pivots, 0 if pivots == 4 else 1 << 20, cell, task).collect()]
         assert len(found) == len(set(found)) and set(found) == expected
 
