@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import EXCERPT
+
 #: Date formats of the conversation benchmarks.
 DIALOGUE_FORMATS = ("h:mm a 'on' d MMMM, yyyy", "h:mm a 'on' d MMMM yyyy", "h:mm a 'on' MMMM d, yyyy", "H:mm 'on' d MMMM, yyyy", "d MMMM, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
 HISTORY_FORMATS = ("yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
@@ -24,6 +26,12 @@ def iso_instant(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text))
 
 
+def iso_instant_strict(text: Column) -> Column:
+    """As ``iso_instant``; blank texts are null, anything else that is no ISO date or time is an error."""
+    said = F.trim(text)
+    return F.when(F.coalesce(said, F.lit("")) != "", F.coalesce(iso_instant(said), F.raise_error(F.concat(F.lit("no ISO date: "), said)).cast("timestamp")))
+
+
 def dialogue_time(text: Column) -> Column:
     return first_format(F.trim(F.regexp_replace(text, r"\s+", " ")), DIALOGUE_FORMATS)
 
@@ -54,9 +62,13 @@ def recency(created_at: Column, now: Column, half_life_days: float) -> Column:
     return F.pow(F.lit(2.0), -age_days(created_at, now) / half_life_days)
 
 
+#: Fixed value: what names a date in a text, a year or the name of a month.
+EXPLICIT_DATE = r"(?i)\b(19|20)\d{2}\b|\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)\b"
+
+
 def has_explicit_date(text: Column) -> Column:
-    """A year or the name of a month stands in the text."""
-    return text.rlike(r"(?i)\b(19|20)\d{2}\b|\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)\b")
+    """A year or the name of a month stands in the part of the text that a model reads."""
+    return F.substring(text, 1, EXCERPT).rlike(EXPLICIT_DATE)
 
 
 def guarded_date(occurred_at: Column, text: Column, reference: Column) -> Column:

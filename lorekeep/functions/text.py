@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Words that say nothing in a question.
 STOPWORDS = ("the", "and", "for", "with", "what", "how", "did", "was", "were", "you", "about", "tell", "this", "that", "are", "can")
 
-#: Length limits of extracted fields.
+#: Length limits of extracted fields.
 EXCERPT, SUMMARY, AGENT_SUMMARY, MOST_TAGS, MOST_FACTS = 4000, 240, 300, 8, 8
 
 

@@ -89,9 +89,10 @@ def iso_dates(spark, d):
     return events.select("event_id", _stamp(dates.iso_instant(said), "moment"))
 
 
-@_add("date_guard", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN '2024-01-01 00:00:00' END AS occurred_at FROM documents")
+@_add("date_guard", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR regexp_matches(substring(CASE WHEN doc_id % 3 = 0 THEN text || ' Seen in March.' ELSE text END, 1, {text.EXCERPT}), '{dates.EXPLICIT_DATE}') THEN '2024-01-01 00:00:00' END AS occurred_at FROM documents")
 def date_guard(spark, d):
-    said = F.when(F.col("doc_id") % 3 == 0, "seen in March").otherwise("seen once")
+    """Whole texts, a third of them with a month at the end, where a model that reads an excerpt may not see it."""
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" Seen in March."))).otherwise(F.col("text"))
     reference = F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-05").cast("timestamp"))
     return T.table(spark, d, "documents").select("doc_id", _stamp(dates.guarded_date(F.lit("2024-01-01").cast("timestamp"), said, reference), "occurred_at"))
 

@@ -29,11 +29,16 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+#: What a turn gets for a picture with a query and a caption, with a query, with a caption.
+PHOTO_TAGS = ("[Sharing image - query: %s. The image shows: %s]", "[Sharing image - query for: %s]", "[Sharing image that shows: %s]")
+
+
 def photo_tag(caption: Column, query: Column) -> Column:
     """What a shared picture adds to a turn."""
     caption, query = F.nullif(caption, F.lit("")), F.nullif(query, F.lit(""))
-    both = F.concat(F.lit("[Sharing image - query: "), query, F.lit(". The image shows: "), caption, F.lit("]"))
-    return F.coalesce(both, F.concat(F.lit("[Sharing image - query for: "), query, F.lit("]")), F.concat(F.lit("[Sharing image that shows: "), caption, F.lit("]")), F.lit(""))
+    both, asked, shown = PHOTO_TAGS
+    tag = F.when(query.isNotNull() & caption.isNotNull(), F.format_string(both, query, caption))
+    return tag.when(query.isNotNull(), F.format_string(asked, query)).when(caption.isNotNull(), F.format_string(shown, caption)).otherwise("")
 
 
 def sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

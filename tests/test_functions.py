@@ -111,3 +111,20 @@ def test_run_statistics(spark):
     found = {r.k: r for r in evaluation.run_statistics(rows, "v", "k").collect()}
     assert found["r"].mean == pytest.approx(0.6) and found["r"].deviation == pytest.approx((0.02 / 3) ** 0.5)
     assert found["one"].deviation == 0
+
+
+def test_strict_dates_and_the_excerpt_of_the_guard(spark):
+    said = spark.createDataFrame([(1, "2024-02-03"), (2, " 2024-02-03T04:05:06+01:00 "), (3, "  "), (4, None)], "n int, said string")
+    made = {r.n: r.at for r in said.select("n", F.date_format(dates.iso_instant_strict(F.col("said")), "yyyy-MM-dd HH:mm:ss").alias("at")).collect()}
+    assert made == {1: "2024-02-03 00:00:00", 2: "2024-02-03 03:05:06", 3: None, 4: None}
+    with pytest.raises(Exception, match="no ISO date: soon"):
+        spark.createDataFrame([("soon",)], "said string").select(dates.iso_instant_strict(F.col("said"))).collect()
+    texts = spark.createDataFrame([("x" * 3990 + " in May",), ("x" * 3995 + " in May",), ("year 1999",), ("mayor",), (None,)], "t string")
+    assert [r[0] for r in texts.select(F.coalesce(dates.has_explicit_date(F.col("t")), F.lit(False))).collect()] == [True, False, True, False, False]
+
+
+def test_mean_pool(spark):
+    """The unit mean of what the mask keeps."""
+    rows = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[0.0, 2.0]], [1]), ([[1.0, 1.0]], [0])], "v array<array<double>>, m array<int>")
+    made = [[round(x, 9) for x in r[0]] for r in rows.select(vectors.mean_pool(F.col("v"), F.col("m"))).collect()]
+    assert made == [[0.6, 0.8], [0.0, 1.0], [0.0, 0.0]]
