@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import dialogues
 from ..sources import tables as T
 from ..sources.shared import new_path
+from . import evaluation
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,10 +38,10 @@ def source_histories(spark, d):
     return turns.select("conversation_id", "turn_id", "speaker", "text")
 
 
-@_add("source_long_documents")
+@_add("source_long_documents", f"SELECT pos, size, digest FROM ({evaluation.ORACLE['chunk_document']})")
 def source_long_documents(spark, d):
     """The documents written as JSON lines and read by their reader."""
     path = new_path(spark, "files")
     T.table(spark, d, "documents").select(F.col("source").alias("input"), F.col("text").alias("context"), F.array("lang").alias("answers")).write.json(path)
     turns, _ = dialogues.long_documents(spark, path)
-    return turns.select("turn_id", F.length("text").alias("size"))
+    return turns.select(F.col("turn_pos").alias("pos"), F.length("text").alias("size"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
