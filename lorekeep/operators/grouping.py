@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..sources.shared import written
+from ..sources.shared import importable, written
 from .sizes import bytes_held, small
 
 #: Pivots of a cell, chosen from a sample of so many of its records; pairs of a cell that is cut no further, and pairs of a task.
@@ -97,6 +97,7 @@ def cells(records: DataFrame, pool: list[str], threshold: float, pivots: int = P
     leave most of the pairs, because the vectors have no clusters there, the cell stays whole and its pairs are dealt to tasks.
     Each round is a written table; a cell has ever fewer records, so rounds grow with the logarithm of a pool.
     """
+    importable(records.sparkSession)
     norm = vectors.norm(F.col("embedding"))
     held = records.where("embedding IS NOT NULL").select(*pool, "id", "created_at", "embedding", norm.alias("norm")).where(F.col("norm") < F.lit(math.inf))
     open_ = written(held.withColumns({"cell": F.xxhash64(*pool), "home": F.lit(True)}), "vectors")

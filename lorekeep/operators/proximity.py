@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import vectors
 from ..sources import parts
+from ..sources.shared import importable
 from .scope import as_of
 from .sizes import small
 
@@ -98,6 +99,7 @@ def _month() -> Column:
 
 
 def _write_part(records: DataFrame, path: str, version: int, part: int, centres: np.ndarray) -> None:
+    importable(records.sparkSession)
     spark, at = records.sparkSession, parts.place(path, "lists", version, part)
     rows = _listed(records, centres)
     # Spark splits a crowded list among tasks

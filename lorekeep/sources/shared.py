@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers begun from now on find this library, wherever the driver was started."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """The URI of a folder in the shared one that nobody uses yet; what is put there goes when the process ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lorekeep-{name}-{uuid.uuid4().hex}")
