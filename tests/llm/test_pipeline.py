@@ -71,6 +71,6 @@ def test_empty_table(spark, data):
 
 
 def test_names_and_independence():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     code = "import sys\nfrom lorekeep import plans\nimport lorekeep.operators.service, lorekeep.sources.dialogues, lorekeep.streaming.events\nassert not [m for m in sys.modules if m.startswith('lorekeep.llm')]"
     subprocess.run([sys.executable, "-c", code], check=True)
