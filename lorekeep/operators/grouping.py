@@ -3,39 +3,37 @@
 A record joins the first anchor that is similar enough, else it is an anchor
 itself. On the graph of similar pairs these anchors are the first maximal
 independent set in order, which is found in rounds over all pools at once: what
-has no undecided or anchor neighbour before it is an anchor, what has an anchor
-before it and nothing undecided before that anchor is a member.
+has no undecided neighbour before it is an anchor, what has an anchor before it
+is a member; a member joins the first of the anchors before it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors
 from ..sources.shared import importable, written
 from .sizes import bytes_held, small
 
-#: Pivots of a cell, chosen from a sample of so many of its records; pairs of a cell that is cut no further, and pairs of a task.
-PIVOTS, SAMPLE, CELL_PAIRS, TASK_PAIRS = 64, 1024, 1 << 18, 1 << 22
+#: Pivots of a cell, chosen from a sample of so many of its records; pairs of a cell that is cut no further, and pairs of a task. A
+#: matrix product compares a pair in nanoseconds, so that cutting a smaller cell would cost more than its pairs.
+PIVOTS, SAMPLE, CELL_PAIRS, TASK_PAIRS = 64, 1024, 1 << 32, 1 << 24
 #: A cut is kept if it leaves at most this share of a cell's pairs, or if the cell has this many records at home for each pivot, beside whose pairs the copies are few.
-LEAST_GAIN, LARGE = 0.7, 200
+LEAST_GAIN, LARGE = 0.7, 1 << 14
 #: More than what rounding may change an angle by.
 _SLACK = 1e-5
-
-
-def _same(pool: list[str]) -> Column:
-    """Equal pools, missing parts included; the other side's columns have a line before their names."""
-    return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pool))
-
-
-def _renamed(pool: list[str]) -> list[Column]:
-    return [F.col(c).alias(f"_{c}") for c in pool]
+#: Entries of a matrix product, and pairs whose cosines are computed at once.
+_PRODUCT, _CHECKED = 1 << 22, 1 << 17
 
 
 def _angles(marks: str) -> Column:
@@ -66,7 +64,7 @@ def _spread(pivots: int):
 
 
 def _cut(rows: DataFrame, threshold: float, pivots: int, most_bytes: int, turn: int) -> DataFrame:
-    """The rows in the cells that theirs are cut into; ``parent`` is the cell that they were in."""
+    """The rows in the cells that theirs are cut into, not yet written; ``parent`` is the cell that they were in."""
     place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
     vector = F.col("embedding").cast("array<double>").alias("v")
     sample = rows.where("home").withColumn("_n", place).where(F.col("_n") <= SAMPLE).select("cell", F.col("id").cast("string").alias("id"), vector)
@@ -80,7 +78,7 @@ def _cut(rows: DataFrame, threshold: float, pivots: int, most_bytes: int, turn:
     radius = seen.where("home").groupBy("cell", home["pivot"].alias("visited")).agg(F.max(home["angle"]).alias("radius"))
     each = seen.withColumn("nearest", home["pivot"]).withColumn("_at", F.explode(F.filter("angles", lambda x: x["angle"] <= home["angle"] + 2 * near))).drop("angles")
     each = each.withColumns({"visited": F.col("_at.pivot"), "angle": F.col("_at.angle")}).drop("_at")
-    met = each.join(small(radius, most_bytes), ["cell", "visited"]).where(F.col("angle") <= F.col("radius") + near)
+    met = each.join(small(written(radius, "radius"), most_bytes), ["cell", "visited"]).where(F.col("angle") <= F.col("radius") + near)
     return met.withColumns({"parent": F.col("cell"), "home": F.col("home") & (F.col("visited") == F.col("nearest")), "cell": F.xxhash64("cell", "visited")}).drop("nearest", "visited", "angle", "radius")
 
 
@@ -109,45 +107,112 @@ def cells(records: DataFrame, pool: list[str], threshold: float, pivots: int = P
         if not large.limit(1).count():
             break
         rows = open_.join(large, "cell")
-        cut = written(_cut(rows, threshold, pivots, most_bytes, turn), "cells")
+        cut = _cut(rows, threshold, pivots, most_bytes, turn)  # counted first: only what gains is copied
         left = _pairs_in(cut, "parent", "cell").groupBy("parent").agg(F.sum("pairs").alias("left"))
         gains = (F.col("left") <= LEAST_GAIN * F.col("pairs")) | (F.col("homes") >= LARGE * pivots)
         judged = written(large.join(left, large.cell == left.parent).select("parent", gains.alias("gains")), "judged")
         ready.append(rows.join(judged.where("NOT gains").select(F.col("parent").alias("cell")), "cell", "left_semi"))
-        open_, turn = cut.join(judged.where("gains").select("parent"), "parent", "left_semi").drop("parent", "pairs", "homes"), turn + 1
+        open_, turn = written(cut.join(F.broadcast(judged.where("gains").select("parent")), "parent", "left_semi").drop("parent", "pairs", "homes"), "cells"), turn + 1
     columns = [*pool, "id", "created_at", "embedding", "norm", "cell", "home", "pairs"]
     return reduce(DataFrame.unionByName, [x.select(*columns) for x in ready])
 
 
+def _order(table: pa.Table) -> np.ndarray:
+    """The place of each row in order of writing; equal rows have equal places."""
+    by = table.select(["created_at", "id"])
+    order = pc.sort_indices(by, sort_keys=[("created_at", "ascending"), ("id", "ascending")], null_placement="at_start")
+    sorted_ = by.take(order)
+    new = np.zeros(len(by), dtype=bool)
+    for name in by.column_names:
+        here, before = sorted_[name].slice(1), sorted_[name].slice(0, max(len(by) - 1, 0))
+        alike = pc.or_(pc.fill_null(pc.equal(here, before), False), pc.and_(pc.is_null(here), pc.is_null(before)))
+        new[1:] |= ~alike.to_numpy(zero_copy_only=False)
+    place = np.empty(len(by), dtype=np.int64)
+    place[order.to_numpy()] = np.cumsum(new)
+    return place
+
+
+def _close(held: np.ndarray, norm: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray, threshold: float):
+    """(a, b, cosine) of rows ``one`` with later rows ``two`` where the cosine may reach the threshold.
+
+    A product in single precision, with more room than its rounding needs, says which pairs to look at; their cosines are added up in double
+    precision, in order of the dimensions.
+    """
+    dimension = held.shape[1]
+    unit = np.divide(held, norm[:, None], out=np.zeros_like(held), where=norm[:, None] > 0).astype(np.float32)
+    least = np.float32(threshold - 1e-6 - 2.5e-7 * (dimension + 8))
+    right = np.ascontiguousarray(unit[two].T)
+    step = max(1, _PRODUCT // max(1, len(two)))
+    for at in range(0, len(one), step):
+        found = np.flatnonzero(unit[one[at : at + step]] @ right >= least)
+        for start in range(0, len(found), _CHECKED):
+            row, column = np.divmod(found[start : start + _CHECKED], len(two))
+            a, b = one[at + row], two[column]
+            later = place[a] < place[b]
+            a, b = a[later], b[later]
+            total, both = np.zeros(len(a)), norm[a] * norm[b]
+            for d in range(dimension):
+                total += held[a, d] * held[b, d]
+            yield a, b, np.divide(total, both, out=np.full(len(a), -1.0), where=both > 0)
+
+
+def _compared(pool: list[str], threshold: float, names: list[str]):
+    """Of the rows of two parts of a cell, or of one, the pairs of a record at home and a later one."""
+
+    def rows(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        place, norms = _order(table), table["norm"].to_numpy()
+        home, part = table["home"].to_numpy(), table["part"].to_numpy()
+        size = pc.list_value_length(table["embedding"]).to_numpy()
+        one, two = key[-2].as_py(), key[-1].as_py()
+        for n in np.unique(size):  # vectors of one length are compared
+            alike = np.flatnonzero(size == n)
+            held = pc.list_flatten(table["embedding"].take(pa.array(alike))).to_numpy().astype(np.float64).reshape(len(alike), n)
+            for x, y in {(one, two), (two, one)}:
+                mine, theirs = np.flatnonzero((part[alike] == x) & home[alike]), np.flatnonzero(part[alike] == y)
+                for a, b, cosine in _close(held, norms[alike], mine, theirs, place[alike], threshold):
+                    first, later = table.take(pa.array(alike[a])), table.take(pa.array(alike[b]))
+                    columns = [*(first[c] for c in pool), first["id"], later["id"], first["created_at"], later["created_at"], pa.array(cosine)]
+                    yield from pa.Table.from_arrays(columns, names=names).to_batches()
+
+    return rows
+
+
 def near_pairs(records: DataFrame, pool: list[str], threshold: float, pivots: int = PIVOTS, most_bytes: int = 32 << 20, cell_pairs: int = CELL_PAIRS, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(pool..., a, b, at_a, at_b, cosine): similar pairs of a pool, a before b in order of writing. Vectors that are not finite have none.
 
-    Pairs are compared in the cells of ``cells`` only, each once, at the home of the earlier one. A cell's home records are dealt
-    in parts, and all its records copied to each part, so that no task compares more than about ``task_pairs``.
+    Pairs are compared in the cells of ``cells`` only, each once, at the home of the earlier one. A cell's records are dealt in parts, and every two
+    parts meet in a task of about ``task_pairs``: a record is copied as often as its cell has parts, the root of the tasks.
     """
-    rows = written(cells(records, pool, threshold, pivots, most_bytes, cell_pairs), "cells").withColumn("parts", F.ceil(F.col("pairs") / task_pairs))
-    one = rows.where("home").select(*pool, "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.struct("created_at", "id").alias("at_a"), F.col("embedding").alias("va"), F.col("norm").alias("na"))
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    two = rows.select(*_renamed(pool), F.col("cell").alias("_cell"), part.alias("_part"), F.col("id").alias("b"), F.struct("created_at", "id").alias("at_b"), F.col("embedding").alias("vb"), F.col("norm").alias("nb"))
-    close = F.round(vectors.cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")), 9)
-    met = one.join(two, _same(pool) & (F.col("cell") == F.col("_cell")) & (F.col("part") == F.col("_part")) & (F.col("at_a") < F.col("at_b")))
-    return met.select(*pool, "a", "b", "at_a", "at_b", close.alias("cosine")).where(F.col("cosine") >= threshold)
+    rows = written(cells(records, pool, threshold, pivots, most_bytes, cell_pairs), "cells")
+    counts = written(rows.groupBy("cell").agg(F.count("*").alias("n")), "counts")
+    dealt = rows.join(small(counts, most_bytes), "cell").withColumn("parts", F.ceil(F.col("n") / max(1, math.isqrt(task_pairs))))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    copied = dealt.select(*pool, "cell", "id", "created_at", "embedding", "norm", "home", "part", other.alias("_other"))
+    copied = copied.withColumns({"_one": F.least("part", "_other"), "_two": F.greatest("part", "_other")}).drop("_other")
+    kinds = {f.name: f for f in copied.schema.fields}
+    named = [(c, c) for c in pool] + [("a", "id"), ("b", "id"), ("_at_a", "created_at"), ("_at_b", "created_at")]
+    out = StructType([*(StructField(name, kinds[kind].dataType) for name, kind in named), StructField("cosine", DoubleType())])
+    found = copied.groupBy(*pool, "cell", "_one", "_two").applyInArrow(_compared(pool, threshold, out.names), out)
+    at = lambda created, id_: F.struct(F.col(created).alias("created_at"), F.col(id_).alias("id"))
+    return found.select(*pool, "a", "b", at("_at_a", "a").alias("at_a"), at("_at_b", "b").alias("at_b"), F.round("cosine", 9).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
-    """(anchor, id): groups of two or more, the anchor being one of its group."""
+    """(anchor, id): groups of two or more, the anchor being one of its group. A round takes what it has decided out of the pairs, so that rounds get ever smaller."""
     edges = written(pairs.select("a", "b", "at_a"), "pairs")
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b"))).distinct().withColumn("state", F.lit("open"))
-    while True:
-        before = edges.join(nodes.select(F.col("id").alias("a"), F.col("state").alias("state_a")), "a").where("state_a <> 'member'")
-        # the first neighbour before a node that is or may become an anchor decides
-        first = before.groupBy("b").agg(F.min_by("state_a", "at_a").alias("first"), F.max((F.col("state_a") == "anchor").cast("int")).alias("any"))
-        seen = nodes.join(first.withColumnRenamed("b", "id"), "id", "left")
-        state = F.when(F.col("state") != "open", F.col("state")).when(F.col("any") == 1, "member").when(F.col("first").isNull(), "anchor").otherwise("open")
-        nodes = written(seen.select("id", state.alias("state")), "nodes")
-        if not nodes.where("state = 'open'").limit(1).count():
-            break
-    anchors = nodes.where("state = 'anchor'").select(F.col("id").alias("a"))
-    members = edges.join(anchors, "a").join(nodes.where("state = 'member'").select(F.col("id").alias("b")), "b").groupBy("b").agg(F.min_by("a", "at_a").alias("anchor"))
-    joined = members.select("anchor", F.col("b").alias("id"))
+    left, taken = edges.select("a", "b"), []
+    while left.limit(1).count():
+        # without an undecided neighbour before them they are anchors, and what is near them after them are members
+        anchors = written(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "anchors")
+        members = written(left.join(anchors, "a", "left_semi").select("b").distinct(), "members")
+        open_ = left.join(anchors, "a", "left_anti").join(members, "b", "left_anti").join(members.select(F.col("b").alias("a")), "a", "left_anti")
+        left = written(open_.select("a", "b"), "left")
+        taken.append(members)
+    if not taken:
+        return edges.select(F.col("a").alias("anchor"), F.col("b").alias("id"))
+    # what is no member is an anchor
+    anchored = edges.join(reduce(DataFrame.union, taken).select(F.col("b").alias("a")), "a", "left_anti")
+    joined = anchored.groupBy(F.col("b").alias("id")).agg(F.min_by("a", "at_a").alias("anchor")).select("anchor", "id")
     return joined.unionByName(joined.select("anchor", F.col("anchor").alias("id")).distinct())

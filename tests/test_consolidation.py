@@ -45,6 +45,21 @@ def test_work_on_clusters_is_below_quadratic(spark):
     assert pairs[1] < 10 * pairs[0] and pairs[1] < 4000**2 / 10
 
 
+def test_vectors_without_clusters_are_not_copied_to_pivots(spark):
+    """A cut that gains nothing is not kept, however many records a cell has; pairs of many parts, and of two lengths, are those of a product."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    held = [draw.normal(size=16 if i % 3 else 12) for i in range(600)]
+    frame = spark.createDataFrame([(i, "p", [float(x) for x in v]) for i, v in enumerate(held)], "id long, pool string, embedding array<double>").withColumn("created_at", F.timestamp_seconds(F.lit(1000) - F.col("id")))
+    alike = frame.where("size(embedding) = 16")
+    assert alike.count() == 400 == grouping.cells(alike, ["pool"], 0.3, pivots=2, cell_pairs=10_000).count()
+    unit = [v / np.linalg.norm(v) for v in held]
+    expected = {(a, b) for b in range(600) for a in range(b + 1, 600) if len(unit[a]) == len(unit[b]) and round(float(unit[a] @ unit[b]), 9) >= 0.3}
+    found = [(r.a, r.b) for r in grouping.near_pairs(frame, ["pool"], 0.3, task_pairs=200**2).select("a", "b").collect()]
+    assert len(found) == len(expected) and set(found) == expected
+
+
 def memories(spark):
     """Two pools of the same two groups and a record of its own; a record that ended, a protected one."""
     near, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
