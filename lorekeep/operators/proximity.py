@@ -4,6 +4,8 @@ Centres are learned by k-means on the sphere from a bounded sample, every vector
 as one signed byte a dimension. A question looks into the lists whose centres are nearest to it, as many as hold enough records of its
 scope and time by the stored counts. The nearest by their bytes, ``overfetch`` times as many as are wanted, are ranked anew by the exact
 cosine of the records' own vectors, so a result never shows an approximate score, a vector that has changed, or a record out of scope.
+The last of them is a mark: by the triangle inequality a list is opened again only if its farthest record lets it reach the mark, and a record of it
+is ranked too if its bytes, with all that their rounding may hide, do. So the result is that of the exact leg, as long as vectors are those indexed.
 
 Stored below a path (``sources.parts``): ``centres`` of each version, ``lists`` (by list) and ``sizes`` of each of its parts. ``append``
 adds a part with the version's centres, ``build`` a version.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import vectors
 from ..sources import parts
-from ..sources.shared import importable
+from ..sources.shared import importable, written
 from .scope import as_of
 from .sizes import small
 
@@ -36,7 +38,7 @@ _SCOPE = ("user_id", "agent_type", "project_id", "customer_id", "is_active")
 
 
 #: Columns of the lists of an index without a vector.
-_EMPTY = "id string, user_id string, agent_type string, project_id string, customer_id string, is_active boolean, occurred_at timestamp, list int, slot int, scale double, codes array<tinyint>"
+_EMPTY = "id string, user_id string, agent_type string, project_id string, customer_id string, is_active boolean, occurred_at timestamp, list int, slot int, close double, scale double, codes array<tinyint>"
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,7 @@ def _listed(records: DataFrame, centres: np.ndarray) -> DataFrame:
     """Rows of the lists: the nearest centre, and the unit vector in bytes with their scale."""
     names = ["id", *_SCOPE, "occurred_at"]
     kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), "list int", "slot int", "scale double", "codes array<tinyint>"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), "list int", "slot int", "close double", "scale double", "codes array<tinyint>"])
     dimension = centres.shape[1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +87,10 @@ def _listed(records: DataFrame, centres: np.ndarray) -> DataFrame:
             unit = held / np.linalg.norm(held, axis=1, keepdims=True) if len(held) else held
             most = np.abs(unit).max(axis=1) if len(held) else np.zeros(0)
             codes = np.rint(unit * (127 / most[:, None])).astype(np.int8) if len(held) else np.zeros((0, dimension), np.int8)
-            own = (unit @ centres.T).argmax(axis=1).astype(np.int32)
+            close = unit @ centres.T
+            own = close.argmax(axis=1).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * dimension), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(own), batch.column(len(names) + 1), pa.array(most / 127), listed], names=[*names, "list", "slot", "scale", "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(own), batch.column(len(names) + 1), pa.array(close.max(axis=1)), pa.array(most / 127), listed], names=[*names, "list", "slot", "close", "scale", "codes"])
 
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
     fitting = _usable(records).where(F.size("embedding") == dimension).select(*names, F.col("embedding").cast("array<double>"), slot)
@@ -105,7 +108,7 @@ def _write_part(records: DataFrame, path: str, version: int, part: int, centres:
     # Spark splits a crowded list among tasks
     rows.hint("rebalance", "list").sortWithinPartitions("list").write.mode("overwrite").partitionBy("list").parquet(at)
     held = spark.read.schema(rows.schema).parquet(at)
-    counts = held.groupBy("list", *_SCOPE, _month().alias("month")).agg(F.count("*").alias("n"))
+    counts = held.groupBy("list", *_SCOPE, _month().alias("month")).agg(F.count("*").alias("n"), F.min("close").alias("edge"))
     counts.write.mode("overwrite").parquet(parts.place(path, "sizes", version, part))
     parts.finish(spark, path, version, part, held.count())
 
@@ -173,14 +176,44 @@ def candidates(index: Index, wanted: DataFrame, scope: Column, limit: int, max_b
     return met.select("qid", "id", near.alias("near")).withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
 
 
-def index_leg(index: Index, records: DataFrame, questions: DataFrame, scope: Column, config: Config, least: int = PROBES, enough: int = ENOUGH, overfetch: int = OVERFETCH) -> DataFrame:
-    """(qid, id, rank, cosine) as ``recall.vector_leg`` gives them, of the records that the index finds; ``records`` are those of the scope, prepared."""
+def beyond(index: Index, questions: DataFrame, marks: DataFrame, scope: Column, max_bytes: int) -> DataFrame:
+    """(qid, id): all records of the scope that may be as near to a question as its mark; without a mark all that are old enough."""
+    spark = questions.sparkSession
+    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.centres)], "list int, centre array<double>")
+    edges = index.sizes.where(scope).groupBy("list").agg(F.min("edge").alias("edge"))
+    asked = questions.where("vector IS NOT NULL").select("qid", "as_of", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == index.centres.shape[1])
+    asked = asked.select("qid", "as_of", F.transform("vector", lambda x: x / vectors.norm(F.col("vector"))).alias("unit")).join(marks.select("qid", "mark"), "qid", "left")
+    angle = lambda x: F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))
+    nearest = F.greatest(angle(vectors.dot(F.col("unit"), F.col("centre"))) - angle(F.col("edge")), F.lit(0.0))
+    low = F.coalesce("mark", F.lit(-2.0)) - 1e-6
+    lists = asked.crossJoin(F.broadcast(centres.join(F.broadcast(edges), "list"))).where(F.cos(nearest) >= low)  # as many rows as there are lists
+    spread = F.aggregate("unit", F.lit(0.0), lambda s, x: s + F.abs(x)) / 2  # a byte hides at most half of its scale in each dimension
+    each = lists.select("qid", "as_of", "list", "unit", low.alias("low"), spread.alias("spread"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    met = index.lists.where(scope).join(small(each, max_bytes), ["list", "slot"]).where(as_of())
+    return met.where(F.col("scale") * (vectors.dot(F.col("codes"), F.col("unit")) + F.col("spread")) >= F.col("low")).select("qid", "id")
+
+
+def index_leg(index: Index, records: DataFrame, questions: DataFrame, scope: Column, config: Config, least: int = PROBES, enough: int = ENOUGH, overfetch: int = OVERFETCH, complete: bool = True) -> DataFrame:
+    """(qid, id, rank, cosine) as ``recall.vector_leg`` gives them, of the indexed records; ``records`` are those of the scope, prepared.
+
+    Without ``complete`` no list is opened again: what the first lists don't hold is missing.
+    """
     wanted = probes(index, questions, scope, config.candidate_limit, least, enough)
     found = candidates(index, wanted, scope, overfetch * config.candidate_limit, config.max_broadcast_bytes).select("qid", "id").distinct()
     length = vectors.norm(F.col("vector"))
     asked = questions.where("vector IS NOT NULL").select("qid", "as_of", "vector", length.alias("_asked"))
-    rows = found.join(asked, "qid").join(records.where("embedding IS NOT NULL").select("id", "occurred_at", "embedding", "_norm"), "id")
-    exact = F.round(vectors.cosine(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_asked")), 9)
-    scored = rows.where(as_of() & (F.size("embedding") == F.size("vector"))).select("qid", "id", exact.alias("cosine"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id"))
-    return scored.withColumn("_n", place).where(F.col("_n") <= config.candidate_limit).select("qid", "id", (F.col("_n") - 1).alias("rank"), "cosine")
+
+    def first(found: DataFrame) -> DataFrame:
+        rows = found.join(asked, "qid").join(records.where("embedding IS NOT NULL").select("id", "occurred_at", "embedding", "_norm"), "id")
+        exact = F.round(vectors.cosine(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_asked")), 9)
+        scored = rows.where(as_of() & (F.size("embedding") == F.size("vector"))).select("qid", "id", exact.alias("cosine"))
+        place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id"))
+        return scored.withColumn("_n", place).where(F.col("_n") <= config.candidate_limit)
+
+    out = first(found)
+    if complete:
+        head = written(out, "head")
+        marks = head.where(F.col("_n") == config.candidate_limit).select("qid", F.col("cosine").alias("mark"))
+        more = beyond(index, questions, marks, scope, config.max_broadcast_bytes)
+        out = first(head.select("qid", "id").unionByName(more).distinct())
+    return out.select("qid", "id", (F.col("_n") - 1).alias("rank"), "cosine")

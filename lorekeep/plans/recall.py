@@ -155,7 +155,7 @@ def vector_leg(spark, d, config=CONFIG):
 
 @_add("vector_index_leg", P.query(*_LEGS, select="SELECT qid, id, rank, cosine FROM own_vec"))
 def vector_index_leg(spark, d):
-    """The vector leg by the stored index. It gives the exact rows while a scope has no more records than are probed and ranked anew."""
+    """The vector leg by the stored index, its lists opened again where they may hold a nearer record: the exact rows."""
     index = proximity.build(T.records(spark, d), new_path(spark, "proximity"), lists=16)
     return proximity.index_leg(index, _scoped(spark, d), T.questions(spark, d), own(CALLER), CONFIG)
 

@@ -58,6 +58,13 @@ def test_recall_and_work(spark, tmp_path):
     assert everything == exact
 
 
+def test_lists_are_opened_until_the_result_is_exact(spark, tmp_path):
+    rows, questions = records(spark, 3000), asked(spark, 6)
+    index = X.build(rows, str(tmp_path / "x"), lists=16)
+    exact = found(R.vector_leg(R.prepared(rows.where(own(CALLER))), questions, CONFIG))
+    assert leg(index, rows, questions, least=1, enough=1, overfetch=1) == exact
+
+
 def test_only_probed_lists_are_joined(spark, tmp_path, capsys):
     rows, questions = records(spark, 2000), asked(spark, 2)
     index = X.build(rows, str(tmp_path / "x"), lists=16)
