@@ -215,13 +215,15 @@ def with_hits(records: DataFrame, plan: DataFrame, caller_agent: str, now: Colum
     )
 
 
-def _stems(rows: DataFrame, key: str, texts: Column, *more: str) -> DataFrame:
-    """(``key``, ``more``..., stem, positions): where each stem stands in a row's text, counted in words of any kind."""
+def _stems(rows: DataFrame, wanted: DataFrame, most_bytes: int, key: str, texts: Column, *more: str) -> DataFrame:
+    """(``key``, ``more``..., stem, positions): where each of the ``wanted`` stems stands in a row's text, counted in words of any kind.
+    Only words of such a stem go on from the tasks that cut the texts."""
     words = rows.select(key, *more, F.posexplode(text.tokens(texts)).alias("pos", "token"))
     # a vocabulary has few bytes but much work: it is dealt to all tasks, and stemmed once
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = written(stem.with_stems(words.select("token").distinct().repartition(tasks, "token")), "stems")
-    return words.join(known, "token").groupBy(key, *more, "stem").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    known = known.join(small(wanted.select("stem").distinct(), most_bytes), "stem", "left_semi")
+    return words.join(small(known, most_bytes), "token").groupBy(key, *more, "stem").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def cover_density(entries: Column, terms: Column) -> Column:
@@ -257,8 +259,9 @@ def stem_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFr
     known = stem.with_stems(asked.select("token").distinct())
     wanted = asked.join(known, "token").select("qid", "as_of", "stem").distinct()
     wanted = wanted.withColumn("term", F.row_number().over(Window.partitionBy("qid").orderBy("stem")) - 1)
-    held = _stems(records, "id", F.col("_hay"), "created_at", "occurred_at")
-    met = held.join(small(written(wanted, "stems"), config.max_broadcast_bytes), "stem").where(as_of())
+    wanted = written(wanted, "wanted")
+    held = _stems(records, wanted, config.max_broadcast_bytes, "id", F.col("_hay"), "created_at", "occurred_at")
+    met = held.join(small(wanted, config.max_broadcast_bytes), "stem").where(as_of())
     if config.lexical_any:
         scored = met.groupBy("qid", "id", "created_at").agg(F.round(F.sum(F.size("positions")) * 0.1, 9).alias("score"))
         return _top(scored, config.candidate_limit, F.desc("score"), F.desc("created_at")).select("qid", "id", "rank", "score")

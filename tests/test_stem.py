@@ -77,3 +77,10 @@ def test_stem_leg(spark, any_):
         expected += [(qid, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores))]
     made = R.stem_leg(R.prepared(records), questions, Config(lexical_any=any_)).collect()
     assert sorted((r.qid, r["rank"], r.id, r.score) for r in made) == sorted(expected) and expected
+
+
+def test_only_wanted_stems_are_counted(spark):
+    records = spark.createDataFrame([(1, "running cats run"), (2, "dogs bark")], "id long, _hay string")
+    wanted = spark.createDataFrame([(1, "run"), (2, "bark")], "qid long, stem string")
+    made = R._stems(records, wanted, 1 << 20, "id", F.col("_hay")).collect()
+    assert sorted((r.id, r.stem, r.positions) for r in made) == [(1, "run", [0, 2]), (2, "bark", [1])]
