@@ -76,7 +76,8 @@ def holders(docs: DataFrame, items: DataFrame, most_bytes: int) -> DataFrame:
     postings = written(postings, "postings")
     often = words.join(postings.groupBy("token").agg(F.count("*").alias("n")), "token", "left")
     rarest = often.groupBy("qid").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    near = postings.join(rarest, "token").select("qid", "doc_id").join(cut.select("qid", "query"), "qid").join(docs.select("doc_id", "text"), "doc_id")
+    near = written(postings.join(small(written(rarest, "rarest"), most_bytes), "token").select("qid", "doc_id"), "near")
+    near = docs.select("doc_id", "text").join(small(near, most_bytes), "doc_id").join(small(cut.select("qid", "query"), most_bytes), "qid")
     short = small(cut.where(F.size("inner") == 0).select("qid", "query"), most_bytes)
     held = F.contains(F.col("text"), F.col("query"))
     return near.where(held).select("qid", "doc_id").unionByName(docs.join(short, held).select("qid", "doc_id"))

@@ -65,9 +65,10 @@ def term_hits(records: DataFrame, questions: DataFrame, config: Config) -> DataF
     counted = asked.groupBy("qid", "as_of", "term").agg(F.count("*").alias("times"))
     words = written(matching_words(records, counted.select("term").distinct()), "words")
     postings = records.select("id", "created_at", "occurred_at", F.explode("_tokens").alias("token")).join(small(words, config.max_broadcast_bytes), "token")
-    found = postings.select("id", "created_at", "occurred_at", "term").distinct()
-    each = found.join(small(counted, config.max_broadcast_bytes), "term")
-    return each.where(as_of()).groupBy("qid", "id", "created_at").agg(F.sum("times").alias("overlap"))
+    # a record's terms are sent once, as one row; the counts of its questions are then made where it is
+    found = postings.groupBy("id", "created_at", "occurred_at").agg(F.collect_set("term").alias("terms"))
+    each = found.select("id", "created_at", "occurred_at", F.explode("terms").alias("term")).join(small(counted, config.max_broadcast_bytes), "term")
+    return each.where(as_of()).groupBy("qid", "id", "created_at", "occurred_at").agg(F.sum("times").alias("overlap")).drop("occurred_at")
 
 
 def lexical_leg(records: DataFrame, questions: DataFrame, config: Config) -> DataFrame:

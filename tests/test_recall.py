@@ -1,5 +1,6 @@
 """Invariants of recall: batches, partitions, bounds, reserved places, legs."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -100,3 +101,20 @@ def test_default_settings(name, spark):
     assert rows(frame.columns, made) == rows(columns, said.fetchall())
     most = max(Counter(r.qid for r in made).values())
     assert most == 24 if name == "recall_full" else 24 < most <= 200
+
+
+def _exchanges(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_terms_of_a_record_are_sent_once(spark, data):
+    hits = R.term_hits(R.kept(T.records(spark, data).where("is_active")), T.questions(spark, data), CONFIG)
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", hits._jdf.queryExecution().executedPlan().toString())
+    assert len([k for k in keys if re.search(r"\bid#", k)]) == 1  # the other is that of the questions' terms
+
+
+def test_texts_are_not_shuffled_for_holders(spark, data):
+    from lorekeep.operators import evaluation
+
+    items = T.questions(spark, data).select("qid", "query")
+    assert _exchanges(evaluation.holders(T.table(spark, data, "documents"), items, 1 << 20)) == 0
