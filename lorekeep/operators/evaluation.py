@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,23 +31,37 @@ def ndcg_at(gold: Column, found: Column, k: int) -> Column:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.transform(F.array_distinct(a), lambda x: F.least(times(a, x), times(b, x))), F.lit(0), lambda s, x: s + x)
+    """Size of the multiset intersection of two token arrays, by one pass over both in order: equal tokens of ``b`` stand first, and each of ``a`` takes one."""
+    marked = lambda xs, side: F.transform(xs, lambda x: F.struct(x.alias("token"), F.lit(side).alias("side")))
+    state = F.struct(F.lit("").alias("token"), F.lit(0).alias("left"), F.lit(0).alias("same"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(s["token"] == x["token"], s["left"]).otherwise(0)
+        taken = (x["side"] == 1) & (left > 0)
+        return F.struct(x["token"].alias("token"), F.when(x["side"] == 0, left + 1).when(taken, left - 1).otherwise(0).alias("left"), (s["same"] + taken.cast("int")).alias("same"))
+
+    return F.aggregate(F.sort_array(F.concat(marked(b, 0), marked(a, 1))), state, step, lambda s: s["same"])
+
+
+def _of_tokens(predicted: Column, gold: Column, score: Callable[[Column, Column], Column]) -> Column:
+    """``score`` of the token arrays of both texts: 1 if neither has tokens, 0 if one has none. Texts are cut once, however often ``score`` names them."""
+    both = F.array(F.struct(text.answer_tokens(predicted).alias("p"), text.answer_tokens(gold).alias("g")))
+
+    def scored(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        return F.when((F.size(p) == 0) & (F.size(g) == 0), F.lit(1.0)).when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0.0)).otherwise(score(p, g))
+
+    return F.transform(both, scored)[0]
 
 
 def token_f1(predicted: Column, gold: Column) -> Column:
-    p, g = text.answer_tokens(predicted), text.answer_tokens(gold)
-    same = _overlap(p, g)
-    score = 2.0 * same / (F.size(p) + F.size(g))
-    return F.when((F.size(p) == 0) & (F.size(g) == 0), F.lit(1.0)).when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0.0)).otherwise(score)
+    return _of_tokens(predicted, gold, lambda p, g: 2.0 * _overlap(p, g) / (F.size(p) + F.size(g)))
 
 
 def bleu1(predicted: Column, gold: Column) -> Column:
     """Clipped unigram precision with brevity penalty."""
-    p, g = text.answer_tokens(predicted), text.answer_tokens(gold)
-    penalty = F.when(F.size(p) >= F.size(g), F.lit(1.0)).otherwise(F.exp(1 - F.size(g) / F.size(p)))
-    return F.when((F.size(p) == 0) & (F.size(g) == 0), F.lit(1.0)).when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0.0)).otherwise(penalty * _overlap(p, g) / F.size(p))
+    penalty = lambda p, g: F.when(F.size(p) >= F.size(g), F.lit(1.0)).otherwise(F.exp(1 - F.size(g) / F.size(p)))
+    return _of_tokens(predicted, gold, lambda p, g: penalty(p, g) * _overlap(p, g) / F.size(p))
 
 
 def exact_match(predicted: Column, gold: Column) -> Column:

@@ -167,7 +167,7 @@ _BLEU = "CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 OR ng = 0 THEN 0.0 ELS
 
 
 def _pairs(spark, d):
-    lines = F.split("text", "\n")
+    lines = F.split("text", "\n", 3)  # what follows the second line stays whole
     return T.table(spark, d, "documents").where(F.contains(F.col("text"), F.lit("\n"))).select("doc_id", lines[1].alias("p"), lines[0].alias("g"))
 
 
