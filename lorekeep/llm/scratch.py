@@ -2,26 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-from ..sources.shared import new_path, shared_folder, written
+from ..sources.shared import BATCH_BYTES, BATCH_ROWS, bounded_batches, new_path, shared_folder, written
 
 __all__ = ["BATCH_BYTES", "BATCH_ROWS", "bounded_batches", "new_path", "shared_folder", "written"]
-
-#: Rows and bytes that go to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough for a worker's memory, unless the session has asked for smaller ones; and workers that find this library."""
-    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
-    if not size.isdigit() or int(size) > BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..sources.shared import importable, written
+from ..sources.shared import bounded_batches, written
 from .ingest import as_records, new_facts
 
 MODES = ("auto", "atomic", "gated", "summary")
@@ -89,7 +89,7 @@ def store_facts(messages: DataFrame, existing: DataFrame, make: Callable[[], Ext
     A fact whose summary is stored and active in its scope, or comes from an earlier message (by id) or earlier in its own, is
     not stored again. An outcome has message_id, mode, written, written_chars, degraded, reason. The model runs once: what it found is a written table.
     """
-    importable(messages.sparkSession)
+    bounded_batches(messages.sparkSession)
     mode = resolved(mode, config)
     find = extraction(make, mode, config.two_section)
     found = written(messages.lateralJoin(find(F.col("content").outer())), "facts")

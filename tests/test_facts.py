@@ -70,3 +70,20 @@ def test_auto(spark):
     assert {r.mode for r in run(spark, "auto")[1].values()} == {"gated"}
     with pytest.raises(ValueError, match="mode"):
         run(spark, "verbatim")
+
+
+def test_batches_are_bounded(spark):
+    """A Python worker gets few rows and bytes at once, however many a session would send; a smaller bound of the session stays."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        spark.conf.set(rows, "10000")
+        spark.conf.set(size, str(1 << 30))
+        run(spark, "atomic")
+        assert int(spark.conf.get(rows)) <= 2000 and int(spark.conf.get(size)) <= 16 << 20
+        spark.conf.set(rows, "7")
+        run(spark, "summary")
+        assert spark.conf.get(rows) == "7"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
