@@ -182,12 +182,25 @@ def turns_recalled(recalled: DataFrame, turns: DataFrame, rendered: str = "rende
     return firsts.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at", "turn_id"))).select("qid", "rank", "turn_id")
 
 
+#: Pairs of a question and a memory, and bytes of text, that one task of ``stub_recall`` is dealt, or about so.
+_TASK_PAIRS, _TASK_BYTES = 1 << 20, 4 << 20
+
+
 def stub_recall(questions: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """The k memories with the largest multiset Jaccard similarity of tokens, above 0."""
+    """The k memories with the largest multiset Jaccard similarity of tokens, above 0.
+
+    Memories are dealt by their ids to as many tasks as their pairs and texts ask for, so a task's memory does not grow with the table. Counts and
+    scores of a memory are then made where it is, and only a task's best k of each question go on.
+    """
     bag = lambda df, key: df.select(key, F.explode(text.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    q, m = bag(questions, "qid"), bag(memories, "id")
-    sizes_q, sizes_m = q.groupBy("qid").agg(F.sum("n").alias("nq")), m.groupBy("id").agg(F.sum("n").alias("nm"))
-    shared = q.withColumnRenamed("n", "a").join(m.withColumnRenamed("n", "b"), "token").groupBy("qid", "id").agg(F.sum(F.least("a", "b")).alias("common"))
-    scored = shared.join(sizes_q, "qid").join(sizes_m, "id").withColumn("score", F.col("common") / (F.col("nq") + F.col("nm") - F.col("common")))
+    held = memories.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    tasks = max(int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.n * questions.count() // _TASK_PAIRS, held.bytes // _TASK_BYTES)
+    dealt = memories.repartition(tasks, "id")
+    q, m = written(bag(questions, "qid"), "bags"), bag(dealt, "id")
+    sizes_q = q.groupBy("qid").agg(F.sum("n").alias("nq"))
+    sizes_m = dealt.groupBy("id").agg(F.sum(F.size(text.tokens(F.col("text")))).alias("nm"))
+    asked = written(q.withColumnRenamed("n", "a").join(sizes_q, "qid"), "asked")
+    shared = m.withColumnRenamed("n", "b").join(small(asked, 32 << 20), "token").groupBy("id", "qid", "nq").agg(F.sum(F.least("a", "b")).alias("common"))
+    scored = shared.join(sizes_m.hint("shuffle_hash"), "id").withColumn("score", F.col("common") / (F.col("nq") + F.col("nm") - F.col("common")))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("qid", "rank", "id", "score")
