@@ -53,16 +53,18 @@ def _write_part(records: DataFrame, path: str, version: int, part: int, block: i
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(tasks, *(F.col(c) for c in _SCOPE), F.desc("created_at"), "id").sortWithinPartitions(*_SCOPE, F.desc("created_at"), "id")
     number = F.monotonically_increasing_id()
-    placed = ordered.withColumn("number", number).withColumns({"block": F.floor(F.col("number") / block), "place": (F.col("number") % block).cast("int"), "cell": F.xxhash64(*_SCOPE)})
+    placed = ordered.withColumn("number", number).withColumns({"block": F.floor(F.col("number") / block), "place": (F.col("number") % block).cast("int"), "cell": F.xxhash64(*_SCOPE, *(F.col(c).isNull() for c in _SCOPE))})
     stored = written(placed.drop("number"), "placed")  # numbers are given once
 
     row = F.struct("place", "id", "created_at", "occurred_at")
     of_block = stored.groupBy(*_WHERE, *_SCOPE).agg(F.collect_list(row).alias("rows"))  # ``block`` rows at most
     of_block.write.mode("overwrite").parquet(parts.place(path, "blocks", version, part))
-    words = stored.select(*_WHERE, *_SCOPE, "place", "created_at", "occurred_at", F.explode("tokens").alias("token")).where(F.length("token") >= 3)
-    lists = words.groupBy("token", *_WHERE, *_SCOPE).agg(F.collect_list("place").alias("places"), F.max("created_at").alias("newest"), F.min("occurred_at").alias("earliest"))
+    words = stored.select(*_WHERE, "place", "created_at", "occurred_at", F.explode("tokens").alias("token")).where(F.length("token") >= 3)
+    # lists are sent once and without their scopes, which are those of their blocks
+    lists = words.groupBy("token", *_WHERE).agg(F.collect_list("place").alias("places"), F.max("created_at").alias("newest"), F.min("occurred_at").alias("earliest"))
+    scopes = spark.read.parquet(parts.place(path, "blocks", version, part)).select(*_WHERE, *_SCOPE)
     kept = parts.place(path, "postings", version, part)
-    lists.hint("rebalance", "token").sortWithinPartitions("token").write.mode("overwrite").parquet(kept)
+    lists.join(small(scopes, Config().max_broadcast_bytes), list(_WHERE)).sortWithinPartitions("token").write.mode("overwrite").parquet(kept)
     known = spark.read.parquet(kept).select("token").distinct()
     known.select("token", F.explode(_grams(F.col("token"))).alias("gram")).hint("rebalance", "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(parts.place(path, "grams", version, part))
     parts.finish(spark, path, version, part, stored.count())

@@ -67,3 +67,15 @@ def test_test_tables(spark, data, tmp_path):
     index = L.build(rows, str(tmp_path / "x"), block=8)
     config = Config(candidate_limit=10)
     assert rows_of(L.index_leg(index, questions, own(who), config)) == rows_of(R.lexical_leg(R.prepared(rows.where(own(who))), questions, config))
+
+
+def test_scopes_of_one_block_stay_apart(spark, tmp_path):
+    """Lists take their scopes from their blocks: scopes that differ only in where a null stands have blocks of their own."""
+    rows = records(spark, 40).where("content IS NOT NULL AND is_active")
+    two = rows.withColumn("user_id", F.lit(0).cast("long")).withColumn("agent_type", F.when(F.col("id") % 2 == 0, "p")).withColumn("project_id", F.when(F.col("id") % 2 == 1, "p")).coalesce(1)
+    index = L.build(two, str(tmp_path / "x"), block=64)
+    stored = spark.read.parquet(f"{tmp_path}/x/postings")
+    assert index.blocks.groupBy("part", "block", "cell").count().where("count > 1").isEmpty()
+    assert stored.groupBy("token", "block", "cell").count().where("count > 1").isEmpty()
+    who = F.col("agent_type").isNull() & (F.col("project_id") == "p")
+    assert {r.id % 2 for r in L.index_leg(index, asked(spark), who, Config()).collect()} == {1}
