@@ -21,16 +21,16 @@ from .sizes import paired, small
 _KEYS = ("id", "created_at", "occurred_at", "hit_count")
 
 
-def prepared(records: DataFrame) -> DataFrame:
+def prepared(records: DataFrame, *more: Column) -> DataFrame:
     """Scoped records with what the legs look at; ``_tokens`` are the different words of content and summary."""
     hay = F.lower(text.haystack(F.col("content"), F.col("context_summary")))
-    return records.select(*_KEYS, hay.alias("_hay"), F.array_distinct(text.tokens(hay)).alias("_tokens"), "tags", "embedding", vectors.norm(F.col("embedding")).alias("_norm"))
+    return records.select(*_KEYS, hay.alias("_hay"), F.array_distinct(text.tokens(hay)).alias("_tokens"), "tags", "embedding", vectors.norm(F.col("embedding")).alias("_norm"), *more)
 
 
-def kept(records: DataFrame) -> DataFrame:
-    """Prepared records as a written table, so that texts are cut into words once and not for each leg, by all tasks alike."""
+def kept(records: DataFrame, *more: Column) -> DataFrame:
+    """Prepared records, with ``more`` of them, as a written table, so that texts are cut into words once and not for each leg, by all tasks alike."""
     tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(prepared(records.repartition(tasks, "id")).drop("_hay"), "records")
+    return written(prepared(records.repartition(tasks, "id"), *more).drop("_hay"), "records")
 
 
 def _top(pairs: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -161,26 +161,35 @@ def chosen(ranked: DataFrame, k: Column, config: Config) -> DataFrame:
 
 def own_recall(records: DataFrame, questions: DataFrame, caller: Caller, now: Column, config: Config) -> DataFrame:
     """(qid, position, id, rrf, salience, matched) from the caller's own records."""
-    return chosen(candidates(kept(records.where(own(caller))), questions, now, config), F.lit(config.k), config)
+    return _own_recall(kept(records.where(own(caller))), questions, now, config)
+
+
+def _own_recall(mine: DataFrame, questions: DataFrame, now: Column, config: Config) -> DataFrame:
+    return chosen(candidates(mine, questions, now, config), F.lit(config.k), config)
 
 
 def two_sections(records: DataFrame, questions: DataFrame, caller: Caller, now: Column, config: Config) -> DataFrame:
     """Own records, then those of the team: the team has up to ``team_cap`` places, own records what is left of ``k``."""
+    return _two_sections(kept(records.where(own(caller))), kept(records.where(team(caller))), questions, now, config)
+
+
+def _two_sections(own_records: DataFrame, team_records: DataFrame, questions: DataFrame, now: Column, config: Config) -> DataFrame:
     cap = min(config.team_cap, max(config.k, 0))
-    theirs = chosen(candidates(kept(records.where(team(caller))), questions, now, config), F.lit(cap), config).withColumn("section", F.lit("team"))
+    theirs = chosen(candidates(team_records, questions, now, config), F.lit(cap), config).withColumn("section", F.lit("team"))
     theirs = written(theirs, "team")  # it is read twice: for the places it leaves, and for its rows
     taken = F.lit(cap) if config.strict_split else F.coalesce("n_team", F.lit(0))
-    ranked = candidates(kept(records.where(own(caller))), questions, now, config).join(theirs.groupBy("qid").agg(F.count("*").cast("int").alias("n_team")), "qid", "left")
+    ranked = candidates(own_records, questions, now, config).join(theirs.groupBy("qid").agg(F.count("*").cast("int").alias("n_team")), "qid", "left")
     mine = chosen(ranked.withColumn("own_k", F.lit(config.k) - taken), F.col("own_k"), config).drop("n_team", "own_k").withColumn("section", F.lit("own"))
     both = mine.unionByName(theirs)
     place = Window.partitionBy("qid").orderBy("section", "position")  # own before team
     return both.withColumn("place", F.row_number().over(place))
 
 
-def payload(plan: DataFrame, records: DataFrame) -> DataFrame:
-    """What a caller gets of each chosen record; contents are joined to the plan's few rows."""
-    chosen_ids = plan.select("id").distinct()
-    rows = records.join(chosen_ids, "id", "left_semi").select("id", recalled_summary().alias("summary"), F.date_format("occurred_at", "yyyy-MM-dd").alias("occurred_on"), contributors(F.col("tags")).alias("by"))
+def payload(plan: DataFrame, records: DataFrame, most_bytes: int) -> DataFrame:
+    """What a caller gets of each chosen record of ``records`` (id, summary, occurred_at, tags)."""
+    plan = written(plan, "plan")
+    chosen_ids = small(plan.select("id").distinct(), most_bytes)
+    rows = records.join(chosen_ids, "id", "left_semi").select("id", "summary", F.date_format("occurred_at", "yyyy-MM-dd").alias("occurred_on"), contributors(F.col("tags")).alias("by"))
     return plan.select("qid", "place", "section", "id", "hit_count", "salience", "matched").join(rows, "id")
 
 
@@ -194,12 +203,15 @@ def contributors(tags: Column) -> Column:
 
 
 def recall(records: DataFrame, questions: DataFrame, caller: Caller, now: Column, config: Config) -> DataFrame:
-    """The public recall: sections, order and payload."""
+    """The public recall: sections, order and payload. What the payload needs is kept beside what the legs look at: texts are read once for each section."""
+    summary = recalled_summary().alias("summary")
+    rows = kept(records.where(own(caller)), summary)
     if config.two_section:
-        plan = two_sections(records, questions, caller, now, config)
+        theirs = kept(records.where(team(caller)), summary)
+        plan, rows = _two_sections(rows, theirs, questions, now, config), rows.unionByName(theirs)
     else:
-        plan = own_recall(records, questions, caller, now, config).withColumn("section", F.lit("own")).withColumn("place", F.col("position"))
-    return payload(plan, records)
+        plan = _own_recall(rows, questions, now, config).withColumn("section", F.lit("own")).withColumn("place", F.col("position"))
+    return payload(plan, rows, config.max_broadcast_bytes)
 
 
 def with_hits(records: DataFrame, plan: DataFrame, caller_agent: str, now: Column) -> DataFrame:

@@ -118,3 +118,12 @@ def test_texts_are_not_shuffled_for_holders(spark, data):
 
     items = T.questions(spark, data).select("qid", "query")
     assert _exchanges(evaluation.holders(T.table(spark, data, "documents"), items, 1 << 20)) == 0
+
+
+def test_payload_reads_no_texts_again(spark, data):
+    """What the payload holds was kept when the sections were read: the last plan has no scan of the documents."""
+    out = R.recall(T.records(spark, data), T.questions(spark, data), CALLER, T.now(), CONFIG)
+    assert "documents.parquet" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.summary, r.occurred_on, r.by) for r in out.collect()}
+    rows_ = T.records(spark, data).select("id", R.recalled_summary(), F.date_format("occurred_at", "yyyy-MM-dd"), R.contributors(F.col("tags")))
+    assert got and got <= {tuple(r) for r in rows_.collect()}
