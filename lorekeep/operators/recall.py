@@ -15,7 +15,7 @@ from ..config import Config
 from ..functions import dates, stem, text, vectors
 from ..sources.shared import written
 from .scope import Caller, as_of, own, team
-from .sizes import paired, small
+from .sizes import bytes_held, paired, small, tasks_for
 
 #: What a record needs for ranking; contents are joined to the chosen rows only.
 _KEYS = ("id", "created_at", "occurred_at", "hit_count")
@@ -63,11 +63,21 @@ def term_hits(records: DataFrame, questions: DataFrame, config: Config) -> DataF
     """
     asked = questions.select("qid", "as_of", F.explode(text.query_terms(F.col("query"))).alias("term"))
     counted = asked.groupBy("qid", "as_of", "term").agg(F.count("*").alias("times"))
-    words = written(matching_words(records, counted.select("term").distinct()), "words")
-    postings = records.select("id", "created_at", "occurred_at", F.explode("_tokens").alias("token")).join(small(words, config.max_broadcast_bytes), "token")
-    # a record's terms are sent once, as one row; the counts of its questions are then made where it is
-    found = postings.groupBy("id", "created_at", "occurred_at").agg(F.collect_set("term").alias("terms"))
-    each = found.select("id", "created_at", "occurred_at", F.explode("terms").alias("term")).join(small(counted, config.max_broadcast_bytes), "term")
+    tasks = tasks_for(records, questions)
+    words = matching_words(records, counted.select("term").distinct()).repartition(tasks, "token")
+    words = written(words.groupBy("token").agg(F.collect_set("term").alias("terms")), "words")
+    held = records.select("id", "created_at", "occurred_at", "_tokens")
+
+    def met(rows: DataFrame, few: DataFrame) -> DataFrame:
+        postings = rows.select("id", "created_at", "occurred_at", F.explode("_tokens").alias("token")).join(few, "token")
+        return postings.select("id", "created_at", "occurred_at", F.explode("terms").alias("term"))
+
+    # records are dealt by their ids to as many tasks as the pairs ask for: their different terms, and the counts of their questions, are then made there
+    if bytes_held(words) <= config.max_broadcast_bytes:
+        found = met(held.repartition(tasks, "id"), F.broadcast(words)).distinct()
+    else:  # words are hashed, not sorted: postings, of which a common word has one for each record, stream past them
+        found = met(held, words.hint("shuffle_hash")).repartition(tasks, "id").distinct()
+    each = found.join(small(counted, config.max_broadcast_bytes), "term")
     return each.where(as_of()).groupBy("qid", "id", "created_at", "occurred_at").agg(F.sum("times").alias("overlap")).drop("occurred_at")
 
 

@@ -29,6 +29,16 @@ def small(rows: DataFrame, most_bytes: int) -> DataFrame:
     return F.broadcast(rows) if bytes_held(rows) <= most_bytes else rows
 
 
+#: Pairs of a row and one of the few (a record and a question) that a task is dealt, or about so.
+TASK_PAIRS = 1 << 20
+
+
+def tasks_for(rows: DataFrame, few: DataFrame) -> int:
+    """To how many tasks ``rows`` are dealt, so that what a task holds of their pairs with ``few`` does not grow with either."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-rows.count() * few.count() // TASK_PAIRS))
+
+
 def paired(rows: DataFrame, few: DataFrame, condition: Column, most_bytes: int, key: str = "id") -> DataFrame:
     """The pairs of ``rows`` and ``few`` that meet a condition: ``few`` as a broadcast if they are small; else ``rows`` are dealt in slots by
     their key and ``few`` are copied to each slot, so that no task has all of either and what is shuffled is ``few`` times the slots."""

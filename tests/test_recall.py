@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from test_oracle import rows
 
 from lorekeep import plans
+from lorekeep.functions import text
 from lorekeep.operators import recall as R
-from lorekeep.operators.scope import own, team
+from lorekeep.operators.scope import as_of, own, team
 from lorekeep.plans.recall import CALLER, CONFIG
 from lorekeep.sources import tables as T
 
@@ -113,6 +114,21 @@ def test_terms_of_a_record_are_sent_once(spark, data):
     assert len([k for k in keys if re.search(r"\bid#", k)]) == 1  # the other is that of the questions' terms
 
 
+@pytest.mark.parametrize("most_bytes", [CONFIG.max_broadcast_bytes, 0])
+def test_tasks_grow_with_the_pairs_of_records_and_questions(spark, data, monkeypatch, most_bytes):
+    """A task is dealt a bounded number of pairs, nothing is gathered or sorted for it beside; the counts are those of the texts."""
+    monkeypatch.setattr("lorekeep.operators.sizes.TASK_PAIRS", 500)
+    scoped, asked = T.records(spark, data).where("is_active"), T.questions(spark, data)
+    hits = R.term_hits(R.kept(scoped), asked, CONFIG.but(max_broadcast_bytes=most_bytes))
+    said = hits._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-scoped.count() * asked.count() // 500)
+    assert tasks > 4 and re.search(rf"Exchange hashpartitioning\(id#\d+L?, {tasks}\), REPARTITION_BY_NUM", said)
+    assert "ObjectHashAggregate" not in said and ("ShuffledHashJoin" in said) == (most_bytes == 0)
+    overlap = text.term_overlap(text.query_terms(F.col("query")), text.haystack(F.col("content"), F.col("context_summary")))
+    pairs = scoped.crossJoin(asked).where(as_of()).select("qid", "id", "created_at", overlap.alias("overlap")).where("overlap > 0")
+    assert {tuple(r) for r in hits.collect()} == {tuple(r) for r in pairs.collect()}
+
+
 def test_texts_are_not_shuffled_for_holders(spark, data):
     from lorekeep.operators import evaluation
 
